@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import ingest
+from quire.operators import audit, capacity, ingest, report, route
 from quire.sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,160 @@ def q_chunk_documents(spark, sf_dir):
 @register("tag_index")
 def q_tag_index(spark, sf_dir):
     return ingest.tag_index(corpus_chunks(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- corpus set steps
+def existing_collection(spark, sf_dir):
+    """The collection before the sync: chunks of the English documents."""
+    return ingest.build_chunks(D.md_docs(spark, sf_dir).where(F.col("lang") == "en"))
+
+
+@register("upsert_chunks")
+def q_upsert_chunks(spark, sf_dir):
+    existing = ingest.dedupe_chunks(existing_collection(spark, sf_dir))
+    incoming = corpus_chunks(spark, sf_dir)
+    out = ingest.upsert_chunks(existing, incoming)
+    return out.select("chunk_id", "file", "pos", "tags_joined", "origin")
+
+
+@register("filter_by_tag")
+def q_filter_by_tag(spark, sf_dir):
+    return ingest.filter_by_tag(corpus_chunks(spark, sf_dir), "#incode").select(
+        "chunk_id", "file", "pos", "tags_joined")
+
+
+@register("filter_by_tag_exact")
+def q_filter_by_tag_exact(spark, sf_dir):
+    return ingest.filter_by_tag(corpus_chunks(spark, sf_dir), "en", mode="exact").select(
+        "chunk_id", "file", "pos", "tags_joined")
+
+
+@register("sync_report")
+def q_sync_report(spark, sf_dir):
+    existing = existing_collection(spark, sf_dir)
+    return report.sync_report(D.md_docs(spark, sf_dir), existing)
+
+
+@register("corpus_report")
+def q_corpus_report(spark, sf_dir):
+    return report.corpus_report(corpus_chunks(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- audit
+def audited_claims(spark, sf_dir):
+    return audit.audit_claims(D.claims(spark, sf_dir))
+
+
+@register("audit_claims")
+def q_audit_claims(spark, sf_dir):
+    return audited_claims(spark, sf_dir).select(
+        "claim_id", "source", *[c for c in audit.AUDIT_COLUMNS])
+
+
+@register("compliance_report")
+def q_compliance_report(spark, sf_dir):
+    return audit.compliance_report(audited_claims(spark, sf_dir), "source")
+
+
+@register("annotate_noncompliant")
+def q_annotate(spark, sf_dir):
+    a = audit.annotate_noncompliant(audited_claims(spark, sf_dir))
+    return a.select("claim_id", F.length("annotated").alias("n_chars"),
+                    F.sha2("annotated", 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- routing
+def decided(spark, sf_dir):
+    return route.with_decisions(D.requests(spark, sf_dir))
+
+
+@register("product_class")
+def q_product_class(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", F.col("decided_class").alias("product_class"))
+
+
+@register("size_bucket")
+def q_size_bucket(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", "n_atoms", "size_bucket")
+
+
+@register("select_track")
+def q_select_track(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", "vdw", F.col("decided_track").alias("track"))
+
+
+@register("recommend_tier")
+def q_recommend_tier(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", F.col("decided_tier").alias("recommended_tier"))
+
+
+@register("provenance")
+def q_provenance(spark, sf_dir):
+    return decided(spark, sf_dir).select("request_id", F.col("decided_provenance").alias("provenance_tag"))
+
+
+def routed(spark, sf_dir):
+    return route.route_requests(D.requests(spark, sf_dir))
+
+
+def flat_route(df):
+    return df.select(
+        "request_id", "query", "recommended_tier", "product_class", "track", "provenance_tag",
+        "section_12_5_compliant", "answer",
+        F.col("conformal_interval.lower_bound").alias("lower_bound"),
+        F.col("conformal_interval.upper_bound").alias("upper_bound"),
+        F.col("conformal_interval.confidence_level").alias("confidence_level"),
+        F.col("conformal_interval.point_estimate").alias("point_estimate"),
+        F.size("spend_priority_sequence").alias("n_priorities"),
+        F.element_at("spend_priority_sequence", 1).alias("first_priority"),
+    )
+
+
+@register("route_requests")
+def q_route_requests(spark, sf_dir):
+    return flat_route(routed(spark, sf_dir))
+
+
+@register("route_summary")
+def q_route_summary(spark, sf_dir):
+    return route.route_summary(routed(spark, sf_dir))
+
+
+@register("enrich_class")
+def q_enrich_class(spark, sf_dir):
+    return route.enrich_class(routed(spark, sf_dir)).select(
+        "request_id", "product_class", "description", "window_low_pct", "window_high_pct",
+        "floppy_low_pct", "floppy_high_pct")
+
+
+def faulted_responses(spark, sf_dir):
+    """Routed responses with seeded contract faults (bad enum, missing field)."""
+    r = routed(spark, sf_dir)
+    rid = F.col("request_id")
+    return (
+        r.withColumn("recommended_tier", F.when(rid % 53 == 0, F.lit("T9-bad")).otherwise(F.col("recommended_tier")))
+        .withColumn("track", F.when(rid % 59 == 0, F.lit(None).cast("string")).otherwise(F.col("track")))
+        .withColumn("provenance_tag", F.when(rid % 61 == 0, F.lit("[X]")).otherwise(F.col("provenance_tag")))
+        .withColumn("product_class", F.when(rid % 71 == 0, F.lit("PRODUCT_Z")).otherwise(F.col("product_class")))
+        .withColumn("answer", F.when(rid % 73 == 0, F.lit(None).cast("string")).otherwise(F.col("answer")))
+        .withColumn("conformal_interval", F.when(
+            rid % 67 == 0, F.col("conformal_interval").withField("upper_bound", F.lit(None).cast("double")))
+            .otherwise(F.col("conformal_interval")))
+    )
+
+
+@register("contract_check")
+def q_contract_check(spark, sf_dir):
+    return audit.contract_check(faulted_responses(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- capacity
+@register("estimate_memory")
+def q_estimate_memory(spark, sf_dir):
+    return capacity.estimate_memory(D.requests(spark, sf_dir))
+
+
+@register("route_hardware")
+def q_route_hardware(spark, sf_dir):
+    return capacity.route_hardware(D.jobs(spark, sf_dir), D.requests(spark, sf_dir),
+                                   D.hosts(spark, sf_dir))

@@ -73,3 +73,266 @@ SELECT chunk_id, file, pos, text, tags_joined, length(text) AS n_chars FROM chun
 ORACLE["tag_index"] = "WITH " + CHUNKS_CTE + """
 SELECT tag, count(*) AS n_chunks, count(DISTINCT file) AS n_files
 FROM (SELECT file, unnest(tags) AS tag FROM chunks) GROUP BY tag"""
+
+
+# ---------------------------------------------------------------- corpus set steps
+EXISTING_CTE = """
+existing AS (
+  SELECT * FROM chunks WHERE file IN (SELECT file FROM docs WHERE lang = 'en')
+),
+existing_d AS (
+  SELECT chunk_id, any_value(file) AS file, min(pos) AS pos, any_value(tags_joined) AS tags_joined
+  FROM existing GROUP BY chunk_id
+),
+incoming_d AS (
+  SELECT chunk_id, any_value(file) AS file, min(pos) AS pos, any_value(tags_joined) AS tags_joined
+  FROM chunks GROUP BY chunk_id
+)"""
+
+ORACLE["upsert_chunks"] = "WITH " + CHUNKS_CTE + "," + EXISTING_CTE + """
+SELECT chunk_id, file, pos, tags_joined, 'existing' AS origin FROM existing_d
+UNION ALL
+SELECT chunk_id, file, pos, tags_joined, 'inserted' AS origin FROM incoming_d
+WHERE chunk_id NOT IN (SELECT chunk_id FROM existing_d)"""
+
+ORACLE["filter_by_tag"] = "WITH " + CHUNKS_CTE + """
+SELECT chunk_id, file, pos, tags_joined FROM chunks WHERE contains(tags_joined, 'incode')"""
+
+ORACLE["filter_by_tag_exact"] = "WITH " + CHUNKS_CTE + """
+SELECT chunk_id, file, pos, tags_joined FROM chunks WHERE list_contains(tags, 'en')"""
+
+ORACLE["sync_report"] = "WITH " + CHUNKS_CTE + "," + EXISTING_CTE + """,
+flagged AS (
+  SELECT file, n_chars >= 50 AS kept,
+         CASE WHEN n_chars >= 50 THEN file || '_' || substr(sha256(text), 1, 16) END AS chunk_id
+  FROM all_chunks
+),
+present_f AS (
+  SELECT f.*, f.chunk_id IN (SELECT chunk_id FROM existing) AS present FROM flagged f
+)
+SELECT file, count(*) AS n_pieces,
+       CAST(sum(CASE WHEN NOT kept THEN 1 ELSE 0 END) AS BIGINT) AS n_short,
+       CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS n_chunks,
+       count(DISTINCT chunk_id) AS n_ids,
+       count(DISTINCT CASE WHEN NOT present THEN chunk_id END) AS n_inserted,
+       count(DISTINCT CASE WHEN present THEN chunk_id END) AS n_existing
+FROM present_f GROUP BY ROLLUP (file)"""
+
+ORACLE["corpus_report"] = "WITH " + CHUNKS_CTE + """,
+lens AS (SELECT file, length(text) AS n_chars, tags FROM chunks),
+hist AS (SELECT n_chars, count(*) AS n FROM lens GROUP BY n_chars),
+cum AS (SELECT n_chars, sum(n) OVER (ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
+               sum(n) OVER () AS total FROM hist)
+SELECT 'n_files' AS metric, CAST(count(DISTINCT file) AS BIGINT) AS value FROM lens
+UNION ALL SELECT 'n_chunks', CAST(count(*) AS BIGINT) FROM lens
+UNION ALL SELECT 'total_chars', CAST(sum(n_chars) AS BIGINT) FROM lens
+UNION ALL SELECT 'min_chars', CAST(min(n_chars) AS BIGINT) FROM lens
+UNION ALL SELECT 'max_chars', CAST(max(n_chars) AS BIGINT) FROM lens
+UNION ALL SELECT 'n_untagged', CAST(sum(CASE WHEN len(tags) = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM lens
+UNION ALL SELECT 'n_tags', CAST(count(DISTINCT tag) AS BIGINT) FROM (SELECT unnest(tags) AS tag FROM lens)
+UNION ALL SELECT 'p50', CAST(min(CASE WHEN c >= ceil(total * 0.5) THEN n_chars END) AS BIGINT) FROM cum
+UNION ALL SELECT 'p90', CAST(min(CASE WHEN c >= ceil(total * 0.9) THEN n_chars END) AS BIGINT) FROM cum
+UNION ALL SELECT 'p99', CAST(min(CASE WHEN c >= ceil(total * 0.99) THEN n_chars END) AS BIGINT) FROM cum"""
+
+
+# ---------------------------------------------------------------- audit
+HW_RE2 = "(?i)\\b(" + fixed.HARDWARE_EXCLUSION_WORDS + ")\\b"
+ACC_RE2 = "(?i)\\b(" + fixed.ACCURACY_CLAIM_WORDS + ")\\b"
+
+
+def audit_sql(t: str) -> str:
+    """Columns of the audit verdict for text expression ``t`` (DuckDB)."""
+    hw = f"coalesce(regexp_matches({t}, '{HW_RE2}'), false)"
+    acc = f"coalesce(regexp_matches({t}, '{ACC_RE2}'), false)"
+    d = f"coalesce(contains({t}, '[D]'), false)"
+    e = f"coalesce(contains({t}, '[E]'), false)"
+    m = f"coalesce(contains({t}, '[M]'), false)"
+    viol = f"(({hw} OR {acc}) AND ({d} OR {e}) AND NOT {m})"
+    claim = f"CASE WHEN {viol} THEN CASE WHEN {hw} THEN 'hardware exclusion' ELSE 'accuracy claim' END END"
+    tags = f"(CASE WHEN {d} THEN '[D]' ELSE '' END || CASE WHEN {e} THEN '[E]' ELSE '' END)"
+    vtext = (f"CASE WHEN {viol} THEN 'Section 12.5 Rule 7 Violation: ' || {claim} || "
+             f"' supported solely by ' || {tags} || ' without measured [M] benchmark data.' END")
+    warn = f"CASE WHEN {viol} THEN '{fixed.WARNING_PREFIX}' || {vtext} ELSE '' END"
+    return (f"{hw} AS has_hw_exclusion, {acc} AS has_accuracy_claim, NOT {viol} AS compliant, "
+            f"{claim} AS claim_type, {vtext} AS violation, {warn} AS warning")
+
+
+AUDITED_CTE = f"""
+claims AS ({derived_sql('claims')}),
+audited AS (SELECT claim_id, source, text, {audit_sql('text')} FROM claims)"""
+
+ORACLE["audit_claims"] = "WITH " + AUDITED_CTE + """
+SELECT claim_id, source, has_hw_exclusion, has_accuracy_claim, compliant, claim_type, violation, warning
+FROM audited"""
+
+ORACLE["compliance_report"] = "WITH " + AUDITED_CTE + """
+SELECT source, count(*) AS n_rows,
+  CAST(sum(CASE WHEN NOT compliant THEN 1 ELSE 0 END) AS BIGINT) AS n_violations,
+  CAST(sum(CASE WHEN claim_type = 'hardware exclusion' THEN 1 ELSE 0 END) AS BIGINT) AS n_hw_exclusion,
+  CAST(sum(CASE WHEN claim_type = 'accuracy claim' THEN 1 ELSE 0 END) AS BIGINT) AS n_accuracy,
+  CAST(sum(CASE WHEN has_hw_exclusion OR has_accuracy_claim THEN 1 ELSE 0 END) AS BIGINT) AS n_claims,
+  CAST(sum(CASE WHEN NOT compliant THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS violation_rate
+FROM audited GROUP BY ROLLUP (source)"""
+
+ORACLE["annotate_noncompliant"] = "WITH " + AUDITED_CTE + """,
+ann AS (SELECT claim_id, CASE WHEN NOT compliant THEN text || chr(10) || chr(10) || warning ELSE text END AS a
+        FROM audited)
+SELECT claim_id, length(a) AS n_chars, sha256(a) AS sha256 FROM ann"""
+
+
+# ---------------------------------------------------------------- routing
+def interval_sql(d: str) -> str:
+    """Score-interval columns for raw distance expression ``d`` (DOUBLE or NULL)."""
+    c = (f"(CASE WHEN ({d}) IS NULL OR isnan({d}) OR isinf({d}) OR ({d}) < 0 THEN 0.0::DOUBLE "
+         f"ELSE least(({d}), 1000000.0::DOUBLE) END)")
+    point = half_up(f"100.0::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + {c}))", 1)
+    margin = half_up(f"5.0::DOUBLE * (1.0::DOUBLE + {c})", 1)
+    low = f"greatest(0.0::DOUBLE, {half_up(f'greatest({point} - {margin}, 0.0::DOUBLE)', 1)})"
+    high = f"least(100.0::DOUBLE, {half_up(f'{point} + {margin}', 1)})"
+    return (f"{low} AS lower_bound, {high} AS upper_bound, 0.95::DOUBLE AS confidence_level, "
+            f"{point} AS point_estimate")
+
+
+DECIDED_CTE = f"""
+req AS ({derived_sql('requests')}),
+d0 AS (
+  SELECT *,
+    CASE WHEN product_class IN ('PRODUCT_A', 'PRODUCT_B', 'PRODUCT_C') THEN product_class
+         WHEN coalesce(is_difference_calc, false) THEN 'PRODUCT_C'
+         WHEN coalesce(has_experimental_reference, false) OR coalesce(has_template, false) THEN 'PRODUCT_B'
+         ELSE 'PRODUCT_A' END AS cls,
+    coalesce(CASE WHEN regexp_matches(num_atoms, '^\\s*[+-]?[0-9]+\\s*$')
+                  THEN TRY_CAST(trim(num_atoms) AS BIGINT) END, 10) AS n_atoms,
+    coalesce(is_vdw_complex, false)
+      OR contains(lower(coalesce(query, 'Method routing decision query')), 'van der waals')
+      OR contains(lower(coalesce(query, 'Method routing decision query')), 'vdw') AS vdw,
+    lower(coalesce(engine, 'orca')) AS eng,
+    lower(coalesce(method_type, 'dft')) AS meth
+  FROM req
+),
+d1 AS (
+  SELECT *,
+    CASE WHEN n_atoms <= 10 THEN 'small' WHEN n_atoms <= 50 THEN 'medium' ELSE 'large' END AS size_bucket,
+    CASE WHEN vdw THEN 'MPQC'
+         WHEN coalesce(require_anharmonic_vpt2, false)
+              AND (contains(meth, 'coupled_cluster') OR contains(meth, 'cc') OR contains(eng, 'cfour')) THEN 'CFOUR'
+         WHEN coalesce(gpu_available, false) AND contains(eng, 'pyscf') THEN 'PYSCF'
+         ELSE 'ORCA' END AS trk,
+    CASE WHEN coalesce(has_experimental_reference, false) THEN '[M]'
+         WHEN cls IN ('PRODUCT_B', 'PRODUCT_C') THEN '[D]' ELSE '[E]' END AS prov
+  FROM d0
+),
+decided AS (
+  SELECT *,
+    CASE WHEN recommended_tier IN ('T1-10s', 'T1-1min', 'T1-30min', 'T2-1h', 'T2-3h', 'T2-12h',
+                                   'T3-12h', 'T3-1d', 'T3-3d', 'T4-1w', 'T4-1mo') THEN recommended_tier
+         WHEN vdw THEN 'T1-30min'
+         WHEN cls = 'PRODUCT_A' THEN CASE size_bucket WHEN 'small' THEN 'T3-12h' WHEN 'medium' THEN 'T2-3h' ELSE 'T1-30min' END
+         ELSE CASE size_bucket WHEN 'small' THEN 'T1-30min' WHEN 'medium' THEN 'T1-1min' ELSE 'T1-10s' END
+    END AS tier,
+    CASE WHEN chroma_distance IS NULL THEN 0.1::DOUBLE
+         ELSE coalesce(TRY_CAST(trim(chroma_distance) AS DOUBLE), 0.1::DOUBLE) END AS dist
+  FROM d1
+),
+routed AS (
+  SELECT request_id, coalesce(query, 'Method routing decision query') AS query,
+    tier AS recommended_tier, cls AS product_class, trk AS track, prov AS provenance_tag,
+    'Recommended Row: ' || tier || ' under Product Class ' || cls || ' (' || trk || ' Track) ' || prov || '. ' ||
+    CASE WHEN vdw AND trk = 'MPQC'
+         THEN 'For van der Waals complexes, using MPQC with cc-pVTZ-F12 as the Tier 1 default.'
+         ELSE 'VPT2 handling routed to ' || trk || ' per Section 9.' END AS answer,
+    {interval_sql('dist')}
+  FROM decided
+),
+routed_c AS (
+  SELECT r.*, a.compliant AS section_12_5_compliant
+  FROM routed r, LATERAL (SELECT {audit_sql('r.answer')}) a
+)"""
+
+ORACLE["product_class"] = "WITH " + DECIDED_CTE + "\nSELECT request_id, cls AS product_class FROM decided"
+ORACLE["size_bucket"] = "WITH " + DECIDED_CTE + "\nSELECT request_id, n_atoms, size_bucket FROM decided"
+ORACLE["select_track"] = "WITH " + DECIDED_CTE + "\nSELECT request_id, vdw, trk AS track FROM decided"
+ORACLE["recommend_tier"] = "WITH " + DECIDED_CTE + "\nSELECT request_id, tier AS recommended_tier FROM decided"
+ORACLE["provenance"] = "WITH " + DECIDED_CTE + "\nSELECT request_id, prov AS provenance_tag FROM decided"
+
+ORACLE["route_requests"] = "WITH " + DECIDED_CTE + """
+SELECT request_id, query, recommended_tier, product_class, track, provenance_tag,
+       section_12_5_compliant, answer, lower_bound, upper_bound, confidence_level, point_estimate,
+       10 AS n_priorities, '1. Core-valence basis set expansion' AS first_priority
+FROM routed_c"""
+
+ORACLE["route_summary"] = "WITH " + DECIDED_CTE + """
+SELECT product_class, track, recommended_tier, count(*) AS n_requests,
+       grouping(product_class) * 4 + grouping(track) * 2 + grouping(recommended_tier) AS grouping_level
+FROM routed_c GROUP BY CUBE (product_class, track, recommended_tier)"""
+
+ORACLE["enrich_class"] = "WITH " + DECIDED_CTE + """,
+dim(product_class, description, window_low_pct, window_high_pct, floppy_low_pct, floppy_high_pct) AS (
+  VALUES ('PRODUCT_A', 'De Novo Absolute', 0.3::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE),
+         ('PRODUCT_B', 'Semi-Experimental / Template-Anchored', 0.03::DOUBLE, 0.1::DOUBLE, NULL::DOUBLE, NULL::DOUBLE),
+         ('PRODUCT_C', 'Differences / Relative', 0.03::DOUBLE, 0.1::DOUBLE, NULL::DOUBLE, NULL::DOUBLE)
+)
+SELECT r.request_id, r.product_class, d.description, d.window_low_pct, d.window_high_pct,
+       d.floppy_low_pct, d.floppy_high_pct
+FROM routed_c r LEFT JOIN dim d ON r.product_class = d.product_class"""
+
+_FAULTED = """,
+faulted AS (
+  SELECT request_id,
+    CASE WHEN request_id % 53 = 0 THEN 'T9-bad' ELSE recommended_tier END AS recommended_tier,
+    CASE WHEN request_id % 59 = 0 THEN NULL ELSE track END AS track,
+    CASE WHEN request_id % 61 = 0 THEN '[X]' ELSE provenance_tag END AS provenance_tag,
+    CASE WHEN request_id % 71 = 0 THEN 'PRODUCT_Z' ELSE product_class END AS product_class,
+    CASE WHEN request_id % 73 = 0 THEN NULL ELSE answer END AS answer,
+    query, section_12_5_compliant, lower_bound,
+    CASE WHEN request_id % 67 = 0 THEN NULL ELSE upper_bound END AS upper_bound,
+    confidence_level
+  FROM routed_c
+)"""
+_RULES = (
+    [(f"required:{f}", f"{f} IS NULL") for f in fixed.RESPONSE_REQUIRED]
+    + [("enum:recommended_tier", "recommended_tier NOT IN ("
+        + ", ".join(f"'{t}'" for t in fixed.VALID_TIERS) + ")"),
+       ("enum:product_class", "product_class NOT IN ('PRODUCT_A', 'PRODUCT_B', 'PRODUCT_C')"),
+       ("enum:track", "track NOT IN ('ORCA', 'CFOUR', 'PYSCF', 'MPQC')"),
+       ("enum:provenance_tag", "provenance_tag NOT IN ('[M]', '[D]', '[E]')")]
+    + [(f"interval:{f}", f"{f} IS NULL") for f in fixed.INTERVAL_REQUIRED]
+)
+ORACLE["contract_check"] = "WITH " + DECIDED_CTE + _FAULTED + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS rule, CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT) AS n_failed FROM faulted"
+    for name, cond in _RULES)
+
+
+# ---------------------------------------------------------------- capacity
+def _mem_cols(raw: str) -> str:
+    n = (f"(CASE WHEN {raw} IS NULL OR {raw} = '' THEN 1 "
+         f"WHEN NOT regexp_matches({raw}, '^\\s*[+-]?[0-9]+\\s*$') THEN 10 "
+         f"ELSE greatest(TRY_CAST(trim({raw}) AS BIGINT), 1) END)")
+    nd = f"CAST({n} AS DOUBLE)"
+    mace = half_up(f"0.5::DOUBLE + {nd} * 0.005::DOUBLE", 3)
+    dft = half_up(f"1.0::DOUBLE + 259200.0::DOUBLE * ({nd} * {nd}) / 1073741824.0::DOUBLE", 3)
+    return f"{n} AS n_atoms, {mace} AS mace_gb, {dft} AS dft_gb"
+
+
+MEM_CTE = f"""
+req AS ({derived_sql('requests')}),
+mem AS (
+  SELECT request_id, method_type, {_mem_cols('num_atoms')} FROM req
+)"""
+
+ORACLE["estimate_memory"] = "WITH " + MEM_CTE + """
+SELECT request_id, n_atoms, mace_gb, dft_gb,
+       CASE WHEN contains(upper(coalesce(method_type, '')), 'MACE') THEN mace_gb ELSE dft_gb END AS vram_gb
+FROM mem"""
+
+ORACLE["route_hardware"] = "WITH " + MEM_CTE + f""",
+jobs AS ({derived_sql('jobs')}),
+hosts AS ({derived_sql('hosts')}),
+routed AS (
+  SELECT j.host_id,
+    CASE WHEN coalesce(h.mace_registered, false) AND m.mace_gb < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_MACE'
+         WHEN m.dft_gb < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_DFT'
+         ELSE 'CPU_ORCA' END AS hw_tier
+  FROM jobs j JOIN mem m ON j.request_id = m.request_id LEFT JOIN hosts h ON j.host_id = h.host_id
+)
+SELECT host_id, hw_tier, count(*) AS n_jobs FROM routed GROUP BY host_id, hw_tier"""

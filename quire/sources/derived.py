@@ -29,6 +29,7 @@ DERIVED: dict[str, tuple[str, str | None, list[str]]] = {
         None,
         [
             "'doc_' || CAST(doc_id AS STRING) || '.md' AS file",
+            "lang",
             "'# Doc ' || CAST(doc_id AS STRING) || ' #' || lang || " + NL + " || "
             "replace(text, " + NL + ", " + NL + " || '## Part #part' || " + NL + ") || "
             "CASE doc_id % 3 "
