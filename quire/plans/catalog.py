@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import audit, capacity, ingest, report, route
+from quire.operators import audit, capacity, ingest, report, retrieve, route
 from quire.sources import derived as D
+from quire.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +198,81 @@ def q_estimate_memory(spark, sf_dir):
 def q_route_hardware(spark, sf_dir):
     return capacity.route_hardware(D.jobs(spark, sf_dir), D.requests(spark, sf_dir),
                                    D.hosts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- retrieval
+def centroid_queries(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return retrieve.label_centroids(emb).withColumnRenamed("label", "query_id") \
+        .withColumn("label", F.col("query_id"))
+
+
+def out_hits(df, id_col):
+    return df.select("query_id", "rank", id_col, retrieve.rounded("distance"))
+
+
+@register("dense_topk")
+def q_dense_topk(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return out_hits(retrieve.dense_topk(centroid_queries(spark, sf_dir), emb, k=5), "vec_id")
+
+
+@register("dense_topk_cosine")
+def q_dense_topk_cosine(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return out_hits(retrieve.dense_topk(centroid_queries(spark, sf_dir), emb, k=5,
+                                        metric="cosine"), "vec_id")
+
+
+@register("filtered_topk")
+def q_filtered_topk(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return out_hits(retrieve.filtered_topk(centroid_queries(spark, sf_dir), emb, k=5), "vec_id")
+
+
+@register("topk_with_fallback")
+def q_topk_with_fallback(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    q = centroid_queries(spark, sf_dir).withColumn("label", F.col("query_id") * 2)
+    hits = retrieve.topk_with_fallback(q, emb, k=3)
+    return hits.select("query_id", "rank", "vec_id", retrieve.rounded("distance"), "used_fallback")
+
+
+def lexical_hits(spark, sf_dir, k=3):
+    bench = read_table(spark, sf_dir, "benchmark")
+    docs = read_table(spark, sf_dir, "documents")
+    return retrieve.lexical_topk(bench, docs, k=k, query_key="item_id")
+
+
+@register("lexical_topk")
+def q_lexical_topk(spark, sf_dir):
+    return lexical_hits(spark, sf_dir)
+
+
+@register("score_intervals")
+def q_score_intervals(spark, sf_dir):
+    s = retrieve.score_intervals(lexical_hits(spark, sf_dir))
+    return s.select("query_id", "rank", "doc_id",
+                    F.col("interval.lower_bound").alias("lower_bound"),
+                    F.col("interval.upper_bound").alias("upper_bound"),
+                    F.col("interval.point_estimate").alias("point_estimate"),
+                    "confidence")
+
+
+def bench_contexts(spark, sf_dir):
+    bench = read_table(spark, sf_dir, "benchmark")
+    docs = read_table(spark, sf_dir, "documents")
+    return retrieve.assemble_context(bench, lexical_hits(spark, sf_dir), docs, query_key="item_id")
+
+
+@register("assemble_context")
+def q_assemble_context(spark, sf_dir):
+    c = bench_contexts(spark, sf_dir)
+    return c.select("query_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("sha256"))
+
+
+@register("render_chat")
+def q_render_chat(spark, sf_dir):
+    bench = read_table(spark, sf_dir, "benchmark")
+    r = retrieve.render_chat(bench, bench_contexts(spark, sf_dir), query_key="item_id")
+    return r.select("query_id", F.length("response").alias("n_chars"), F.sha2("response", 256).alias("sha256"))

@@ -336,3 +336,116 @@ routed AS (
   FROM jobs j JOIN mem m ON j.request_id = m.request_id LEFT JOIN hosts h ON j.host_id = h.host_id
 )
 SELECT host_id, hw_tier, count(*) AS n_jobs FROM routed GROUP BY host_id, hw_tier"""
+
+
+# ---------------------------------------------------------------- retrieval
+VEC_CTE = """
+emb_x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos
+          FROM embeddings),
+cent AS (SELECT label AS query_id, pos, avg(CAST(x AS DOUBLE)) AS c FROM emb_x GROUP BY label, pos),
+cent_n AS (SELECT query_id, sqrt(sum(c * c)) AS cn FROM cent GROUP BY query_id),
+emb_n AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS en FROM emb_x GROUP BY vec_id),
+l2 AS (
+  SELECT c.query_id, e.vec_id, e.label,
+         sum((CAST(e.x AS DOUBLE) - c.c) * (CAST(e.x AS DOUBLE) - c.c)) AS distance,
+         sum(CAST(e.x AS DOUBLE) * c.c) AS dot
+  FROM emb_x e JOIN cent c ON e.pos = c.pos GROUP BY c.query_id, e.vec_id, e.label
+)"""
+
+
+def _topk(src: str, k: int, dist: str = "distance", extra: str = "") -> str:
+    return f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {half_up(dist, 6)} AS distance{extra}
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {dist}, vec_id) AS rank FROM {src})
+WHERE rank <= {k}"""
+
+
+ORACLE["dense_topk"] = "WITH " + VEC_CTE + _topk("l2", 5)
+ORACLE["dense_topk_cosine"] = "WITH " + VEC_CTE + """,
+cos AS (SELECT l.query_id, l.vec_id, 1.0::DOUBLE - l.dot / (e.en * c.cn) AS cd
+        FROM l2 l JOIN emb_n e USING (vec_id) JOIN cent_n c USING (query_id))""" + _topk("cos", 5, "cd").replace(
+    f"{half_up('cd', 6)} AS distance", f"{half_up('cd', 6)} AS distance")
+ORACLE["filtered_topk"] = "WITH " + VEC_CTE + _topk("(SELECT * FROM l2 WHERE label = query_id)", 5)
+ORACLE["topk_with_fallback"] = "WITH " + VEC_CTE + """,
+flt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+                       FROM l2 WHERE label = query_id * 2) WHERE rank <= 3),
+miss AS (SELECT DISTINCT query_id FROM cent WHERE query_id NOT IN (SELECT query_id FROM flt)),
+unf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+                       FROM l2 WHERE query_id IN (SELECT query_id FROM miss)) WHERE rank <= 3)
+""" + f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {half_up('distance', 6)} AS distance,
+       false AS used_fallback FROM flt
+UNION ALL
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {half_up('distance', 6)} AS distance,
+       true AS used_fallback FROM unf"""
+
+
+def lexical_cte(q_sql: str, q_key: str, q_text: str, c_sql: str, c_key: str, c_text: str, k: int) -> str:
+    """Term-count cosine top-k between two text sets (integer counts)."""
+    return f"""
+qt AS (SELECT {q_key} AS query_id, unnest(regexp_split_to_array(lower({q_text}), '[^\\p{{L}}]+')) AS term
+       FROM ({q_sql})),
+q_tf AS (SELECT query_id, term, count(*) AS tf FROM qt WHERE term <> '' GROUP BY query_id, term),
+q_n AS (SELECT query_id, sum(tf * tf) AS nq FROM q_tf GROUP BY query_id),
+ct AS (SELECT {c_key} AS cid, unnest(regexp_split_to_array(lower({c_text}), '[^\\p{{L}}]+')) AS term
+       FROM ({c_sql})),
+c_tf AS (SELECT cid, term, count(*) AS tf FROM ct WHERE term <> '' GROUP BY cid, term),
+c_n AS (SELECT cid, sum(tf * tf) AS nc FROM c_tf GROUP BY cid),
+dots AS (SELECT q.query_id, c.cid, sum(q.tf * c.tf) AS dot FROM q_tf q JOIN c_tf c ON q.term = c.term
+         GROUP BY q.query_id, c.cid),
+scored AS (SELECT d.query_id, d.cid, 1.0::DOUBLE - CAST(d.dot AS DOUBLE) / sqrt(CAST(qn.nq * cn.nc AS DOUBLE)) AS distance
+           FROM dots d JOIN q_n qn USING (query_id) JOIN c_n cn USING (cid)),
+hits AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, cid, distance FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cid) AS rank FROM scored)
+         WHERE rank <= {k})"""
+
+
+LEX_BENCH = lexical_cte("SELECT * FROM benchmark", "item_id", "text",
+                        "SELECT * FROM documents", "doc_id", "text", 3)
+
+ORACLE["lexical_topk"] = "WITH " + LEX_BENCH + """
+SELECT query_id, rank, cid AS doc_id, distance FROM hits"""
+
+ORACLE["score_intervals"] = "WITH " + LEX_BENCH + f""",
+iv AS (SELECT query_id, rank, cid AS doc_id, {interval_sql('distance')} FROM hits)
+SELECT query_id, rank, doc_id, lower_bound, upper_bound, point_estimate,
+       CAST(lower_bound AS VARCHAR) || '% - ' || CAST(upper_bound AS VARCHAR) || '% (95% Conformal)' AS confidence
+FROM iv"""
+
+CONTEXT_CTE = "WITH " + LEX_BENCH + f""",
+iv AS (SELECT query_id, rank, cid, {interval_sql('distance')} FROM hits),
+blk AS (
+  SELECT iv.query_id, iv.rank,
+    '--- Context (Source: ' || d.source || ' | Split-Conformal Interval [95%]: ' ||
+    CAST(iv.lower_bound AS VARCHAR) || '% - ' || CAST(iv.upper_bound AS VARCHAR) || '%) | ' ||
+    CASE WHEN a.compliant THEN '[Section 12.5 Verified: Compliant]' ELSE a.warning END ||
+    ' ---' || chr(10) || d.text || chr(10) AS block
+  FROM iv JOIN documents d ON iv.cid = d.doc_id,
+  LATERAL (SELECT {audit_sql('d.text')}) a
+),
+ctx AS (
+  SELECT b.item_id AS query_id,
+         coalesce((SELECT string_agg(block, chr(10) ORDER BY rank) FROM blk WHERE blk.query_id = b.item_id), '') AS context
+  FROM benchmark b
+)"""
+
+ORACLE["assemble_context"] = CONTEXT_CTE + """
+SELECT query_id, length(context) AS n_chars, sha256(context) AS sha256 FROM ctx"""
+
+_H = fixed.CHAT_HEADER.replace("'", "''").replace("\n", "' || chr(10) || '")
+_N0, _N1 = [x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in fixed.CHAT_NONE.split("{query}")]
+_F0, _rest = fixed.CHAT_FOUND.split("{query}")
+_F1, _F2 = _rest.split("{context}")
+_F0, _F1, _F2 = [x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (_F0, _F1, _F2)]
+ORACLE["render_chat"] = CONTEXT_CTE + f""",
+resp AS (
+  SELECT c.query_id,
+    CASE WHEN c.context = '' OR starts_with(c.context, '[VAULT ERROR')
+         THEN '{_H}' || '{_N0}' || b.text || '{_N1}'
+         ELSE '{_H}' || '{_F0}' || b.text || '{_F1}' || c.context || '{_F2}' END AS r
+  FROM ctx c JOIN benchmark b ON c.query_id = b.item_id
+),
+final AS (
+  SELECT query_id, CASE WHEN NOT a.compliant AND a.warning <> '' THEN r || chr(10) || chr(10) || a.warning ELSE r END AS response
+  FROM resp, LATERAL (SELECT {audit_sql('resp.r')}) a
+)
+SELECT query_id, length(response) AS n_chars, sha256(response) AS sha256 FROM final"""
