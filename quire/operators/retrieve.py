@@ -72,8 +72,9 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
     spark = corpus.sparkSession
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"))
     n_rows = q.count()
+    key_type = q.schema["query_id"].dataType.simpleString()
     if n_rows == 0:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, distance double")
+        return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double")
     dim = q.select(F.max(F.size("vector"))).first()[0]
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     parts = []
@@ -85,7 +86,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
         mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
         bc = spark.sparkContext.broadcast(mat)
         local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric), kernels.OUT_DDL)
-        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {q.schema['query_id'].dataType.simpleString()}")
+        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
         parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
     return _finish(spark, parts, k, id_col)
 
@@ -109,8 +110,9 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     terms = query_terms(queries, query_key, query_text)
     stats = terms.agg(F.countDistinct("query_id").alias("nq"), F.count(F.lit(1)).alias("np")).first()
     n_q, n_post = stats["nq"] or 0, stats["np"] or 0
+    key_type = terms.schema["query_id"].dataType.simpleString()
     if n_q == 0:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, distance double")
+        return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double")
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"))
     parts = []
     # bytes of the dense (terms x queries) matrix bound the batch size
@@ -129,7 +131,6 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
             qnorm[qpos[r["query_id"]]] += r["tf"] * r["tf"]
         bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), qmat, qnorm))
         local = scan.mapInArrow(kernels.lexical_kernel(bc, k), kernels.OUT_DDL)
-        key_type = terms.schema["query_id"].dataType.simpleString()
         key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
         parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
     return _finish(spark, parts, k, id_col)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import audit, capacity, ingest, report, retrieve, route
+from quire.operators import audit, capacity, ingest, report, retrieve, route, triage
 from quire.sources import derived as D
 from quire.sources.tables import read_table
 
@@ -276,3 +276,35 @@ def q_render_chat(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark")
     r = retrieve.render_chat(bench, bench_contexts(spark, sf_dir), query_key="item_id")
     return r.select("query_id", F.length("response").alias("n_chars"), F.sha2("response", 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- triage
+def logs_with_signatures(spark, sf_dir):
+    return triage.error_signatures(D.error_logs(spark, sf_dir))
+
+
+@register("error_signatures")
+def q_error_signatures(spark, sf_dir):
+    return logs_with_signatures(spark, sf_dir).select("log_id", "signature")
+
+
+@register("error_triage")
+def q_error_triage(spark, sf_dir):
+    return triage.error_triage(logs_with_signatures(spark, sf_dir))
+
+
+@register("diagnose_errors")
+def q_diagnose_errors(spark, sf_dir):
+    return triage.diagnose_errors(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+
+
+@register("build_prompts")
+def q_build_prompts(spark, sf_dir):
+    p = triage.build_prompts(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+    return p.select("log_id", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
+
+
+@register("render_summaries")
+def q_render_summaries(spark, sf_dir):
+    s = triage.render_summaries(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+    return s.select("log_id", F.length("summary").alias("n_chars"), F.sha2("summary", 256).alias("sha256"))

@@ -379,23 +379,25 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {half_up('distance', 6)}
        true AS used_fallback FROM unf"""
 
 
-def lexical_cte(q_sql: str, q_key: str, q_text: str, c_sql: str, c_key: str, c_text: str, k: int) -> str:
-    """Term-count cosine top-k between two text sets (integer counts)."""
+def lexical_cte(q_sql: str, q_key: str, q_text: str, c_sql: str, c_key: str, c_text: str, k: int,
+                p: str = "") -> str:
+    """Term-count cosine top-k between two text sets (integer counts).
+    CTE names carry the prefix ``p``; the result CTE is ``{p}hits``."""
     return f"""
-qt AS (SELECT {q_key} AS query_id, unnest(regexp_split_to_array(lower({q_text}), '[^\\p{{L}}]+')) AS term
+{p}qt AS (SELECT {q_key} AS query_id, unnest(regexp_split_to_array(lower({q_text}), '[^\\p{{L}}]+')) AS term
        FROM ({q_sql})),
-q_tf AS (SELECT query_id, term, count(*) AS tf FROM qt WHERE term <> '' GROUP BY query_id, term),
-q_n AS (SELECT query_id, sum(tf * tf) AS nq FROM q_tf GROUP BY query_id),
-ct AS (SELECT {c_key} AS cid, unnest(regexp_split_to_array(lower({c_text}), '[^\\p{{L}}]+')) AS term
+{p}q_tf AS (SELECT query_id, term, count(*) AS tf FROM {p}qt WHERE term <> '' GROUP BY query_id, term),
+{p}q_n AS (SELECT query_id, sum(tf * tf) AS nq FROM {p}q_tf GROUP BY query_id),
+{p}ct AS (SELECT {c_key} AS cid, unnest(regexp_split_to_array(lower({c_text}), '[^\\p{{L}}]+')) AS term
        FROM ({c_sql})),
-c_tf AS (SELECT cid, term, count(*) AS tf FROM ct WHERE term <> '' GROUP BY cid, term),
-c_n AS (SELECT cid, sum(tf * tf) AS nc FROM c_tf GROUP BY cid),
-dots AS (SELECT q.query_id, c.cid, sum(q.tf * c.tf) AS dot FROM q_tf q JOIN c_tf c ON q.term = c.term
+{p}c_tf AS (SELECT cid, term, count(*) AS tf FROM {p}ct WHERE term <> '' GROUP BY cid, term),
+{p}c_n AS (SELECT cid, sum(tf * tf) AS nc FROM {p}c_tf GROUP BY cid),
+{p}dots AS (SELECT q.query_id, c.cid, sum(q.tf * c.tf) AS dot FROM {p}q_tf q JOIN {p}c_tf c ON q.term = c.term
          GROUP BY q.query_id, c.cid),
-scored AS (SELECT d.query_id, d.cid, 1.0::DOUBLE - CAST(d.dot AS DOUBLE) / sqrt(CAST(qn.nq * cn.nc AS DOUBLE)) AS distance
-           FROM dots d JOIN q_n qn USING (query_id) JOIN c_n cn USING (cid)),
-hits AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, cid, distance FROM (
-           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cid) AS rank FROM scored)
+{p}scored AS (SELECT d.query_id, d.cid, 1.0::DOUBLE - CAST(d.dot AS DOUBLE) / sqrt(CAST(qn.nq * cn.nc AS DOUBLE)) AS distance
+           FROM {p}dots d JOIN {p}q_n qn USING (query_id) JOIN {p}c_n cn USING (cid)),
+{p}hits AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, cid, distance FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, cid) AS rank FROM {p}scored)
          WHERE rank <= {k})"""
 
 
@@ -449,3 +451,113 @@ final AS (
   FROM resp, LATERAL (SELECT {audit_sql('resp.r')}) a
 )
 SELECT query_id, length(response) AS n_chars, sha256(response) AS sha256 FROM final"""
+
+
+# ---------------------------------------------------------------- triage
+def stem_sql(p: str) -> str:
+    name = f"regexp_extract({p}, '([^/]*)/*$', 1)"
+    suf = f"regexp_extract({name}, '^(.+)\\.[^.]+$', 1)"
+    return f"(CASE WHEN {suf} = '' THEN {name} ELSE {suf} END)"
+
+
+def signature_sql(tb: str, prefix: str = "app_") -> str:
+    lines = f"string_split(trim({tb}, {WS}), chr(10))"
+    cands = (f"list_filter(list_transform({lines}, lambda l: trim(l, {WS})), lambda l: l <> '' "
+             f"AND NOT starts_with(l, 'File ') AND NOT starts_with(l, 'Traceback'))")
+    err = f"({cands})[-1]"
+    paths = (f"list_filter(list_transform({lines}, lambda l: regexp_extract(l, 'File\\s+\"([^\"]+)\"', 1)), "
+             f"lambda x: x <> '')")
+    stems = f"list_filter(list_transform({paths}, lambda x: {stem_sql('x')}), lambda m: starts_with(m, '{prefix}'))"
+    mods = f"list_filter({stems}, lambda m, i: list_position({stems}, m) = i)"
+    joined = f"concat_ws(' ', nullif(array_to_string({mods}, ' '), ''), {err})"
+    return (f"CASE WHEN {tb} IS NULL OR trim({tb}, {WS}) = '' THEN '' "
+            f"WHEN {joined} <> '' THEN {joined} ELSE right({tb}, 200) END")
+
+
+SIG_CTE = f"""
+logs AS ({derived_sql('error_logs')}),
+sig AS (SELECT *, {signature_sql('traceback')} AS signature FROM logs)"""
+
+ORACLE["error_signatures"] = "WITH " + SIG_CTE + "\nSELECT log_id, signature FROM sig"
+
+ORACLE["error_triage"] = "WITH " + SIG_CTE + """
+SELECT signature, count(*) AS n_logs, count(DISTINCT user_id) AS n_users,
+       min(ts) AS first_seen, max(ts) AS last_seen
+FROM sig GROUP BY signature"""
+
+_CKEY = "CAST(regexp_extract(file, '[0-9]+', 0) AS BIGINT) * 1000000 + pos"
+TRIAGE_CTE = "WITH " + CHUNKS_CTE + "," + SIG_CTE + f""",
+usig AS (SELECT DISTINCT signature FROM sig WHERE signature <> ''),
+ck AS (SELECT {_CKEY} AS ckey, file, text, tags_joined FROM chunks),
+""" + lexical_cte("SELECT * FROM usig", "signature", "signature",
+                  "SELECT * FROM ck WHERE contains(tags_joined, 'troubleshooting')", "ckey", "text", 3, "f_") + """,
+miss AS (SELECT signature FROM usig WHERE signature NOT IN (SELECT query_id FROM f_hits)),
+""" + lexical_cte("SELECT * FROM miss", "signature", "signature",
+                  "SELECT * FROM ck", "ckey", "text", 3, "u_") + f""",
+allhits AS (SELECT query_id AS signature, rank, cid AS ckey, distance, false AS used_fallback FROM f_hits
+            UNION ALL
+            SELECT query_id AS signature, rank, cid AS ckey, distance, true AS used_fallback FROM u_hits),
+det AS (
+  SELECT h.signature, h.rank, h.used_fallback, ck.file AS source, ck.text AS content,
+         {interval_sql('h.distance')}
+  FROM allhits h JOIN ck ON h.ckey = ck.ckey
+),
+det2 AS (
+  SELECT *, CAST(lower_bound AS VARCHAR) || '% - ' || CAST(upper_bound AS VARCHAR) || '% (95% Conformal)' AS confidence
+  FROM det
+)"""
+
+ORACLE["diagnose_errors"] = TRIAGE_CTE + """,
+per_sig AS (
+  SELECT signature, count(*) AS n_hits, bool_or(used_fallback) AS used_fallback,
+         string_agg(source, ',' ORDER BY rank) AS sources,
+         arg_min(lower_bound, rank) AS best_lower, arg_min(upper_bound, rank) AS best_upper
+  FROM det2 GROUP BY signature
+)
+SELECT s.log_id, s.signature, coalesce(p.n_hits, 0) AS n_hits,
+       coalesce(p.used_fallback, false) AS used_fallback, coalesce(p.sources, '') AS sources,
+       p.best_lower, p.best_upper
+FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature"""
+
+
+def _lit(text: str) -> str:
+    """A Python string as a DuckDB expression (newlines as chr(10))."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_TBH, _TBT = fixed.PROMPT_TRACEBACK.split("{traceback}")
+_QH, _QT = fixed.PROMPT_QUESTION.split("{question}")
+ORACLE["build_prompts"] = TRIAGE_CTE + f""",
+per_sig AS (
+  SELECT signature, string_agg('### Source ' || CAST(rank AS VARCHAR) || ': ' || source || ' (Confidence: ' ||
+         confidence || ')' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS sources
+  FROM det2 GROUP BY signature
+),
+pr AS (
+  SELECT s.log_id, concat_ws(chr(10), {_lit(fixed.PROMPT_RULES)},
+    CASE WHEN p.sources IS NOT NULL THEN {_lit(fixed.PROMPT_CONTEXT_HEAD)} || chr(10) || p.sources
+         ELSE {_lit(fixed.PROMPT_NO_CONTEXT)} END,
+    {_lit(_TBH)} || coalesce(s.traceback, 'None') || {_lit(_TBT)},
+    CASE WHEN s.question IS NOT NULL AND s.question <> '' THEN {_lit(_QH)} || s.question || {_lit(_QT)} END,
+    {_lit(fixed.PROMPT_INSTRUCTIONS)}) AS prompt
+  FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature
+)
+SELECT log_id, length(prompt) AS n_chars, sha256(prompt) AS sha256 FROM pr"""
+
+_DH, _DT = fixed.SUMMARY_DETECTED.split("{signature}")
+ORACLE["render_summaries"] = TRIAGE_CTE + f""",
+per_sig AS (
+  SELECT signature, string_agg('**' || CAST(rank AS VARCHAR) || '. ' || source || '** (Confidence: ' ||
+         confidence || ')' || chr(10) || '> ' || substr(content, 1, 500) ||
+         CASE WHEN length(content) > 500 THEN '...' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS items
+  FROM det2 GROUP BY signature
+),
+sm AS (
+  SELECT s.log_id, concat_ws(chr(10), {_lit(fixed.SUMMARY_HEAD)}, {_lit(fixed.SUMMARY_NOTE)},
+    {_lit(_DH)} || s.signature || {_lit(_DT)},
+    CASE WHEN p.items IS NOT NULL THEN {_lit(fixed.SUMMARY_DOCS_HEAD)} || chr(10) || p.items
+         ELSE {_lit(fixed.SUMMARY_NONE)} END,
+    {_lit(fixed.SUMMARY_FOOT)}) AS summary
+  FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature
+)
+SELECT log_id, length(summary) AS n_chars, sha256(summary) AS sha256 FROM sm"""
