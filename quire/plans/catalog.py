@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import audit, capacity, ingest, report, retrieve, route, triage
+from quire.operators import audit, capacity, ingest, redact, report, retrieve, route, triage
 from quire.sources import derived as D
 from quire.sources.tables import read_table
 
@@ -308,3 +308,49 @@ def q_build_prompts(spark, sf_dir):
 def q_render_summaries(spark, sf_dir):
     s = triage.render_summaries(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
     return s.select("log_id", F.length("summary").alias("n_chars"), F.sha2("summary", 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- redaction
+def _digest(df, key_cols, col):
+    return df.select(*key_cols, F.length(col).alias("n_chars"), F.sha2(col, 256).alias("sha256"))
+
+
+def chat_step(spark, sf_dir, fn):
+    c = D.chat(spark, sf_dir)
+    return _digest(c.withColumn("r", fn("text")), ["conv_id", "turn"], "r")
+
+
+@register("redact_blocks")
+def q_redact_blocks(spark, sf_dir):
+    return chat_step(spark, sf_dir, redact.redact_blocks)
+
+
+@register("redact_coords")
+def q_redact_coords(spark, sf_dir):
+    return chat_step(spark, sf_dir, redact.redact_coords)
+
+
+@register("redact_matrices")
+def q_redact_matrices(spark, sf_dir):
+    return chat_step(spark, sf_dir, redact.redact_matrices)
+
+
+@register("redact_smiles")
+def q_redact_smiles(spark, sf_dir):
+    return chat_step(spark, sf_dir, redact.redact_smiles)
+
+
+@register("redact_text")
+def q_redact_text(spark, sf_dir):
+    return chat_step(spark, sf_dir, redact.redact_text)
+
+
+@register("scrub_conversations")
+def q_scrub_conversations(spark, sf_dir):
+    s = redact.scrub_conversations(D.chat(spark, sf_dir))
+    return _digest(s, ["conv_id", "turn", "role"], "content")
+
+
+@register("redaction_report")
+def q_redaction_report(spark, sf_dir):
+    return redact.redaction_report(D.chat(spark, sf_dir))

@@ -561,3 +561,60 @@ sm AS (
   FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature
 )
 SELECT log_id, length(summary) AS n_chars, sha256(summary) AS sha256 FROM sm"""
+
+
+# ---------------------------------------------------------------- redaction
+def geom_sql(t: str) -> str:
+    return (f"regexp_replace({t}, '(?is)(\\*\\s*xyz.*?\\n)(.*?)(\\*)', "
+            f"'\\1[REDACTED_GEOMETRY_BLOCK]' || chr(10) || '\\3', 'g')")
+
+
+COORD_RE2 = "([A-Za-z]{1,2})\\s+(-?\\d+\\.\\d{3,})\\s+(-?\\d+\\.\\d{3,})\\s+(-?\\d+\\.\\d{3,})"
+MATRIX_RE2 = "(\\s*-?\\d+\\.\\d{4,}\\s+){4,}"
+GEOM_RE2 = "(?is)(\\*\\s*xyz.*?\\n)(.*?)(\\*)"
+
+
+def coord_sql(t: str) -> str:
+    return f"regexp_replace({t}, '{COORD_RE2}', '\\1 [REDACTED_COORD] [REDACTED_COORD] [REDACTED_COORD]', 'g')"
+
+
+def matrix_sql(t: str) -> str:
+    return f"regexp_replace({t}, '{MATRIX_RE2}', chr(10) || '[REDACTED_FLOAT_MATRIX]' || chr(10), 'g')"
+
+
+CHAT_CTE = f"chat AS ({derived_sql('chat')})"
+
+
+def _chat_digest(expr: str) -> str:
+    return (f"WITH {CHAT_CTE}, r AS (SELECT conv_id, turn, {expr} AS r FROM chat)\n"
+            "SELECT conv_id, turn, length(r) AS n_chars, sha256(r) AS sha256 FROM r")
+
+
+ORACLE["redact_blocks"] = _chat_digest(geom_sql("text"))
+ORACLE["redact_coords"] = _chat_digest(coord_sql("text"))
+ORACLE["redact_matrices"] = _chat_digest(matrix_sql("text"))
+
+ORACLE["redaction_report"] = f"""WITH {CHAT_CTE},
+s AS (SELECT coalesce(role, 'unknown') AS role, coalesce(text, '') AS s0 FROM chat),
+s1 AS (SELECT *, {geom_sql('s0')} AS s1 FROM s),
+s2 AS (SELECT *, {coord_sql('s1')} AS s2 FROM s1),
+s3 AS (SELECT *, {matrix_sql('s2')} AS s3 FROM s2),
+st AS (
+  SELECT role,
+    len(regexp_extract_all(s3, '{COORD_RE2}')) + len(regexp_extract_all(s3, '{MATRIX_RE2}')) > 0 AS leak,
+    len(regexp_extract_all(s0, '{GEOM_RE2}')) AS n_g, length(s1) - length(s0) AS d_g,
+    len(regexp_extract_all(s1, '{COORD_RE2}')) AS n_c, length(s2) - length(s1) AS d_c,
+    len(regexp_extract_all(s2, '{MATRIX_RE2}')) AS n_m, length(s3) - length(s2) AS d_m
+  FROM s3
+),
+long AS (
+  SELECT role, leak, 'geometry' AS pattern, n_g AS n, d_g AS delta FROM st
+  UNION ALL SELECT role, leak, 'coords', n_c, d_c FROM st
+  UNION ALL SELECT role, leak, 'matrix', n_m, d_m FROM st
+)
+SELECT role, pattern,
+  CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows_hit,
+  CAST(sum(n) AS BIGINT) AS n_matches,
+  CAST(sum(delta) AS BIGINT) AS chars_delta,
+  CAST(sum(CASE WHEN leak THEN 1 ELSE 0 END) AS BIGINT) AS n_leaks
+FROM long GROUP BY role, pattern"""
