@@ -266,3 +266,29 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
                .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
     return per_dim.groupBy(label).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
+
+
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float = 8.0,
+                bucket_length: float = 2.0, num_hash_tables: int = 4, seed: int = 7,
+                query_key: str = "query_id", query_vec: str = "vector",
+                id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate nearest neighbours with random-projection LSH.
+
+    Candidates are corpus vectors sharing a hash bucket with the query (an
+    equi-join on bucket ids) within Euclidean ``threshold``; then the top k
+    per query by squared distance. Recall is checked against ``dense_topk``.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    c = corpus.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col)).alias("v"))
+    q = queries.select(F.col(query_key).alias("query_id"), array_to_vector(F.col(query_vec)).alias("v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                      numHashTables=num_hash_tables, seed=seed)
+    model = lsh.fit(c)
+    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="l2")
+    scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
+                          (F.col("l2") * F.col("l2")).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "rank", F.col("id").alias(id_col), "distance"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quire.operators import audit, capacity, ingest, redact, report, retrieve, route, triage
 from quire.sources import derived as D
+from quire.sources import files
 from quire.sources.tables import read_table
+from quire.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,3 +356,26 @@ def q_scrub_conversations(spark, sf_dir):
 @register("redaction_report")
 def q_redaction_report(spark, sf_dir):
     return redact.redaction_report(D.chat(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- streams (batch twins), sources
+@register("transcripts")
+def q_transcripts(spark, sf_dir):
+    return files.transcript_stats(read_table(spark, sf_dir, "conversations"))
+
+
+@register("pulse_status")
+def q_pulse_status(spark, sf_dir):
+    p = jobs.pulse_status(D.metrics(spark, sf_dir), window="1 hour")
+    return p.withColumn("cpu_pct", retrieve.rounded("cpu_pct"))
+
+
+@register("error_stream")
+def q_error_stream(spark, sf_dir):
+    return jobs.error_stream(D.error_logs(spark, sf_dir), window="1 day")
+
+
+@register("approx_topk")
+def q_approx_topk(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return out_hits(retrieve.approx_topk(centroid_queries(spark, sf_dir), emb, k=5), "vec_id")

@@ -618,3 +618,29 @@ SELECT role, pattern,
   CAST(sum(delta) AS BIGINT) AS chars_delta,
   CAST(sum(CASE WHEN leak THEN 1 ELSE 0 END) AS BIGINT) AS n_leaks
 FROM long GROUP BY role, pattern"""
+
+
+# ---------------------------------------------------------------- streams (batch twins), sources
+ORACLE["transcripts"] = """
+SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role,
+       CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n_user,
+       CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS n_assistant,
+       CAST(sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS BIGINT) AS n_system
+FROM conversations GROUP BY conv_id"""
+
+ORACLE["pulse_status"] = f"""WITH m AS ({derived_sql('metrics')}),
+a AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, host, count(*) AS n_samples,
+         avg(cpu_pct) AS cpu_pct, max(CAST(is_active AS INTEGER)) AS active
+  FROM m GROUP BY 1, 2
+)
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, host, n_samples,
+       {half_up('cpu_pct', 6)} AS cpu_pct, active = 1 AS is_active,
+       CASE WHEN active = 0 THEN 'green' WHEN cpu_pct < 80.0 THEN 'orange' ELSE 'red' END AS status
+FROM a"""
+
+ORACLE["error_stream"] = "WITH " + SIG_CTE + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       signature, count(*) AS n_errors
+FROM sig GROUP BY 1, 2, 3"""
