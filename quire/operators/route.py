@@ -141,7 +141,7 @@ def route_summary(routed: DataFrame) -> DataFrame:
         routed.cube("product_class", "track", "recommended_tier")
         .agg(F.count(F.lit(1)).alias("n_requests"),
              (F.grouping("product_class") * 4 + F.grouping("track") * 2
-              + F.grouping("recommended_tier")).alias("grouping_level"))
+              + F.grouping("recommended_tier")).cast("long").alias("grouping_level"))
     )
 
 

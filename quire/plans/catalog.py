@@ -37,7 +37,7 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_chunk_documents(spark, sf_dir):
     c = corpus_chunks(spark, sf_dir)
     return c.select("chunk_id", "file", "pos", "text", "tags_joined",
-                    F.length("text").alias("n_chars"))
+                    F.length("text").cast("long").alias("n_chars"))
 
 
 @register("tag_index")
@@ -101,7 +101,7 @@ def q_compliance_report(spark, sf_dir):
 @register("annotate_noncompliant")
 def q_annotate(spark, sf_dir):
     a = audit.annotate_noncompliant(audited_claims(spark, sf_dir))
-    return a.select("claim_id", F.length("annotated").alias("n_chars"),
+    return a.select("claim_id", F.length("annotated").cast("long").alias("n_chars"),
                     F.sha2("annotated", 256).alias("sha256"))
 
 
@@ -270,14 +270,14 @@ def bench_contexts(spark, sf_dir):
 @register("assemble_context")
 def q_assemble_context(spark, sf_dir):
     c = bench_contexts(spark, sf_dir)
-    return c.select("query_id", F.length("context").alias("n_chars"), F.sha2("context", 256).alias("sha256"))
+    return c.select("query_id", F.length("context").cast("long").alias("n_chars"), F.sha2("context", 256).alias("sha256"))
 
 
 @register("render_chat")
 def q_render_chat(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark")
     r = retrieve.render_chat(bench, bench_contexts(spark, sf_dir), query_key="item_id")
-    return r.select("query_id", F.length("response").alias("n_chars"), F.sha2("response", 256).alias("sha256"))
+    return r.select("query_id", F.length("response").cast("long").alias("n_chars"), F.sha2("response", 256).alias("sha256"))
 
 
 # ---------------------------------------------------------------- triage
@@ -303,18 +303,18 @@ def q_diagnose_errors(spark, sf_dir):
 @register("build_prompts")
 def q_build_prompts(spark, sf_dir):
     p = triage.build_prompts(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
-    return p.select("log_id", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
+    return p.select("log_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
 
 
 @register("render_summaries")
 def q_render_summaries(spark, sf_dir):
     s = triage.render_summaries(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
-    return s.select("log_id", F.length("summary").alias("n_chars"), F.sha2("summary", 256).alias("sha256"))
+    return s.select("log_id", F.length("summary").cast("long").alias("n_chars"), F.sha2("summary", 256).alias("sha256"))
 
 
 # ---------------------------------------------------------------- redaction
 def _digest(df, key_cols, col):
-    return df.select(*key_cols, F.length(col).alias("n_chars"), F.sha2(col, 256).alias("sha256"))
+    return df.select(*key_cols, F.length(col).cast("long").alias("n_chars"), F.sha2(col, 256).alias("sha256"))
 
 
 def chat_step(spark, sf_dir, fn):

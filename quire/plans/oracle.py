@@ -43,7 +43,7 @@ pieces AS (
   SELECT file, string_split(m, chr(1)) AS s FROM marked
 ),
 raw AS (
-  SELECT file, unnest(s) AS raw, generate_subscripts(s, 1) - 1 AS pos FROM pieces
+  SELECT file, unnest(s) AS raw, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS pos FROM pieces
 ),
 stripped AS (
   SELECT file, pos, trim(raw, {WS}) AS text FROM raw
