@@ -8,6 +8,7 @@ the oracle compare against. Checkpoints go to the shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,21 @@ def scrub_stream(messages: DataFrame, out_path: str, checkpoint: str | None = No
             .outputMode("append").trigger(availableNow=True).start())
 
 
+def _event_time(df: DataFrame, col: str = "ts") -> tuple[DataFrame, str]:
+    """Event time as TIMESTAMP (watermarks need it); returns the input's type
+    so window bounds can be given back in it."""
+    kind = df.schema[col].dataType.simpleString()
+    if kind == "timestamp_ntz":
+        return df.withColumn(col, F.col(col).cast("timestamp")), kind
+    return df, kind
+
+
 # ------------------------------------------------------------------ S3 status
 def pulse_status(metrics: DataFrame, window: str = "1 minute", watermark: str | None = None) -> DataFrame:
     """S3: per host and tumbling window, mean CPU, whether active, and the
     status colour: inactive -> green; active and CPU < 80 -> orange; else red."""
-    src = metrics.withWatermark("ts", watermark) if watermark else metrics
+    src, kind = _event_time(metrics)
+    src = src.withWatermark("ts", watermark) if watermark else src
     agg = src.groupBy(F.window("ts", window).alias("w"), "host").agg(
         F.avg("cpu_pct").alias("cpu_pct"),
         F.max(F.col("is_active").cast("int")).alias("active"),
@@ -64,8 +75,8 @@ def pulse_status(metrics: DataFrame, window: str = "1 minute", watermark: str |
     status = (F.when(F.col("active") == 0, F.lit(fixed.STATUS_IDLE))
               .when(F.col("cpu_pct") < fixed.BUSY_CPU_PCT, F.lit(fixed.STATUS_ACTIVE))
               .otherwise(F.lit(fixed.STATUS_BUSY)))
-    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      "host", "n_samples", "cpu_pct", (F.col("active") == 1).alias("is_active"),
+    return agg.select(F.col("w.start").cast(kind).alias("window_start"),
+                      F.col("w.end").cast(kind).alias("window_end"), "host", "n_samples", "cpu_pct", (F.col("active") == 1).alias("is_active"),
                       status.alias("status"))
 
 
@@ -74,18 +85,19 @@ def error_stream(logs: DataFrame, window: str = "1 hour", watermark: str | None
                  prefix: str = "app_") -> DataFrame:
     """C4: error signature counts per tumbling window (late rows up to the
     watermark are still counted)."""
-    src = logs.withWatermark("ts", watermark) if watermark else logs
+    src, kind = _event_time(logs)
+    src = src.withWatermark("ts", watermark) if watermark else src
     return (src.withColumn("signature", signature_col("traceback", prefix))
             .groupBy(F.window("ts", window).alias("w"), "signature")
             .agg(F.count(F.lit(1)).alias("n_errors"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "signature", "n_errors"))
+            .select(F.col("w.start").cast(kind).alias("window_start"),
+                    F.col("w.end").cast(kind).alias("window_end"), "signature", "n_errors"))
 
 
 def start_memory_sink(df: DataFrame, name: str, mode: str = "append",
                       checkpoint: str | None = None) -> StreamingQuery:
     """Run a streaming aggregate into an in-memory table (tests and demos)."""
     spark = df.sparkSession
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), f"mem_{name}")
+    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), f"mem_{name}_{uuid.uuid4().hex}")
     return (df.writeStream.format("memory").queryName(name).outputMode(mode)
             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
