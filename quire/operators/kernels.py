@@ -20,18 +20,6 @@ OUT_SCHEMA = pa.schema([("q_idx", pa.int32()), ("id", pa.int64()), ("distance",
 OUT_DDL = "q_idx int, id long, distance double"
 
 
-def _local_topk(q, ids, dist, k):
-    """Rows of the k smallest (distance, id) per query index."""
-    if len(q) == 0:
-        return q, ids, dist
-    order = np.lexsort((ids, dist, q))
-    q, ids, dist = q[order], ids[order], dist[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    keep = rank < k
-    return q[keep], ids[keep], dist[keep]
-
-
 def _per_query_candidates(dist_matrix, valid, ids, k):
     """From an (n x Q) distance block, the k best rows per query column."""
     qs, rows = [], []
@@ -45,41 +33,68 @@ def _per_query_candidates(dist_matrix, valid, ids, k):
         qs.append(np.full(len(cand), j, dtype=np.int32))
         rows.append(cand)
     if not qs:
-        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
     q = np.concatenate(qs)
     r = np.concatenate(rows)
-    return q, ids[r], dist_matrix[r, q]
+    return q, ids[r], dist_matrix[r, q], r
 
 
 class _TopK:
-    """Running per-query top-k over the batches of one partition."""
+    """Running per-query top-k over the batches of one partition, carrying
+    optional payload columns (an Arrow table) for the rows it keeps."""
 
-    def __init__(self, k):
+    def __init__(self, k, payload_schema=None):
         self.k = k
         self.q = np.empty(0, np.int32)
         self.ids = np.empty(0, np.int64)
         self.dist = np.empty(0)
+        self.payload_schema = payload_schema
+        self.payload = payload_schema.empty_table() if payload_schema is not None else None
 
-    def add(self, q, ids, dist):
+    def add(self, q, ids, dist, payload=None):
         self.q = np.concatenate([self.q, q])
         self.ids = np.concatenate([self.ids, ids])
         self.dist = np.concatenate([self.dist, dist])
-        self.q, self.ids, self.dist = _local_topk(self.q, self.ids, self.dist, self.k)
+        if self.payload is not None:
+            self.payload = pa.concat_tables([self.payload, payload])
+        keep = _local_topk_index(self.q, self.ids, self.dist, self.k)
+        self.q, self.ids, self.dist = self.q[keep], self.ids[keep], self.dist[keep]
+        if self.payload is not None:
+            self.payload = self.payload.take(pa.array(keep, pa.int64()))
+
+    def batch(self, schema=OUT_SCHEMA):
+        cols = [pa.array(self.q, pa.int32()), pa.array(self.ids, pa.int64()),
+                pa.array(self.dist, pa.float64())]
+        if self.payload is not None:
+            cols += [c.combine_chunks() for c in self.payload.columns]
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+
+def _local_topk_index(q, ids, dist, k):
+    """Indices of the k smallest (distance, id) per query index, in order."""
+    if len(q) == 0:
+        return np.empty(0, np.int64)
+    order = np.lexsort((ids, dist, q))
+    qs = q[order]
+    starts = np.r_[0, np.flatnonzero(np.diff(qs)) + 1]
+    rank = np.arange(len(qs)) - np.repeat(starts, np.diff(np.r_[starts, len(qs)]))
+    return order[rank < k]
+
 
-    def batch(self):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.q, pa.int32()), pa.array(self.ids, pa.int64()),
-             pa.array(self.dist, pa.float64())], schema=OUT_SCHEMA)
+def out_schema(payload_schema=None):
+    if payload_schema is None:
+        return OUT_SCHEMA
+    return pa.schema(list(OUT_SCHEMA) + list(payload_schema))
 
 
-def dense_kernel(bc, k, metric, block_cells=8_000_000):
-    """Kernel over batches of ``(id long, vec array<float|double>)``."""
+def dense_kernel(bc, k, metric, block_cells=8_000_000, payload_schema=None):
+    """Kernel over batches of ``(id long, vec array<float|double>, *payload)``."""
 
     def run(batches):
         queries = bc.value  # (Q x d) float64
         n_q, dim = queries.shape
         q_norm = np.sqrt((queries * queries).sum(axis=1))
-        top = _TopK(k)
+        top = _TopK(k, payload_schema)
         for b in batches:
             n = b.num_rows
             if n == 0:
@@ -103,13 +118,22 @@ def dense_kernel(bc, k, metric, block_cells=8_000_000):
                     d = 1.0 - dots / (en[:, None] * q_norm[None, :])
                 else:
                     raise ValueError(f"unknown metric {metric!r}")
-                top.add(*_per_query_candidates(d, None, ids[s:s + step], k))
-        yield top.batch()
+                q, i, dist, rows = _per_query_candidates(d, None, ids[s:s + step], k)
+                top.add(q, i, dist, _payload(b, rows + s, payload_schema))
+        yield top.batch(out_schema(payload_schema))
 
     return run
 
 
-def lexical_kernel(bc, k, block_nnz=2_000_000):
+def _payload(batch, rows, payload_schema):
+    if payload_schema is None:
+        return None
+    cols = [batch.column(batch.schema.get_field_index(f.name)) for f in payload_schema]
+    t = pa.Table.from_arrays(cols, schema=payload_schema)
+    return t.take(pa.array(rows, pa.int64()))
+
+
+def lexical_kernel(bc, k, block_nnz=2_000_000, payload_schema=None):
     """Kernel over batches of ``(id long, tokens array<string>)``.
 
     Broadcast value: ``(vocab pa.Array, qmat float64 [V x Q], qnorm int64 [Q])``
@@ -122,7 +146,7 @@ def lexical_kernel(bc, k, block_nnz=2_000_000):
     def run(batches):
         vocab, qmat, qnorm = bc.value
         n_v, n_q = qmat.shape
-        top = _TopK(k)
+        top = _TopK(k, payload_schema)
         for b in batches:
             n = b.num_rows
             if n == 0:
@@ -169,7 +193,8 @@ def lexical_kernel(bc, k, block_nnz=2_000_000):
             denom = np.sqrt((qnorm[None, :] * cnorm[rows_hit][:, None]).astype(np.float64))
             with np.errstate(divide="ignore", invalid="ignore"):
                 dist = 1.0 - dots / denom
-            top.add(*_per_query_candidates(dist, dots > 0, ids[rows_hit], k))
-        yield top.batch()
+            q, i, d, rows = _per_query_candidates(dist, dots > 0, ids[rows_hit], k)
+            top.add(q, i, d, _payload(b, rows_hit[rows], payload_schema))
+        yield top.batch(out_schema(payload_schema))
 
     return run

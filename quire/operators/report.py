@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import fixed
 from quire.operators import ingest
+from quire.session import cut_lineage
 
 
 def sync_report(files: DataFrame, existing: DataFrame) -> DataFrame:
@@ -57,18 +58,36 @@ def _long(df: DataFrame) -> DataFrame:
 
 def corpus_report(chunks: DataFrame) -> DataFrame:
     """H4: the chunk collection profiled as ``(metric, value)`` rows: files,
-    chunks, characters, length extremes and exact quantiles, tags."""
-    lengths = chunks.select("file", F.length("text").alias("n_chars"), "tags")
-    basic = lengths.agg(
-        F.countDistinct("file").alias("n_files"),
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.sum("n_chars").alias("total_chars"),
+    chunks, characters, length extremes and exact quantiles, tags.
+
+    One pass: every chunk emits (kind, key) items -- its length, its file,
+    each tag, and an untagged marker -- grouped once. All metrics come from
+    that grouped table, whose size is the number of distinct lengths, files
+    and tags, so the scan and the shuffle happen once.
+    """
+    items = chunks.select(F.explode(F.concat(
+        F.array(
+            F.struct(F.lit("len").alias("kind"), F.length("text").cast("string").alias("key")),
+            F.struct(F.lit("file").alias("kind"), F.col("file").alias("key")),
+            F.struct(F.lit("untagged").alias("kind"),
+                     F.when(F.size("tags") == 0, F.lit("1")).alias("key")),
+        ),
+        F.transform("tags", lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("key"))),
+    )).alias("it")).select("it.kind", "it.key").where(F.col("key").isNotNull())
+    # Checkpointed: the branches below filter it differently, which would
+    # otherwise push each filter under the aggregate and rescan the corpus.
+    g = cut_lineage(items.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")))
+    hist = g.where(F.col("kind") == "len").select(F.col("key").cast("long").alias("n_chars"), "n")
+    basic = hist.agg(
+        F.sum("n").alias("n_chunks"),
+        F.sum(F.col("n_chars") * F.col("n")).alias("total_chars"),
         F.min("n_chars").alias("min_chars"),
         F.max("n_chars").alias("max_chars"),
-        F.sum(F.when(F.size("tags") == 0, 1).otherwise(0)).alias("n_untagged"),
     )
-    n_tags = lengths.select(F.explode("tags").alias("tag")).agg(
-        F.countDistinct("tag").alias("n_tags"))
-    hist = lengths.groupBy("n_chars").agg(F.count(F.lit(1)).alias("n"))
+    others = g.where(F.col("kind") != "len").agg(
+        F.sum(F.when(F.col("kind") == "file", 1).otherwise(0)).alias("n_files"),
+        F.sum(F.when(F.col("kind") == "untagged", F.col("n")).otherwise(0)).alias("n_untagged"),
+        F.sum(F.when(F.col("kind") == "tag", 1).otherwise(0)).alias("n_tags"),
+    )
     q = nearest_rank(hist, "n_chars", "n", [0.5, 0.9, 0.99])
-    return _long(basic).unionByName(_long(n_tags)).unionByName(_long(q))
+    return _long(basic).unionByName(_long(others)).unionByName(_long(q))

@@ -53,18 +53,33 @@ def _batches(queries: DataFrame, key: str, n_rows: int, n_bytes: int) -> list[Da
     return [queries.where(bucket == b) for b in range(n_batches)]
 
 
-def _finish(spark, parts: list[DataFrame], k: int, id_col: str) -> DataFrame:
+def _finish(spark, parts: list[DataFrame], k: int, id_col: str, payload=()) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "distance"))
+            .select("query_id", "rank", F.col("id").alias(id_col), "distance", *payload))
+
+
+def _payload_spec(corpus: DataFrame, payload) -> tuple[str, object]:
+    """Spark DDL suffix and Arrow schema of the payload columns."""
+    if not payload:
+        return "", None
+    from pyspark.sql.pandas.types import to_arrow_schema
+    sub = corpus.select(*payload).schema
+    ddl = "".join(f", {f.name} {f.dataType.simpleString()}" for f in sub.fields)
+    return ddl, to_arrow_schema(sub)
+
+
+def _empty_hits(spark, key_type, id_col, corpus, payload):
+    ddl, _ = _payload_spec(corpus, payload)
+    return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double{ddl}")
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",
                query_key: str = "query_id", query_vec: str = "vector",
-               id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+               id_col: str = "vec_id", vec_col: str = "embedding", payload=()) -> DataFrame:
     """B1: the k nearest corpus vectors per query (``l2sq`` or ``cosine``).
 
     Output ``query_id, rank, <id_col>, distance``; ties broken by id.
@@ -74,9 +89,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
     n_rows = q.count()
     key_type = q.schema["query_id"].dataType.simpleString()
     if n_rows == 0:
-        return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double")
+        return _empty_hits(spark, key_type, id_col, corpus, payload)
     dim = q.select(F.max(F.size("vector"))).first()[0]
-    scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    ddl, pschema = _payload_spec(corpus, payload)
+    scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *payload)
     parts = []
     for batch in _batches(q, "query_id", n_rows, n_rows * dim * 8):
         rows = batch.collect()  # bounded by MAX_QUERY_ROWS / MAX_BROADCAST_BYTES
@@ -85,10 +101,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
         keys = [r["query_id"] for r in rows]
         mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
         bc = spark.sparkContext.broadcast(mat)
-        local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric), kernels.OUT_DDL)
+        local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric, payload_schema=pschema),
+                                kernels.OUT_DDL + ddl)
         key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
         parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
-    return _finish(spark, parts, k, id_col)
+    return _finish(spark, parts, k, id_col, payload)
 
 
 def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "text") -> DataFrame:
@@ -99,7 +116,7 @@ def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "te
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
                  query_key: str = "query_id", query_text: str = "text",
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", payload=()) -> DataFrame:
     """B2: the k corpus texts closest to each query text by term-count cosine.
 
     distance = 1 - dot / sqrt(|q|^2 |c|^2) over whole texts, with integer
@@ -112,8 +129,9 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     n_q, n_post = stats["nq"] or 0, stats["np"] or 0
     key_type = terms.schema["query_id"].dataType.simpleString()
     if n_q == 0:
-        return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double")
-    scan = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"))
+        return _empty_hits(spark, key_type, id_col, corpus, payload)
+    ddl, pschema = _payload_spec(corpus, payload)
+    scan = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"), *payload)
     parts = []
     # bytes of the dense (terms x queries) matrix bound the batch size
     for batch in _batches(terms, "query_id", n_q, n_post * 64 + n_q * 8 * 1024):
@@ -130,10 +148,11 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
             qmat[vpos[r["term"]], qpos[r["query_id"]]] = r["tf"]
             qnorm[qpos[r["query_id"]]] += r["tf"] * r["tf"]
         bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), qmat, qnorm))
-        local = scan.mapInArrow(kernels.lexical_kernel(bc, k), kernels.OUT_DDL)
+        local = scan.mapInArrow(kernels.lexical_kernel(bc, k, payload_schema=pschema),
+                                kernels.OUT_DDL + ddl)
         key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
         parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
-    return _finish(spark, parts, k, id_col)
+    return _finish(spark, parts, k, id_col, payload)
 
 
 def vector_distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
@@ -214,14 +233,22 @@ def ordered_join(items: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda s: s["text"]), sep)
 
 
-def assemble_context(queries: DataFrame, hits: DataFrame, docs: DataFrame,
+def assemble_context(queries: DataFrame, hits: DataFrame, docs: DataFrame | None = None,
                      query_key: str = "query_id", id_col: str = "doc_id",
                      source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per query, its hit blocks joined by newlines in rank order; empty
-    string when the query has no hits. Each group holds at most k blocks."""
+    string when the query has no hits. Each group holds at most k blocks.
+
+    ``docs`` is joined for the source and text; pass ``None`` when the hits
+    already carry them (top-k with ``payload=[source, text]``), which avoids
+    reading the corpus a second time."""
     scored = score_intervals(hits)
-    blocks = (scored.join(docs.select(F.col(id_col), F.col(source_col).alias("_src"),
-                                      F.col(text_col).alias("_doc")), id_col)
+    if docs is not None:
+        scored = scored.join(docs.select(F.col(id_col), F.col(source_col).alias("_src"),
+                                         F.col(text_col).alias("_doc")), id_col)
+    else:
+        scored = scored.withColumnRenamed(source_col, "_src").withColumnRenamed(text_col, "_doc")
+    blocks = (scored
               .select("query_id", F.struct(F.col("rank"), context_block(
                   F.col("_src"), F.col("interval"), F.col("_doc")).alias("text")).alias("b")))
     per_query = blocks.groupBy("query_id").agg(ordered_join(F.collect_list("b"), "\n").alias("context"))

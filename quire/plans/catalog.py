@@ -264,7 +264,8 @@ def q_score_intervals(spark, sf_dir):
 def bench_contexts(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark")
     docs = read_table(spark, sf_dir, "documents")
-    return retrieve.assemble_context(bench, lexical_hits(spark, sf_dir), docs, query_key="item_id")
+    hits = retrieve.lexical_topk(bench, docs, k=3, query_key="item_id", payload=["source", "text"])
+    return retrieve.assemble_context(bench, hits, None, query_key="item_id")
 
 
 @register("assemble_context")

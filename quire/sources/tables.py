@@ -20,7 +20,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that gives fewer partitions than the cluster has task
+    slots (a file written as one row group is read by one task) round-robin
+    over the slots. A large table scans into many splits and is returned
+    unchanged, so this never adds a shuffle at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+# Tables whose rows carry whole texts: per-row work (regex, tokenising,
+# hashing) dominates, so they are worth spreading over every slot.
+TEXT_TABLES = {"documents", "conversations", "pages"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool | None = None) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if balance is None:
+        balance = name in TEXT_TABLES
+    return spread(df) if balance else df
