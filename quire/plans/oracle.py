@@ -644,3 +644,79 @@ ORACLE["error_stream"] = "WITH " + SIG_CTE + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
        signature, count(*) AS n_errors
 FROM sig GROUP BY 1, 2, 3"""
+
+
+# ---------------------------------------------------------------- SMILES (lookaround-free twin)
+# A maximal run of candidate tokens holds at most one match. It starts at the
+# run start when the preceding character is not a word character, else right
+# after the run's first bond/bracket character; it ends at the run end when
+# the next character is not a word character, else at the run's last
+# bond/bracket character; it needs two tokens or more.
+_TOK = "(?:Cl|Br|Si|Se|Te|Na|K|Fe|Mg|Ca|Li|Cu|Zn|Al|Pt|Pd|[BCNOPSFIHbcnsoph0-9])"
+_PUN = "[()\\[\\]=#@+\\-\\\\/.:%]"
+_NOT_PUN = "[^()\\[\\]=#@+\\-\\\\/.:%]"
+_RUN = f"(?:{_TOK}|{_PUN})+"
+_ANYTOK = f"(?:{_TOK}|{_PUN})"
+
+
+def smiles_ctes(src: str, keys: list[str], text: str, p: str = "sm_") -> str:
+    """CTEs ending in ``{p}out(keys..., r)``: ``text`` of ``src`` with SMILES redacted."""
+    k = ", ".join(keys)
+    kq = ", ".join(f"x.{c}" for c in keys)
+    join = " AND ".join(f"x.{c} = y.{c}" for c in keys)
+    return f"""
+{p}parts AS (SELECT {k}, {text} AS t, regexp_extract_all({text}, '{_RUN}') AS runs,
+                   regexp_split_to_array({text}, '{_RUN}') AS gaps FROM {src}),
+{p}ex AS (SELECT {k}, gaps, unnest(runs) AS r, generate_subscripts(runs, 1) AS i FROM {p}parts),
+{p}c1 AS (
+  SELECT {k}, i, r, gaps[i + 1] AS after_gap,
+    right(gaps[i], 1) AS prev, left(gaps[i + 1], 1) AS nxt
+  FROM {p}ex
+),
+{p}c2 AS (
+  SELECT *,
+    CASE WHEN prev = '' OR NOT regexp_matches(prev, '^[A-Za-z0-9_]$') THEN 0
+         ELSE length(regexp_extract(r, '^({_NOT_PUN}*{_PUN})', 1)) END AS off,
+    prev = '' OR NOT regexp_matches(prev, '^[A-Za-z0-9_]$')
+      OR regexp_matches(r, '{_PUN}') AS has_start
+  FROM {p}c1
+),
+{p}c3 AS (
+  SELECT *, CASE WHEN NOT has_start THEN ''
+                 WHEN nxt = '' OR NOT regexp_matches(nxt, '^[A-Za-z0-9_]$') THEN substr(r, off + 1)
+                 ELSE regexp_extract(substr(r, off + 1), '^(.*){_PUN}', 1) END AS cand
+  FROM {p}c2
+),
+{p}c4 AS (
+  SELECT *, len(regexp_extract_all(cand, '{_ANYTOK}')) >= 2 AS is_match FROM {p}c3
+),
+{p}c5 AS (
+  SELECT {k}, i,
+    CASE WHEN is_match AND regexp_matches(cand, '[=#\\[\\]@\\\\/0-9]') AND regexp_matches(cand, '[CcNnOoPSFI]|Br')
+         THEN substr(r, 1, off) || '[REDACTED_SMILES_STRING]' || substr(r, off + length(cand) + 1)
+         ELSE r END || after_gap AS piece
+  FROM {p}c4
+),
+{p}agg AS (SELECT {k}, string_agg(piece, '' ORDER BY i) AS body FROM {p}c5 GROUP BY {k}),
+{p}out AS (
+  SELECT {kq}, CASE WHEN x.t IS NULL THEN NULL ELSE x.gaps[1] || coalesce(y.body, '') END AS r
+  FROM {p}parts x LEFT JOIN {p}agg y ON {join}
+)"""
+
+
+ORACLE["redact_smiles"] = f"""WITH {CHAT_CTE},
+src AS (SELECT conv_id, turn, text FROM chat),
+{smiles_ctes('src', ['conv_id', 'turn'], 'text')}
+SELECT conv_id, turn, length(r) AS n_chars, sha256(r) AS sha256 FROM sm_out"""
+
+ORACLE["redact_text"] = f"""WITH {CHAT_CTE},
+src AS (SELECT conv_id, turn, {matrix_sql(coord_sql(geom_sql('text')))} AS text FROM chat),
+{smiles_ctes('src', ['conv_id', 'turn'], 'text')}
+SELECT conv_id, turn, length(r) AS n_chars, sha256(r) AS sha256 FROM sm_out"""
+
+ORACLE["scrub_conversations"] = f"""WITH {CHAT_CTE},
+src AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
+               {matrix_sql(coord_sql(geom_sql("coalesce(text, '')")))} AS text
+        FROM chat WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+{smiles_ctes('src', ['conv_id', 'turn', 'role'], 'text')}
+SELECT conv_id, turn, role, length(r) AS n_chars, sha256(r) AS sha256 FROM sm_out"""
