@@ -133,19 +133,23 @@ def _payload(batch, rows, payload_schema):
     return t.take(pa.array(rows, pa.int64()))
 
 
-def lexical_kernel(bc, k, block_nnz=2_000_000, payload_schema=None):
-    """Kernel over batches of ``(id long, tokens array<string>)``.
-
-    Broadcast value: ``(vocab pa.Array, qmat float64 [V x Q], qnorm int64 [Q])``
-    where ``qmat[v, j]`` is the count of term v in query j and ``qnorm`` the
-    sum of squared counts. Score = 1 - dot / sqrt(qnorm * cnorm) with integer
-    dot and norms, so the value is exact and repeatable. Only rows sharing at
-    least one term with a query are candidates for it.
+def lexical_kernel(bc, k, block_pairs=4_000_000, payload_schema=None):
+    """Kernel over batches of ``(id long, tokens array<string>, *payload)``.
+
+    Broadcast value: ``(vocab pa.Array, ptr int64 [V+1], post_q int32,
+    post_tf int64, qnorm int64 [Q])`` -- the query postings: term v occurs in
+    queries ``post_q[ptr[v]:ptr[v+1]]`` with counts ``post_tf[...]``; ``qnorm``
+    is each query's sum of squared counts. Score = 1 - dot / sqrt(qnorm * cnorm)
+    with integer dot and norms, so the value is exact and repeatable. Only
+    (row, query) pairs sharing a term are scored, in row blocks of at most
+    ``block_pairs`` term-posting expansions.
     """
 
     def run(batches):
-        vocab, qmat, qnorm = bc.value
-        n_v, n_q = qmat.shape
+        vocab, ptr, post_q, post_tf, qnorm = bc.value
+        n_v = len(vocab)
+        n_q = len(qnorm)
+        plen = np.diff(ptr)
         top = _TopK(k, payload_schema)
         for b in batches:
             n = b.num_rows
@@ -155,46 +159,52 @@ def lexical_kernel(bc, k, block_nnz=2_000_000, payload_schema=None):
             tok = b.column(1)
             lens = np.diff(tok.offsets.to_numpy())
             flat = tok.flatten()
+            if len(flat) == 0:
+                continue
             row_of = np.repeat(np.arange(n, dtype=np.int64), lens)
             # squared term counts per row (the row's norm)
+            enc = pc.dictionary_encode(flat)
+            codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            n_codes = max(1, len(enc.dictionary))
+            keys, counts = np.unique(row_of * n_codes + codes, return_counts=True)
             cnorm = np.zeros(n, dtype=np.int64)
-            if len(flat):
-                enc = pc.dictionary_encode(flat).combine_chunks() if isinstance(
-                    flat, pa.ChunkedArray) else pc.dictionary_encode(flat)
-                codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                n_codes = max(1, len(enc.dictionary))
-                keys, counts = np.unique(row_of * n_codes + codes, return_counts=True)
-                np.add.at(cnorm, keys // n_codes, counts.astype(np.int64) ** 2)
-            # term counts of query-vocabulary terms per row
+            np.add.at(cnorm, keys // n_codes, counts.astype(np.int64) ** 2)
+            # (row, query-vocabulary term, count)
             vidx = pc.index_in(flat, value_set=vocab)
             mask = vidx.is_valid().to_numpy(zero_copy_only=False)
             if not mask.any():
                 continue
             v = vidx.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[mask]
-            r = row_of[mask]
-            keys, counts = np.unique(r * n_v + v, return_counts=True)
+            keys, counts = np.unique(row_of[mask] * n_v + v, return_counts=True)
             rr, vv = keys // n_v, keys % n_v
-            starts = np.r_[0, np.flatnonzero(np.diff(rr)) + 1]
-            rows_hit = rr[starts]
-            dots = np.empty((len(rows_hit), n_q))
-            step = max(1, block_nnz // max(1, n_q))
-            # sum counts * qmat rows per corpus row, in blocks of non-zeros
-            bounds = np.r_[starts, len(rr)]
-            g = 0
-            while g < len(rows_hit):
-                h = g
-                while h < len(rows_hit) and bounds[h + 1] - bounds[g] <= step:
-                    h += 1
-                h = max(h, g + 1)
-                lo, hi = bounds[g], bounds[h]
-                contrib = counts[lo:hi, None].astype(np.float64) * qmat[vv[lo:hi]]
-                dots[g:h] = np.add.reduceat(contrib, bounds[g:h] - lo, axis=0)
-                g = h
-            denom = np.sqrt((qnorm[None, :] * cnorm[rows_hit][:, None]).astype(np.float64))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = 1.0 - dots / denom
-            q, i, d, rows = _per_query_candidates(dist, dots > 0, ids[rows_hit], k)
-            top.add(q, i, d, _payload(b, rows_hit[rows], payload_schema))
+            fan = plen[vv]                        # postings per (row, term)
+            # split into row blocks whose posting expansion stays bounded
+            row_starts = np.r_[0, np.flatnonzero(np.diff(rr)) + 1, len(rr)]
+            cum = np.r_[0, np.cumsum(fan)]
+            lo = 0
+            while lo < len(row_starts) - 1:
+                hi = lo + 1
+                while hi < len(row_starts) - 1 and cum[row_starts[hi + 1]] - cum[row_starts[lo]] <= block_pairs:
+                    hi += 1
+                a, z = row_starts[lo], row_starts[hi]
+                f = fan[a:z]
+                total = int(f.sum())
+                if total:
+                    first = np.repeat(ptr[vv[a:z]], f)
+                    step = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
+                    post = first + step
+                    pr = np.repeat(rr[a:z], f)
+                    pc_ = np.repeat(counts[a:z], f).astype(np.int64) * post_tf[post]
+                    pq = post_q[post].astype(np.int64)
+                    pair, inv = np.unique(pr * n_q + pq, return_inverse=True)
+                    dots = np.bincount(inv, weights=pc_.astype(np.float64))
+                    prow, pqq = pair // n_q, (pair % n_q).astype(np.int32)
+                    denom = np.sqrt((qnorm[pqq] * cnorm[prow]).astype(np.float64))
+                    dist = 1.0 - dots / denom
+                    keep = _local_topk_index(pqq, ids[prow], dist, k)
+                    top.add(pqq[keep], ids[prow][keep], dist[keep],
+                            _payload(b, prow[keep], payload_schema))
+                lo = hi
         yield top.batch(out_schema(payload_schema))
 
     return run

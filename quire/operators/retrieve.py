@@ -33,8 +33,11 @@ from quire.operators.audit import audit_struct
 
 HIT_COLUMNS = ["query_id", "rank", "id", "distance"]
 
-# Bounds for what is collected and broadcast per query batch.
-MAX_QUERY_ROWS = 4096
+# Bounds for what is collected and broadcast per query batch. Beyond them the
+# query set is split into hash batches (one more corpus pass each), so the
+# result stays exact whatever the number of queries.
+MAX_QUERY_ROWS = 16384          # dense: rows of the (queries x dim) matrix
+MAX_LEXICAL_QUERIES = 1_000_000  # lexical: queries whose postings are broadcast
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -44,9 +47,11 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}]+", -1), lambda t: t != "")
 
 
-def _batches(queries: DataFrame, key: str, n_rows: int, n_bytes: int) -> list[DataFrame]:
+def _batches(queries: DataFrame, key: str, n_rows: int, n_bytes: int,
+             max_rows: int | None = None) -> list[DataFrame]:
     """Split the query set into hash batches that each respect the bounds."""
-    n_batches = max(1, math.ceil(n_rows / MAX_QUERY_ROWS), math.ceil(n_bytes / MAX_BROADCAST_BYTES))
+    max_rows = max_rows or MAX_QUERY_ROWS
+    n_batches = max(1, math.ceil(n_rows / max_rows), math.ceil(n_bytes / MAX_BROADCAST_BYTES))
     if n_batches == 1:
         return [queries]
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_batches))
@@ -133,8 +138,8 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     ddl, pschema = _payload_spec(corpus, payload)
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"), *payload)
     parts = []
-    # bytes of the dense (terms x queries) matrix bound the batch size
-    for batch in _batches(terms, "query_id", n_q, n_post * 64 + n_q * 8 * 1024):
+    # the broadcast holds the postings (term, query, count): ~48 bytes each
+    for batch in _batches(terms, "query_id", n_q, n_post * 48, MAX_LEXICAL_QUERIES):
         rows = batch.collect()  # postings of a bounded query batch
         if not rows:
             continue
@@ -142,12 +147,15 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
         qpos = {key: i for i, key in enumerate(keys)}
         vocab = sorted({r["term"] for r in rows})
         vpos = {t: i for i, t in enumerate(vocab)}
-        qmat = np.zeros((len(vocab), len(keys)), dtype=np.float64)
+        post = sorted((vpos[r["term"]], qpos[r["query_id"]], r["tf"]) for r in rows)
+        ptr = np.zeros(len(vocab) + 1, dtype=np.int64)
+        np.add.at(ptr, np.asarray([p[0] for p in post], dtype=np.int64) + 1, 1)
+        ptr = np.cumsum(ptr)
+        post_q = np.asarray([p[1] for p in post], dtype=np.int32)
+        post_tf = np.asarray([p[2] for p in post], dtype=np.int64)
         qnorm = np.zeros(len(keys), dtype=np.int64)
-        for r in rows:
-            qmat[vpos[r["term"]], qpos[r["query_id"]]] = r["tf"]
-            qnorm[qpos[r["query_id"]]] += r["tf"] * r["tf"]
-        bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), qmat, qnorm))
+        np.add.at(qnorm, post_q, post_tf * post_tf)
+        bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), ptr, post_q, post_tf, qnorm))
         local = scan.mapInArrow(kernels.lexical_kernel(bc, k, payload_schema=pschema),
                                 kernels.OUT_DDL + ddl)
         key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")

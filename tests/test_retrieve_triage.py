@@ -90,6 +90,18 @@ def brute_lexical(queries, docs, k):
     return out
 
 
+def test_lexical_topk_batches_stay_exact(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(9))) for i in range(60)],
+                                 "doc_id long, text string")
+    q = spark.createDataFrame([(j, " ".join(rnd.choice(words) for _ in range(3))) for j in range(9)],
+                              "query_id long, text string")
+    whole = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=4).collect())
+    monkeypatch.setattr(retrieve, "MAX_LEXICAL_QUERIES", 2)
+    assert sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=4).collect()) == whole
+
+
 def test_lexical_topk_equals_brute_force(spark):
     rnd = random.Random(11)
     words = ["alpha", "beta", "gamma", "délta", "epsilon", "zeta", "eta", "theta", "iota", "kappa"]
