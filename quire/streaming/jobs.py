@@ -52,21 +52,21 @@ def scrub_stream(messages: DataFrame, out_path: str, checkpoint: str | None = No
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def _event_time(df: DataFrame, col: str = "ts") -> tuple[DataFrame, str]:
-    """Event time as TIMESTAMP (watermarks need it); returns the input's type
-    so window bounds can be given back in it."""
+def _event_time(df: DataFrame, watermark: str | None, col: str = "ts") -> tuple[DataFrame, str]:
+    """Event time ready for windowing. A watermark needs TIMESTAMP, so a
+    TIMESTAMP_NTZ column is converted for streams (and window bounds are
+    given back in the input's type); batch twins window the column as is."""
     kind = df.schema[col].dataType.simpleString()
-    if kind == "timestamp_ntz":
-        return df.withColumn(col, F.col(col).cast("timestamp")), kind
-    return df, kind
+    if watermark and kind == "timestamp_ntz":
+        df = df.withColumn(col, F.col(col).cast("timestamp"))
+    return (df.withWatermark(col, watermark) if watermark else df), kind
 
 
 # ------------------------------------------------------------------ S3 status
 def pulse_status(metrics: DataFrame, window: str = "1 minute", watermark: str | None = None) -> DataFrame:
     """S3: per host and tumbling window, mean CPU, whether active, and the
     status colour: inactive -> green; active and CPU < 80 -> orange; else red."""
-    src, kind = _event_time(metrics)
-    src = src.withWatermark("ts", watermark) if watermark else src
+    src, kind = _event_time(metrics, watermark)
     agg = src.groupBy(F.window("ts", window).alias("w"), "host").agg(
         F.avg("cpu_pct").alias("cpu_pct"),
         F.max(F.col("is_active").cast("int")).alias("active"),
@@ -85,8 +85,7 @@ def error_stream(logs: DataFrame, window: str = "1 hour", watermark: str | None
                  prefix: str = "app_") -> DataFrame:
     """C4: error signature counts per tumbling window (late rows up to the
     watermark are still counted)."""
-    src, kind = _event_time(logs)
-    src = src.withWatermark("ts", watermark) if watermark else src
+    src, kind = _event_time(logs, watermark)
     return (src.withColumn("signature", signature_col("traceback", prefix))
             .groupBy(F.window("ts", window).alias("w"), "signature")
             .agg(F.count(F.lit(1)).alias("n_errors"))
