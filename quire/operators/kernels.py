@@ -12,9 +12,16 @@ cut agree.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+# The kernels run on executors, which need not have this package installed:
+# ship this module's code with the task (it only needs numpy and pyarrow).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUT_SCHEMA = pa.schema([("q_idx", pa.int32()), ("id", pa.int64()), ("distance", pa.float64())])
 OUT_DDL = "q_idx int, id long, distance double"
