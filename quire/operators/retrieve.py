@@ -119,6 +119,61 @@ def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "te
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+MAX_POSTINGS = MAX_BROADCAST_BYTES // 48   # (term, query, count) ~48 bytes each
+
+
+def posting_batches(terms: DataFrame):
+    """Query postings ``(query_id, term, tf)`` collected in batches that each
+    respect the broadcast bound. The common case (the whole query set fits)
+    costs one job: ``limit(bound + 1)`` only tests the bound; above it the
+    queries are counted and split into hash batches."""
+    probe = terms.limit(MAX_POSTINGS + 1).collect()
+    if len(probe) <= MAX_POSTINGS and len({r["query_id"] for r in probe}) <= MAX_LEXICAL_QUERIES:
+        if probe:
+            yield probe
+        return
+    stats = terms.agg(F.countDistinct("query_id").alias("nq"), F.count(F.lit(1)).alias("np")).first()
+    for batch in _batches(terms, "query_id", stats["nq"], stats["np"] * 48, MAX_LEXICAL_QUERIES):
+        rows = batch.collect()  # postings of one bounded query batch
+        if rows:
+            yield rows
+
+
+def lexical_scan(corpus: DataFrame, id_col: str, text_col: str, payload=()) -> DataFrame:
+    return corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"), *payload)
+
+
+def lexical_part(rows, scan: DataFrame, k: int, key_type: str, payload=()) -> DataFrame:
+    """Local top-k of every corpus partition for one batch of query postings,
+    keyed back to ``query_id`` (before the final per-query window)."""
+    spark = scan.sparkSession
+    ddl, pschema = _payload_spec(scan, payload)
+    keys = sorted({r["query_id"] for r in rows})
+    qpos = {key: i for i, key in enumerate(keys)}
+    vocab = sorted({r["term"] for r in rows})
+    vpos = {t: i for i, t in enumerate(vocab)}
+    post = sorted((vpos[r["term"]], qpos[r["query_id"]], r["tf"]) for r in rows)
+    ptr = np.zeros(len(vocab) + 1, dtype=np.int64)
+    np.add.at(ptr, np.asarray([p[0] for p in post], dtype=np.int64) + 1, 1)
+    ptr = np.cumsum(ptr)
+    post_q = np.asarray([p[1] for p in post], dtype=np.int32)
+    post_tf = np.asarray([p[2] for p in post], dtype=np.int64)
+    qnorm = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(qnorm, post_q, post_tf * post_tf)
+    bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), ptr, post_q, post_tf, qnorm))
+    local = scan.mapInArrow(kernels.lexical_kernel(bc, k, payload_schema=pschema), kernels.OUT_DDL + ddl)
+    key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
+    return local.join(F.broadcast(key_df), "q_idx").drop("q_idx")
+
+
+def finish_hits(parts: list[DataFrame], k: int, id_col: str, payload=(), spark=None,
+                key_type: str = "long", corpus: DataFrame | None = None) -> DataFrame:
+    """Global top-k per query from the partition-local candidates."""
+    if not parts:
+        return _empty_hits(spark, key_type, id_col, corpus, payload)
+    return _finish(spark, parts, k, id_col, payload)
+
+
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
                  query_key: str = "query_id", query_text: str = "text",
                  id_col: str = "doc_id", text_col: str = "text", payload=()) -> DataFrame:
@@ -126,41 +181,14 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
 
     distance = 1 - dot / sqrt(|q|^2 |c|^2) over whole texts, with integer
     counts; candidates share at least one term with the query.
-    Output ``query_id, rank, <id_col>, distance``.
+    Output ``query_id, rank, <id_col>, distance`` (+ payload columns).
     """
     spark = corpus.sparkSession
     terms = query_terms(queries, query_key, query_text)
-    stats = terms.agg(F.countDistinct("query_id").alias("nq"), F.count(F.lit(1)).alias("np")).first()
-    n_q, n_post = stats["nq"] or 0, stats["np"] or 0
     key_type = terms.schema["query_id"].dataType.simpleString()
-    if n_q == 0:
-        return _empty_hits(spark, key_type, id_col, corpus, payload)
-    ddl, pschema = _payload_spec(corpus, payload)
-    scan = corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"), *payload)
-    parts = []
-    # the broadcast holds the postings (term, query, count): ~48 bytes each
-    for batch in _batches(terms, "query_id", n_q, n_post * 48, MAX_LEXICAL_QUERIES):
-        rows = batch.collect()  # postings of a bounded query batch
-        if not rows:
-            continue
-        keys = sorted({r["query_id"] for r in rows})
-        qpos = {key: i for i, key in enumerate(keys)}
-        vocab = sorted({r["term"] for r in rows})
-        vpos = {t: i for i, t in enumerate(vocab)}
-        post = sorted((vpos[r["term"]], qpos[r["query_id"]], r["tf"]) for r in rows)
-        ptr = np.zeros(len(vocab) + 1, dtype=np.int64)
-        np.add.at(ptr, np.asarray([p[0] for p in post], dtype=np.int64) + 1, 1)
-        ptr = np.cumsum(ptr)
-        post_q = np.asarray([p[1] for p in post], dtype=np.int32)
-        post_tf = np.asarray([p[2] for p in post], dtype=np.int64)
-        qnorm = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(qnorm, post_q, post_tf * post_tf)
-        bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), ptr, post_q, post_tf, qnorm))
-        local = scan.mapInArrow(kernels.lexical_kernel(bc, k, payload_schema=pschema),
-                                kernels.OUT_DDL + ddl)
-        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
-        parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
-    return _finish(spark, parts, k, id_col, payload)
+    scan = lexical_scan(corpus, id_col, text_col, payload)
+    parts = [lexical_part(rows, scan, k, key_type, payload) for rows in posting_batches(terms)]
+    return finish_hits(parts, k, id_col, payload, spark, key_type, corpus)
 
 
 def vector_distance(a: Column, b: Column, metric: str = "l2sq") -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,9 +70,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` through a table written once to the shared
+    checkpoint folder and read back.
+
+    Like a reliable checkpoint it survives the loss of executors; unlike
+    ``Dataset.checkpoint`` on an unpersisted plan it computes the rows once
+    (the RDD checkpoint recomputes them to write the files).
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

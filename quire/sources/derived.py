@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.sources.tables import read_table
+from quire.sources.tables import read_table, spread
 
 NL = "chr(10)"
 
@@ -176,12 +176,18 @@ DERIVED: dict[str, tuple[str, str | None, list[str]]] = {
 }
 
 
+# Derived inputs that carry whole texts, so per-row work dominates and a
+# single-split scan is worth spreading over the task slots.
+TEXT_INPUTS = {"md_docs", "error_logs", "claims", "chat"}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, where, exprs = DERIVED[name]
-    df = read_table(spark, sf_dir, table)
+    df = read_table(spark, sf_dir, table, balance=False)
     if where:
         df = df.where(where)
-    return df.selectExpr(*exprs)
+    df = df.selectExpr(*exprs)
+    return spread(df) if name in TEXT_INPUTS else df
 
 
 def derived_sql(name: str) -> str:
