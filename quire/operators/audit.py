@@ -75,8 +75,8 @@ def annotate_noncompliant(audited: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def contract_failures(df: DataFrame) -> Column:
-    """Names of the response-contract rules one row fails, as an array."""
+def contract_rules() -> list[tuple[str, Column]]:
+    """(rule name, failure condition) for every rule of the response contract."""
     checks = []
     for f in fixed.RESPONSE_REQUIRED:
         checks.append((f"required:{f}", F.col(f).isNull()))
@@ -91,13 +91,21 @@ def contract_failures(df: DataFrame) -> Column:
     for f in fixed.INTERVAL_REQUIRED:
         checks.append((f"interval:{f}", F.col("conformal_interval").isNotNull()
                        & F.col(f"conformal_interval.{f}").isNull()))
-    return F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("failed")) for n, c in checks])
+    return checks
+
+
+def contract_failures(df: DataFrame) -> Column:
+    """Names of the response-contract rules one row fails, as an array."""
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in contract_rules()]),
+                    lambda x: x.isNotNull())
 
 
 def contract_check(responses: DataFrame) -> DataFrame:
-    """Rows failing each contract rule (every rule listed, zero included)."""
-    return (
-        responses.select(F.explode(contract_failures(responses)).alias("r"))
-        .groupBy(F.col("r.rule").alias("rule"))
-        .agg(F.sum(F.when(F.col("r.failed"), 1).otherwise(0)).alias("n_failed"))
-    )
+    """Rows failing each contract rule (every rule listed, zero included).
+    One aggregate over all rules (combined before the shuffle), then
+    unpivoted to one row per rule."""
+    rules = contract_rules()
+    counts = responses.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(f"r{i}")
+                             for i, (_, c) in enumerate(rules)])
+    pairs = ", ".join(f"'{n}', r{i}" for i, (n, _) in enumerate(rules))
+    return counts.selectExpr(f"stack({len(rules)}, {pairs}) AS (rule, n_failed)")

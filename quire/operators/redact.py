@@ -87,31 +87,34 @@ def redaction_report(messages: DataFrame, text: str = "text", by: str = "role")
     """Per ``by`` value and pattern (geometry, coords, matrix): rows hit,
     matches and the net change in characters, plus rows where a coordinate
     or matrix pattern still matches after redaction (leak check)."""
-    s0 = F.coalesce(F.col(text), F.lit(""))
-    s1 = redact_blocks(s0)
-    s2 = redact_coords(s1)
-    s3 = redact_matrices(s2)
-    staged = messages.select(
-        F.coalesce(F.col(by), F.lit(fixed.UNKNOWN_ROLE)).alias(by),
-        F.array(
-            F.struct(F.lit("geometry").alias("pattern"),
-                     F.regexp_count(s0, F.lit(fixed.GEOMETRY_BLOCK_JAVA)).alias("n"),
-                     (F.length(s1) - F.length(s0)).alias("delta")),
-            F.struct(F.lit("coords").alias("pattern"),
-                     F.regexp_count(s1, F.lit(fixed.COORD_LINE_JAVA)).alias("n"),
-                     (F.length(s2) - F.length(s1)).alias("delta")),
-            F.struct(F.lit("matrix").alias("pattern"),
-                     F.regexp_count(s2, F.lit(fixed.FLOAT_MATRIX_JAVA)).alias("n"),
-                     (F.length(s3) - F.length(s2)).alias("delta")),
-        ).alias("st"),
-        ((F.regexp_count(s3, F.lit(fixed.COORD_LINE_JAVA))
-          + F.regexp_count(s3, F.lit(fixed.FLOAT_MATRIX_JAVA))) > 0).alias("leak"),
-    )
-    return (
-        staged.select(by, "leak", F.explode("st").alias("s"))
-        .groupBy(by, F.col("s.pattern").alias("pattern"))
-        .agg(F.sum(F.when(F.col("s.n") > 0, 1).otherwise(0)).alias("n_rows_hit"),
-             F.sum("s.n").alias("n_matches"),
-             F.sum("s.delta").alias("chars_delta"),
-             F.sum(F.when(F.col("leak"), 1).otherwise(0)).alias("n_leaks"))
+    # One projection per stage: each stage's text is computed once and read
+    # by the next stage and the counts (no nested re-evaluation). The counts
+    # are aggregated per group first (combined before the shuffle) and the
+    # small result is unpivoted to one row per pattern.
+    counted = (
+        messages.select(F.coalesce(F.col(by), F.lit(fixed.UNKNOWN_ROLE)).alias(by),
+                        F.coalesce(F.col(text), F.lit("")).alias("s0"))
+        .withColumn("s1", redact_blocks("s0"))
+        .withColumn("s2", redact_coords("s1"))
+        .withColumn("s3", redact_matrices("s2"))
+        .select(
+            by,
+            F.regexp_count("s0", F.lit(fixed.GEOMETRY_BLOCK_JAVA)).alias("n_geometry"),
+            (F.length("s1") - F.length("s0")).alias("d_geometry"),
+            F.regexp_count("s1", F.lit(fixed.COORD_LINE_JAVA)).alias("n_coords"),
+            (F.length("s2") - F.length("s1")).alias("d_coords"),
+            F.regexp_count("s2", F.lit(fixed.FLOAT_MATRIX_JAVA)).alias("n_matrix"),
+            (F.length("s3") - F.length("s2")).alias("d_matrix"),
+            ((F.regexp_count("s3", F.lit(fixed.COORD_LINE_JAVA))
+              + F.regexp_count("s3", F.lit(fixed.FLOAT_MATRIX_JAVA))) > 0).alias("leak"),
+        )
     )
+    aggs = [F.sum(F.when(F.col("leak"), 1).otherwise(0)).alias("n_leaks")]
+    for p in ("geometry", "coords", "matrix"):
+        aggs += [F.sum(F.when(F.col(f"n_{p}") > 0, 1).otherwise(0)).alias(f"hit_{p}"),
+                 F.sum(f"n_{p}").cast("long").alias(f"cnt_{p}"),
+                 F.sum(f"d_{p}").cast("long").alias(f"del_{p}")]
+    per_group = counted.groupBy(by).agg(*aggs)
+    rows = ", ".join(f"'{p}', hit_{p}, cnt_{p}, del_{p}, n_leaks" for p in ("geometry", "coords", "matrix"))
+    return per_group.selectExpr(
+        by, f"stack(3, {rows}) AS (pattern, n_rows_hit, n_matches, chars_delta, n_leaks)")
