@@ -30,6 +30,7 @@ from quire.functions import fixed
 from quire.functions.columns import half_up, score_interval
 from quire.operators import kernels
 from quire.operators.audit import audit_struct
+from quire.session import cut_lineage
 
 HIT_COLUMNS = ["query_id", "rank", "id", "distance"]
 
@@ -91,18 +92,11 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
     """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"))
-    n_rows = q.count()
     key_type = q.schema["query_id"].dataType.simpleString()
-    if n_rows == 0:
-        return _empty_hits(spark, key_type, id_col, corpus, payload)
-    dim = q.select(F.max(F.size("vector"))).first()[0]
     ddl, pschema = _payload_spec(corpus, payload)
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *payload)
     parts = []
-    for batch in _batches(q, "query_id", n_rows, n_rows * dim * 8):
-        rows = batch.collect()  # bounded by MAX_QUERY_ROWS / MAX_BROADCAST_BYTES
-        if not rows:
-            continue
+    for rows in _vector_batches(q):
         keys = [r["query_id"] for r in rows]
         mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
         bc = spark.sparkContext.broadcast(mat)
@@ -110,9 +104,31 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
                                 kernels.OUT_DDL + ddl)
         key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
         parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
+    if not parts:
+        return _empty_hits(spark, key_type, id_col, corpus, payload)
     return _finish(spark, parts, k, id_col, payload)
 
 
+def _vector_batches(q: DataFrame):
+    """Query vectors collected in batches within the broadcast bounds. The
+    common case costs one job: ``limit(bound + 1)`` only tests the row bound;
+    above it (or above the byte bound) the queries are counted and split into
+    hash batches."""
+    probe = q.limit(MAX_QUERY_ROWS + 1).collect()
+    if len(probe) <= MAX_QUERY_ROWS:
+        n_bytes = sum(len(r["vector"] or ()) for r in probe) * 8
+        if n_bytes <= MAX_BROADCAST_BYTES:
+            if probe:
+                yield probe
+            return
+    n_rows = q.count()
+    dim = q.select(F.max(F.size("vector"))).first()[0] or 0
+    for batch in _batches(q, "query_id", n_rows, n_rows * dim * 8):
+        rows = batch.collect()  # bounded by MAX_QUERY_ROWS / MAX_BROADCAST_BYTES
+        if rows:
+            yield rows
+
+
 def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, term, tf) for the query set."""
     return (queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(text)).alias("term"))
@@ -231,7 +247,8 @@ def topk_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, metric
     if k > 3:
         hits = dense_topk(queries, corpus, k, metric, **kw)
         return hits.withColumn("used_fallback", F.lit(False))
-    first = filtered_topk(queries, corpus, k, metric, filter_key, **kw)
+    # queries x k rows at most, read twice below: cut once into the shared folder
+    first = cut_lineage(filtered_topk(queries, corpus, k, metric, filter_key, **kw))
     missing = queries.join(first.select(F.col("query_id").alias(query_key)).distinct(),
                            query_key, "left_anti")
     retry = dense_topk(missing, corpus, k, metric, **kw)
