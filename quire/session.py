@@ -56,12 +56,17 @@ def get_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset (a
-    local test run) is a scratch folder created and registered; on a cluster
-    the setting must point at shared storage.
+    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset on
+    a local master (a test run) is a scratch folder created and registered;
+    on a cluster an unset setting is an error, since a machine-local folder
+    would not survive the loss of that machine.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a "
+                             "shared folder that every executor and the driver can reach")
         current = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if spark.sparkContext.getCheckpointDir() is None:
