@@ -45,16 +45,22 @@ def write_corpus(chunks: DataFrame, path: str) -> int:
 
 def export_scrubbed(messages: DataFrame, path: str, export_timestamp: str,
                     compression: str = "gzip") -> None:
-    """H2: scrubbed conversations as JSON lines, one object per conversation:
-    ``{export_timestamp, version, privacy_guarantee, chat_data: [{role, content}]}``.
-    The time is a parameter so an export is repeatable."""
-    scrubbed = redact.scrub_conversations(messages).withColumnRenamed("content", "text")
-    per_conv = transcripts(scrubbed).select(
-        "conv_id",
+    """H2: the scrubbed conversations as compressed JSON.
+
+    ``<path>/manifest``: one object ``{export_timestamp, version,
+    privacy_guarantee, n_conversations, n_messages}``; ``<path>/chat_data``:
+    one object ``{conv_id, turn, role, content}`` per message, in
+    conversation and turn order. The time is a parameter so an export is
+    repeatable; no conversation is gathered into one task.
+    """
+    scrubbed = redact.scrub_conversations(messages)
+    manifest = scrubbed.agg(F.countDistinct("conv_id").alias("n_conversations"),
+                            F.count(F.lit(1)).alias("n_messages")).select(
         F.lit(export_timestamp).alias("export_timestamp"),
         F.lit(fixed.EXPORT_VERSION).alias("version"),
         F.lit(fixed.PRIVACY_NOTE).alias("privacy_guarantee"),
-        F.transform("messages", lambda m: F.struct(m["role"].alias("role"),
-                                                    m["text"].alias("content"))).alias("chat_data"),
-    )
-    per_conv.write.mode("overwrite").option("compression", compression).json(path)
+        "n_conversations", "n_messages")
+    manifest.coalesce(1).write.mode("overwrite").option("compression", compression) \
+        .json(os.path.join(path, "manifest"))
+    transcripts(scrubbed).write.mode("overwrite").option("compression", compression) \
+        .json(os.path.join(path, "chat_data"))

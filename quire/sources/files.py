@@ -37,15 +37,17 @@ def kb_scan_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
     return _files(reader.text(path, wholetext=True))
 
 
-def transcripts(messages: DataFrame) -> DataFrame:
-    """A3: messages of a conversation in turn order as one array.
+def transcripts(messages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """A3: the messages of every conversation in turn order.
 
-    Used where one nested value per conversation is the product (the JSON
-    export); its size is that of one conversation. Set-level summaries use
-    ``transcript_stats``, which aggregates without collecting.
+    Range partitioning on (conv_id, turn) keeps each conversation's messages
+    together and in order while still letting a conversation that holds a
+    large share of all messages span several partitions; nothing is
+    collected into one value.
     """
-    return messages.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+    n = partitions or messages.sparkSession.sparkContext.defaultParallelism
+    return (messages.repartitionByRange(n, "conv_id", "turn")
+            .sortWithinPartitions("conv_id", "turn"))
 
 
 def transcript_stats(messages: DataFrame) -> DataFrame:

@@ -92,12 +92,20 @@ def test_export_round_trip(spark, tmp_dir):
         [(1, 0, "user", "Smiles C1=CC=C(C=C1)O here"), (1, 1, "oracle", "fine"), (2, 0, None, None)],
         "conv_id long, turn long, role string, text string")
     sinks.export_scrubbed(msgs, out, "20260101_000000")
-    lines = []
-    for p in glob.glob(os.path.join(out, "*.json.gz")):
-        with gzip.open(p, "rt") as f:
-            lines += [json.loads(x) for x in f if x.strip()]
-    by = {d["conv_id"]: d for d in lines}
-    assert by[1]["export_timestamp"] == "20260101_000000"
-    assert [m["content"] for m in by[1]["chat_data"]] == ["Smiles [REDACTED_SMILES_STRING] here", "fine"]
-    assert by[2]["chat_data"] == [{"role": "unknown", "content": ""}]
+
+    def read(sub):
+        rows = []
+        for p in sorted(glob.glob(os.path.join(out, sub, "*.json.gz"))):
+            with gzip.open(p, "rt") as f:
+                rows += [json.loads(x) for x in f if x.strip()]
+        return rows
+
+    manifest = read("manifest")
+    assert manifest == [{"export_timestamp": "20260101_000000", "version": "2026.1",
+                         "privacy_guarantee": manifest[0]["privacy_guarantee"],
+                         "n_conversations": 2, "n_messages": 3}]
+    msgs_out = read("chat_data")
+    assert [(m["conv_id"], m["turn"]) for m in msgs_out] == [(1, 0), (1, 1), (2, 0)]
+    assert [m["content"] for m in msgs_out[:2]] == ["Smiles [REDACTED_SMILES_STRING] here", "fine"]
+    assert (msgs_out[2]["role"], msgs_out[2]["content"]) == ("unknown", "")
     assert F is not None
