@@ -15,24 +15,34 @@ def sync_report(files: DataFrame, existing: DataFrame) -> DataFrame:
     ids, ids inserted and ids already in the collection; ROLLUP adds the total
     row (``file`` NULL).
 
-    The collection's ids are joined once (AQE broadcasts them when small,
-    otherwise a sort-merge join on the id).
+    Two plain aggregations and no distinct aggregate: first per (file, id)
+    -- every group is one id, short pieces share the NULL id -- then the
+    ROLLUP of sums. Both combine before their shuffles, so a file or an id
+    with a large share of the rows is cheap. The collection's ids are joined
+    once (AQE broadcasts them when small, else a sort-merge join on the id).
     """
     pieces = ingest.chunk_documents(files, min_chars=None)
     kept = F.length("text") >= fixed.MIN_CHUNK_CHARS
     flagged = (
-        pieces.withColumn("kept", kept)
-        .withColumn("chunk_id", F.when(kept, ingest.chunk_id_col("file", "text")))
+        pieces.select("file", kept.alias("kept"),
+                      F.when(kept, ingest.chunk_id_col("file", "text")).alias("chunk_id"))
         .join(existing.select("chunk_id").distinct().withColumn("present", F.lit(True)),
               "chunk_id", "left")
     )
-    return flagged.rollup("file").agg(
-        F.count(F.lit(1)).alias("n_pieces"),
+    per_id = flagged.groupBy("file", "chunk_id").agg(
+        F.count(F.lit(1)).alias("n"),
         F.sum(F.when(~F.col("kept"), 1).otherwise(0)).alias("n_short"),
-        F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("n_chunks"),
-        F.countDistinct("chunk_id").alias("n_ids"),
-        F.countDistinct(F.when(F.col("present").isNull(), F.col("chunk_id"))).alias("n_inserted"),
-        F.countDistinct(F.when(F.col("present"), F.col("chunk_id"))).alias("n_existing"),
+        F.sum(F.when(F.col("kept"), 1).otherwise(0)).alias("n_kept"),
+        F.max(F.coalesce(F.col("present"), F.lit(False))).alias("present"),
+    )
+    is_id = F.col("chunk_id").isNotNull()
+    return per_id.rollup("file").agg(
+        F.sum("n").alias("n_pieces"),
+        F.sum("n_short").alias("n_short"),
+        F.sum("n_kept").alias("n_chunks"),
+        F.count("chunk_id").alias("n_ids"),
+        F.sum(F.when(is_id & ~F.col("present"), 1).otherwise(0)).cast("long").alias("n_inserted"),
+        F.sum(F.when(is_id & F.col("present"), 1).otherwise(0)).cast("long").alias("n_existing"),
     )
 
 
