@@ -94,11 +94,33 @@ def out_schema(payload_schema=None):
     return pa.schema(list(OUT_SCHEMA) + list(payload_schema))
 
 
-def dense_kernel(bc, k, metric, block_cells=8_000_000, payload_schema=None):
-    """Kernel over batches of ``(id long, vec array<float|double>, *payload)``."""
+def _distances(e, queries, q_norm, metric):
+    """(rows x queries) distances of a block of corpus vectors."""
+    if metric == "l2sq":
+        diff = e[:, None, :] - queries[None, :, :]
+        return np.einsum("nqd,nqd->nq", diff, diff)
+    if metric == "cosine":
+        en = np.sqrt((e * e).sum(axis=1))
+        return 1.0 - (e @ queries.T) / (en[:, None] * q_norm[None, :])
+    raise ValueError(f"unknown metric {metric!r}")
+
+
+def dense_kernel(bc, k, metric, block_cells=8_000_000, payload_schema=None, filtered=False):
+    """Kernel over batches of ``(id long, vec array<float|double>[, filter], *payload)``.
+
+    Unfiltered: broadcast value is the (Q x d) query matrix and every row is
+    scored against every query. Filtered: broadcast value is
+    ``(matrix, {filter value: query indices})``; a row is scored only against
+    the queries whose filter value equals its own (NULL matches nothing), so
+    a label shared by many queries never forms more than one row block x
+    its queries at a time.
+    """
 
     def run(batches):
-        queries = bc.value  # (Q x d) float64
+        if filtered:
+            queries, groups = bc.value
+        else:
+            queries, groups = bc.value, None
         n_q, dim = queries.shape
         q_norm = np.sqrt((queries * queries).sum(axis=1))
         top = _TopK(k, payload_schema)
@@ -109,24 +131,26 @@ def dense_kernel(bc, k, metric, block_cells=8_000_000, payload_schema=None):
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vec_col = b.column(1)
             lens = np.diff(vec_col.offsets.to_numpy())
-            ok = lens == dim
-            if not ok.all():
+            if not (lens == dim).all():
                 raise ValueError(f"vector length differs from query dimension {dim}")
             vecs = vec_col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            step = max(1, block_cells // max(1, n_q * dim))
-            for s in range(0, n, step):
-                e = vecs[s:s + step]
-                if metric == "l2sq":
-                    diff = e[:, None, :] - queries[None, :, :]
-                    d = np.einsum("nqd,nqd->nq", diff, diff)
-                elif metric == "cosine":
-                    dots = e @ queries.T
-                    en = np.sqrt((e * e).sum(axis=1))
-                    d = 1.0 - dots / (en[:, None] * q_norm[None, :])
-                else:
-                    raise ValueError(f"unknown metric {metric!r}")
-                q, i, dist, rows = _per_query_candidates(d, None, ids[s:s + step], k)
-                top.add(q, i, dist, _payload(b, rows + s, payload_schema))
+            if groups is None:
+                blocks = [(np.arange(n), np.arange(n_q))]
+            else:
+                enc = pc.dictionary_encode(b.column(2))
+                codes = enc.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                blocks = []
+                for code, value in enumerate(enc.dictionary.to_pylist()):
+                    qs = groups.get(value)
+                    if qs is not None:
+                        blocks.append((np.flatnonzero(codes == code), qs))
+            for rows_all, qs in blocks:
+                step = max(1, block_cells // max(1, len(qs) * dim))
+                for s in range(0, len(rows_all), step):
+                    rows = rows_all[s:s + step]
+                    d = _distances(vecs[rows], queries[qs], q_norm[qs], metric)
+                    qj, i, dist, r = _per_query_candidates(d, None, ids[rows], k)
+                    top.add(qs[qj].astype(np.int32), i, dist, _payload(b, rows[r], payload_schema))
         yield top.batch(out_schema(payload_schema))
 
     return run

@@ -12,9 +12,9 @@ k per query; one small shuffle and a ``row_number`` window give the global
 top k. No query x corpus pairs are materialised or shuffled, and the corpus
 is read where it lies (no corpus shuffle).
 
-Filtered top-k (B3) is an equi-join on the filter key (the label), so each
-corpus row meets only the queries that ask for its label; the window's
-partial group limit keeps a hot label from landing in one task.
+Filtered top-k (B3) uses the same plan: each corpus row is scored only
+against the broadcast queries that ask for its filter value, so a value
+shared by many queries, or holding most of the corpus, forms no pairs.
 """
 
 from __future__ import annotations
@@ -207,35 +207,43 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     return finish_hits(parts, k, id_col, payload, spark, key_type, corpus)
 
 
-def vector_distance(a: Column, b: Column, metric: str = "l2sq") -> Column:
-    """Distance of two equal-length arrays in DOUBLE, JVM-side."""
-    if metric == "l2sq":
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2),
-                           F.lit(0.0), lambda acc, x: acc + x)
-    if metric == "cosine":
-        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                          F.lit(0.0), lambda acc, x: acc + x)
-        na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") ** 2))
-        nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x.cast("double") ** 2))
-        return F.lit(1.0) - dot / (na * nb)
-    raise ValueError(f"unknown metric {metric!r}")
-
-
 def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",
                   filter_key: str = "label", query_key: str = "query_id",
                   query_vec: str = "vector", id_col: str = "vec_id",
-                  vec_col: str = "embedding") -> DataFrame:
+                  vec_col: str = "embedding", payload=()) -> DataFrame:
     """Per query, the k nearest corpus vectors among those whose
-    ``filter_key`` equals the query's ``filter_key`` (filter, then top-k)."""
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("qvec"),
+    ``filter_key`` equals the query's ``filter_key`` (filter, then top-k).
+
+    Same plan as ``dense_topk``: the size-checked query set (with filter
+    values) is broadcast, each corpus partition scores a row only against
+    the queries asking for its value and keeps its local top k; no
+    query x row pairs are formed or shuffled, however many queries share a
+    value or however many rows a value holds.
+    """
+    spark = corpus.sparkSession
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"),
                        F.col(filter_key).alias("_fk"))
-    c = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"),
-                      F.col(filter_key).alias("_fk"))
-    scored = c.join(q, "_fk").select("query_id", "id",
-                                      vector_distance(F.col("vec"), F.col("qvec"), metric).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "distance"))
+    key_type = q.schema["query_id"].dataType.simpleString()
+    ddl, pschema = _payload_spec(corpus, payload)
+    scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
+                         F.col(filter_key).alias("_fk"), *payload)
+    parts = []
+    for rows in _vector_batches(q):
+        keys = [r["query_id"] for r in rows]
+        mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
+        groups: dict = {}
+        for i, r in enumerate(rows):
+            if r["_fk"] is not None:
+                groups.setdefault(r["_fk"], []).append(i)
+        groups = {v: np.asarray(ix, dtype=np.int64) for v, ix in groups.items()}
+        bc = spark.sparkContext.broadcast((mat, groups))
+        local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric, payload_schema=pschema, filtered=True),
+                                kernels.OUT_DDL + ddl)
+        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
+        parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
+    if not parts:
+        return _empty_hits(spark, key_type, id_col, corpus, payload)
+    return _finish(spark, parts, k, id_col, payload)
 
 
 def topk_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",

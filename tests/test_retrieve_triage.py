@@ -57,6 +57,22 @@ def test_dense_topk_query_batches_stay_exact(spark, monkeypatch):
     assert whole == batched
 
 
+def test_filtered_topk_hot_label_many_queries(spark):
+    # label 0 holds two thirds of the rows and 30 of the 32 queries ask for it
+    rnd = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rnd.normal(size=6).astype(np.float32)], 0 if i % 3 else 1 + i % 2)
+            for i in range(600)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(6)
+    qs = [(j, [float(x) for x in rnd.normal(size=6)], 0 if j < 30 else j - 29) for j in range(32)]
+    qdf = spark.createDataFrame(qs, "query_id long, vector array<double>, label int")
+    got = {}
+    for r in sorted(retrieve.filtered_topk(qdf, corpus, k=3).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for qid, vec, lab in qs:
+        same = [(v, e, l) for v, e, l in rows if l == lab]
+        assert got[qid] == brute_dense(same, [(qid, vec)], 3)[qid]
+
+
 def test_filtered_and_fallback(spark):
     rows, corpus = vectors(spark, labels=3)
     cents = retrieve.label_centroids(corpus).withColumnRenamed("label", "query_id") \
