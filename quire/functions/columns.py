@@ -41,6 +41,39 @@ def half_up(x: str | Column, digits: int) -> Column:
     return F.floor(col_(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+def py_round(x: str | Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` for finite doubles, exactly.
+
+    Python rounds the exact binary value of ``x`` half-to-even. Here
+    ``|x| * 10^d`` is computed exactly as ``p + e`` (Dekker's two-product with
+    a Veltkamp split; every step is an exact IEEE operation), the fraction
+    of ``p`` and the sign of ``e`` decide the rounding, and exact ties go to
+    the even neighbour. The oracle SQL uses the same arithmetic.
+
+    ``x`` is bound once through a one-element ``transform`` (a "let"): the
+    formula reads it many times, and nested roundings would otherwise copy
+    the argument's expression tree at every level.
+    """
+    scale = float(10 ** digits)
+
+    def body(v: Column) -> Column:
+        a = F.abs(v)
+        p = a * F.lit(scale)
+        t = a * F.lit(134217729.0)          # 2^27 + 1
+        ah = t - (t - a)
+        al = a - ah
+        e = (ah * F.lit(scale) - p) + al * F.lit(scale)
+        f = F.floor(p).cast("double")
+        frac = p - f
+        up = ((frac > 0.5)
+              | ((frac == 0.5) & (e > 0))
+              | ((frac == 0.5) & (e == 0) & (F.pmod(f, F.lit(2.0)) == 1.0)))
+        r = F.when(up, f + 1.0).otherwise(f) / F.lit(scale)
+        return F.when(v < 0, -r).otherwise(r)
+
+    return F.element_at(F.transform(F.array(col_(x).cast("double")), body), 1)
+
+
 def py_int(raw: str | Column) -> Column:
     """Python ``int(str)``: optional sign and digits, surrounding whitespace allowed.
 
@@ -73,10 +106,11 @@ def score_interval(distance: str | Column, level: float = 0.95) -> Column:
     lower = max(0, r1(point - margin)); upper = min(100, r1(point + margin)).
     """
     d = clean_distance(distance)
-    point = half_up(F.lit(100.0) * (F.lit(1.0) / (F.lit(1.0) + d)), 1)
-    margin = half_up(F.lit(5.0) * (F.lit(1.0) + d), 1)
-    low = F.greatest(F.lit(0.0), half_up(F.greatest(point - margin, F.lit(0.0)), 1))
-    high = F.least(F.lit(100.0), half_up(point + margin, 1))
+    point = py_round(F.lit(100.0) * (F.lit(1.0) / (F.lit(1.0) + d)), 1)
+    margin = py_round(F.lit(5.0) * (F.lit(1.0) + d), 1)
+    # clamping first equals max(0, round(...)) and never yields -0.0
+    low = F.greatest(F.lit(0.0), py_round(F.greatest(point - margin, F.lit(0.0)), 1))
+    high = F.least(F.lit(100.0), py_round(point + margin, 1))
     return F.struct(
         low.alias("lower_bound"),
         high.alias("upper_bound"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.columns import half_up, py_int
+from quire.functions.columns import py_int, py_round
 
 
 def memory_atoms(raw: Column) -> Column:
@@ -24,13 +24,13 @@ def memory_atoms(raw: Column) -> Column:
 
 
 def mace_gb(n: Column) -> Column:
-    return half_up(F.lit(fixed.MACE_BASE_GB) + n.cast("double") * F.lit(fixed.MACE_PER_ATOM_GB), 3)
+    return py_round(F.lit(fixed.MACE_BASE_GB) + n.cast("double") * F.lit(fixed.MACE_PER_ATOM_GB), 3)
 
 
 def dft_gb(n: Column) -> Column:
     per_sq = float(fixed.MATRIX_COPIES * fixed.BASIS_PER_ATOM ** 2 * fixed.BYTES_PER_DOUBLE)
     nd = n.cast("double")
-    return half_up(F.lit(fixed.DFT_BASE_GB) + F.lit(per_sq) * (nd * nd) / F.lit(float(fixed.GIB)), 3)
+    return py_round(F.lit(fixed.DFT_BASE_GB) + F.lit(per_sq) * (nd * nd) / F.lit(float(fixed.GIB)), 3)
 
 
 def estimate_memory(requests: DataFrame) -> DataFrame:

@@ -22,6 +22,26 @@ def _with(**ctes: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n"
 
 
+def py_round(x: str, digits: int) -> str:
+    """Python's round(x, digits), exactly: |x|*10^d as p + e (two-product),
+    fraction of p and sign of e decide, exact ties to even. ``x`` is bound
+    once through a one-element list_transform."""
+    sc = f"{float(10 ** digits)}::DOUBLE"
+    a = "abs(v)"
+    p = f"({a} * {sc})"
+    t = f"({a} * 134217729.0::DOUBLE)"
+    ah = f"({t} - ({t} - {a}))"
+    al = f"({a} - {ah})"
+    e = f"(({ah} * {sc} - {p}) + {al} * {sc})"
+    f = f"floor({p})"
+    fr = f"({p} - {f})"
+    up = (f"({fr} > 0.5::DOUBLE OR ({fr} = 0.5::DOUBLE AND {e} > 0.0::DOUBLE) OR "
+          f"({fr} = 0.5::DOUBLE AND {e} = 0.0::DOUBLE AND {f} % 2.0::DOUBLE = 1.0::DOUBLE))")
+    r = f"((CASE WHEN {up} THEN {f} + 1.0::DOUBLE ELSE {f} END) / {sc})"
+    body = f"CASE WHEN v < 0 THEN -{r} ELSE {r} END"
+    return f"(list_transform([CAST(({x}) AS DOUBLE)], lambda v: {body}))[1]"
+
+
 def half_up(x: str, digits: int) -> str:
     scale = float(10 ** digits)
     return f"(CAST(floor(({x}) * {scale} + 0.5) AS DOUBLE) / {scale})"
@@ -185,10 +205,10 @@ def interval_sql(d: str) -> str:
     """Score-interval columns for raw distance expression ``d`` (DOUBLE or NULL)."""
     c = (f"(CASE WHEN ({d}) IS NULL OR isnan({d}) OR isinf({d}) OR ({d}) < 0 THEN 0.0::DOUBLE "
          f"ELSE least(({d}), 1000000.0::DOUBLE) END)")
-    point = half_up(f"100.0::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + {c}))", 1)
-    margin = half_up(f"5.0::DOUBLE * (1.0::DOUBLE + {c})", 1)
-    low = f"greatest(0.0::DOUBLE, {half_up(f'greatest({point} - {margin}, 0.0::DOUBLE)', 1)})"
-    high = f"least(100.0::DOUBLE, {half_up(f'{point} + {margin}', 1)})"
+    point = py_round(f"100.0::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + {c}))", 1)
+    margin = py_round(f"5.0::DOUBLE * (1.0::DOUBLE + {c})", 1)
+    low = f"greatest(0.0::DOUBLE, {py_round(f'greatest({point} - {margin}, 0.0::DOUBLE)', 1)})"
+    high = f"least(100.0::DOUBLE, {py_round(f'{point} + {margin}', 1)})"
     return (f"{low} AS lower_bound, {high} AS upper_bound, 0.95::DOUBLE AS confidence_level, "
             f"{point} AS point_estimate")
 
@@ -309,8 +329,8 @@ def _mem_cols(raw: str) -> str:
          f"WHEN NOT regexp_matches({raw}, '^\\s*[+-]?[0-9]+\\s*$') THEN 10 "
          f"ELSE greatest(TRY_CAST(trim({raw}) AS BIGINT), 1) END)")
     nd = f"CAST({n} AS DOUBLE)"
-    mace = half_up(f"0.5::DOUBLE + {nd} * 0.005::DOUBLE", 3)
-    dft = half_up(f"1.0::DOUBLE + 259200.0::DOUBLE * ({nd} * {nd}) / 1073741824.0::DOUBLE", 3)
+    mace = py_round(f"0.5::DOUBLE + {nd} * 0.005::DOUBLE", 3)
+    dft = py_round(f"1.0::DOUBLE + 259200.0::DOUBLE * ({nd} * {nd}) / 1073741824.0::DOUBLE", 3)
     return f"{n} AS n_atoms, {mace} AS mace_gb, {dft} AS dft_gb"
 
 
