@@ -55,16 +55,28 @@ def smiles_valid(candidate: Column) -> Column:
 
 def redact_smiles(text: str | Column) -> Column:
     """SMILES-like candidates that pass the structural + organic test are
-    replaced by the label; other candidates stay as they are."""
-    t = col_(text)
+    replaced by the label; other candidates stay as they are.
+
+    The text and its candidate list are each bound once through one-element
+    ``transform`` calls, so an input that is itself an expression (the
+    earlier redaction steps) is evaluated once per row.
+    """
     pat = F.lit(SMILES_JAVA)
-    cands = F.regexp_extract_all(t, pat, 0)
-    pieces = F.split(t, SMILES_JAVA, -1)
-    mapped = F.transform(cands, lambda c: F.when(smiles_valid(c), F.lit(fixed.SMILES_LABEL)).otherwise(c))
-    joined = F.array_join(
-        F.zip_with(pieces, F.concat(mapped, F.array(F.lit(""))),
-                   lambda p, r: F.concat(F.coalesce(p, F.lit("")), F.coalesce(r, F.lit("")))), "")
-    return F.when(t.isNull(), t).when(F.size(cands) == 0, t).otherwise(joined)
+
+    def with_text(v: Column) -> Column:
+        def with_cands(cands: Column) -> Column:
+            pieces = F.split(v, SMILES_JAVA, -1)
+            mapped = F.transform(cands, lambda c: F.when(smiles_valid(c), F.lit(fixed.SMILES_LABEL))
+                                 .otherwise(c))
+            joined = F.array_join(
+                F.zip_with(pieces, F.concat(mapped, F.array(F.lit(""))),
+                           lambda p, r: F.concat(F.coalesce(p, F.lit("")), F.coalesce(r, F.lit("")))), "")
+            return F.when(F.size(cands) == 0, v).otherwise(joined)
+
+        found = F.element_at(F.transform(F.array(F.regexp_extract_all(v, pat, 0)), with_cands), 1)
+        return F.when(v.isNull(), v).otherwise(found)
+
+    return F.element_at(F.transform(F.array(col_(text)), with_text), 1)
 
 
 def redact_text(text: str | Column) -> Column:
