@@ -332,11 +332,12 @@ def render_chat(queries: DataFrame, contexts: DataFrame, query_key: str = "query
     a, rest = fixed.CHAT_FOUND.split("{query}")
     b, c = rest.split("{context}")
     found_text = F.concat(F.lit(fixed.CHAT_HEADER), F.lit(a), q, F.lit(b), ctx, F.lit(c))
-    resp = F.when(none, none_text).otherwise(found_text)
-    verdict = audit_struct(resp)
-    resp = F.when(~verdict["compliant"] & (verdict["warning"] != ""),
-                  F.concat(resp, F.lit("\n\n"), verdict["warning"])).otherwise(resp)
-    return j.select("query_id", resp.alias("response"))
+    # staged: the answer text and its verdict are each computed once
+    staged = (j.withColumn("resp", F.when(none, none_text).otherwise(found_text))
+              .withColumn("verdict", audit_struct("resp")))
+    ok = F.col("verdict.compliant") | (F.col("verdict.warning") == "")
+    return staged.select("query_id", F.when(ok, F.col("resp")).otherwise(
+        F.concat(F.col("resp"), F.lit("\n\n"), F.col("verdict.warning"))).alias("response"))
 
 
 def rounded(c: str, digits: int = 6) -> Column:
