@@ -18,6 +18,16 @@ def col_(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: str | Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A one-element ``transform`` binds the value to a lambda variable, so a
+    formula that reads it several times does not copy (and re-evaluate) its
+    expression tree.
+    """
+    return F.element_at(F.transform(F.array(col_(value)), body), 1)
+
+
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.btrim(col_(c), F.lit(fixed.PY_WHITESPACE))
@@ -71,7 +81,7 @@ def py_round(x: str | Column, digits: int) -> Column:
         r = F.when(up, f + 1.0).otherwise(f) / F.lit(scale)
         return F.when(v < 0, -r).otherwise(r)
 
-    return F.element_at(F.transform(F.array(col_(x).cast("double")), body), 1)
+    return let(col_(x).cast("double"), body)
 
 
 def py_int(raw: str | Column) -> Column:

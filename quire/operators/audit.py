@@ -12,37 +12,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.columns import col_
+from quire.functions.columns import let
 
 AUDIT_COLUMNS = ["has_hw_exclusion", "has_accuracy_claim", "compliant",
                  "claim_type", "violation", "warning"]
 
 
 def audit_struct(text: str | Column) -> Column:
-    """STRUCT of the audit verdict for one text column (NULL/empty text is compliant)."""
-    t = col_(text)
-    hw = F.coalesce(t.rlike(fixed.HARDWARE_EXCLUSION_JAVA), F.lit(False))
-    acc = F.coalesce(t.rlike(fixed.ACCURACY_CLAIM_JAVA), F.lit(False))
-    d = F.coalesce(t.contains(fixed.TAG_DERIVED), F.lit(False))
-    e = F.coalesce(t.contains(fixed.TAG_ESTIMATED), F.lit(False))
-    m = F.coalesce(t.contains(fixed.TAG_MEASURED), F.lit(False))
-    violated = (hw | acc) & (d | e) & ~m
-    claim = F.when(violated, F.when(hw, F.lit(fixed.CLAIM_HARDWARE))
-                   .otherwise(F.lit(fixed.CLAIM_ACCURACY)))
-    used = F.concat(F.when(d, F.lit(fixed.TAG_DERIVED)).otherwise(F.lit("")),
-                    F.when(e, F.lit(fixed.TAG_ESTIMATED)).otherwise(F.lit("")))
+    """STRUCT of the audit verdict for one text column (NULL/empty text is compliant).
+
+    The text and its five flags are each computed once (``let``); every
+    field of the verdict is derived from the bound flags.
+    """
     head, tail = fixed.VIOLATION_TEMPLATE.split("{claim}")
     mid, end = tail.split("{tags}")
-    violation = F.when(violated, F.concat(F.lit(head), claim, F.lit(mid), used, F.lit(end)))
-    warning = F.when(violated, F.concat(F.lit(fixed.WARNING_PREFIX), violation)).otherwise(F.lit(""))
-    return F.struct(
-        hw.alias("has_hw_exclusion"),
-        acc.alias("has_accuracy_claim"),
-        (~violated).alias("compliant"),
-        claim.alias("claim_type"),
-        violation.alias("violation"),
-        warning.alias("warning"),
-    )
+
+    def verdict(f: Column) -> Column:
+        hw, acc, d, e, m = f["hw"], f["acc"], f["d"], f["e"], f["m"]
+        violated = (hw | acc) & (d | e) & ~m
+        claim = F.when(violated, F.when(hw, F.lit(fixed.CLAIM_HARDWARE))
+                       .otherwise(F.lit(fixed.CLAIM_ACCURACY)))
+        used = F.concat(F.when(d, F.lit(fixed.TAG_DERIVED)).otherwise(F.lit("")),
+                        F.when(e, F.lit(fixed.TAG_ESTIMATED)).otherwise(F.lit("")))
+        violation = F.when(violated, F.concat(F.lit(head), claim, F.lit(mid), used, F.lit(end)))
+        warning = F.when(violated, F.concat(F.lit(fixed.WARNING_PREFIX), violation)).otherwise(F.lit(""))
+        return F.struct(hw.alias("has_hw_exclusion"), acc.alias("has_accuracy_claim"),
+                        (~violated).alias("compliant"), claim.alias("claim_type"),
+                        violation.alias("violation"), warning.alias("warning"))
+
+    def flags(t: Column) -> Column:
+        return F.struct(
+            F.coalesce(t.rlike(fixed.HARDWARE_EXCLUSION_JAVA), F.lit(False)).alias("hw"),
+            F.coalesce(t.rlike(fixed.ACCURACY_CLAIM_JAVA), F.lit(False)).alias("acc"),
+            F.coalesce(t.contains(fixed.TAG_DERIVED), F.lit(False)).alias("d"),
+            F.coalesce(t.contains(fixed.TAG_ESTIMATED), F.lit(False)).alias("e"),
+            F.coalesce(t.contains(fixed.TAG_MEASURED), F.lit(False)).alias("m"),
+        )
+
+    return let(let(text, flags), verdict)
 
 
 def audit_claims(df: DataFrame, text: str = "text") -> DataFrame:

@@ -276,9 +276,12 @@ def confidence_text(interval: Column) -> Column:
                     interval["upper_bound"].cast("string"), F.lit("% (95% Conformal)"))
 
 
-def context_block(source: Column, interval: Column, doc: Column, level: float = 0.95) -> Column:
-    """One retrieved block: source, interval bounds, audit tag, then the text."""
-    verdict = audit_struct(doc)
+def context_block(source: Column, interval: Column, doc: Column, level: float = 0.95,
+                  verdict: Column | None = None) -> Column:
+    """One retrieved block: source, interval bounds, audit tag, then the text.
+    Pass ``verdict`` (an ``audit_struct`` column computed earlier) to avoid
+    auditing the text twice."""
+    verdict = audit_struct(doc) if verdict is None else verdict
     tag = F.when(verdict["compliant"], F.lit(fixed.COMPLIANT_TAG)).otherwise(verdict["warning"])
     return F.concat(
         F.lit("--- Context (Source: "), source,
@@ -309,9 +312,10 @@ def assemble_context(queries: DataFrame, hits: DataFrame, docs: DataFrame | None
                                          F.col(text_col).alias("_doc")), id_col)
     else:
         scored = scored.withColumnRenamed(source_col, "_src").withColumnRenamed(text_col, "_doc")
-    blocks = (scored
+    blocks = (scored.withColumn("_verdict", audit_struct("_doc"))
               .select("query_id", F.struct(F.col("rank"), context_block(
-                  F.col("_src"), F.col("interval"), F.col("_doc")).alias("text")).alias("b")))
+                  F.col("_src"), F.col("interval"), F.col("_doc"),
+                  verdict=F.col("_verdict")).alias("text")).alias("b")))
     per_query = blocks.groupBy("query_id").agg(ordered_join(F.collect_list("b"), "\n").alias("context"))
     return (queries.select(F.col(query_key).alias("query_id")).distinct()
             .join(per_query, "query_id", "left")
