@@ -41,3 +41,13 @@ def test_error_filter_pushed_to_scan(spark):
     plan = plan_text(E.queries()["error_signatures"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
+
+
+def test_audit_regexes_evaluated_once(spark):
+    physical = plan_text(E.queries()["audit_claims"](spark, SF_SMALL), "simple").split("== Physical Plan ==")[-1]
+    assert physical.count("RLIKE") == 2
+
+
+def test_redaction_chain_evaluated_once(spark):
+    physical = plan_text(E.queries()["redact_text"](spark, SF_SMALL), "simple").split("== Physical Plan ==")[-1]
+    assert physical.count("regexp_replace") == 3
