@@ -7,7 +7,7 @@ it stays inside whole-stage code generation and can be used in any
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
@@ -60,9 +60,10 @@ def py_round(x: str | Column, digits: int) -> Column:
     of ``p`` and the sign of ``e`` decide the rounding, and exact ties go to
     the even neighbour. The oracle SQL uses the same arithmetic.
 
-    ``x`` is bound once through a one-element ``transform`` (a "let"): the
-    formula reads it many times, and nested roundings would otherwise copy
-    the argument's expression tree at every level.
+    The formula reads its input about thirty times, so the input is bound
+    once with ``let``: without it, nesting roundings -- or a filter that the
+    optimizer pushes through the projections and inlines -- copies the
+    input's expression tree at every level and the plan grows exponentially.
     """
     scale = float(10 ** digits)
 
@@ -109,24 +110,33 @@ def clean_distance(d: str | Column) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(F.least(x, F.lit(1.0e6)))
 
 
-def score_interval(distance: str | Column, level: float = 0.95) -> Column:
-    """Score interval of a retrieval distance as a STRUCT.
+def with_interval(df: DataFrame, distance: str | Column, out: str = "interval",
+                  level: float = 0.95) -> DataFrame:
+    """Add the score interval of a retrieval distance as STRUCT column ``out``.
 
     point = r1(100 / (1 + d)); margin = r1(5 (1 + d));
-    lower = max(0, r1(point - margin)); upper = min(100, r1(point + margin)).
+    lower = max(0, r1(point - margin)); upper = min(100, r1(point + margin)),
+    with r1 = Python's round(., 1). Each rounding input is staged as a column
+    first, so nested roundings never nest their formulas.
     """
-    d = clean_distance(distance)
-    point = py_round(F.lit(100.0) * (F.lit(1.0) / (F.lit(1.0) + d)), 1)
-    margin = py_round(F.lit(5.0) * (F.lit(1.0) + d), 1)
-    # clamping first equals max(0, round(...)) and never yields -0.0
-    low = F.greatest(F.lit(0.0), py_round(F.greatest(point - margin, F.lit(0.0)), 1))
-    high = F.least(F.lit(100.0), py_round(point + margin, 1))
-    return F.struct(
-        low.alias("lower_bound"),
-        high.alias("upper_bound"),
-        F.lit(float(level)).alias("confidence_level"),
-        point.alias("point_estimate"),
+    tmp = [f"__iv_{k}" for k in ("d", "pr", "mr", "p", "m", "lr", "hr")]
+    d, pr, mr, p, m, lr, hr = tmp
+    staged = (
+        df.withColumn(d, clean_distance(distance))
+        .withColumn(pr, F.lit(100.0) * (F.lit(1.0) / (F.lit(1.0) + F.col(d))))
+        .withColumn(mr, F.lit(5.0) * (F.lit(1.0) + F.col(d)))
+        .withColumn(p, py_round(pr, 1))
+        .withColumn(m, py_round(mr, 1))
+        # clamping first equals max(0, round(...)) and never yields -0.0
+        .withColumn(lr, F.greatest(F.col(p) - F.col(m), F.lit(0.0)))
+        .withColumn(hr, F.col(p) + F.col(m))
     )
+    return staged.withColumn(out, F.struct(
+        F.greatest(F.lit(0.0), py_round(lr, 1)).alias("lower_bound"),
+        F.least(F.lit(100.0), py_round(hr, 1)).alias("upper_bound"),
+        F.lit(float(level)).alias("confidence_level"),
+        F.col(p).alias("point_estimate"),
+    )).drop(*tmp)
 
 
 def fmt_double(c: str | Column) -> Column:

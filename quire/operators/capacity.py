@@ -23,26 +23,27 @@ def memory_atoms(raw: Column) -> Column:
             .otherwise(F.greatest(n, F.lit(1))))
 
 
-def mace_gb(n: Column) -> Column:
-    return py_round(F.lit(fixed.MACE_BASE_GB) + n.cast("double") * F.lit(fixed.MACE_PER_ATOM_GB), 3)
-
-
-def dft_gb(n: Column) -> Column:
+def with_memory(df: DataFrame, raw: str = "num_atoms") -> DataFrame:
+    """Add ``n_atoms``, ``mace_gb`` and ``dft_gb`` (3 decimals, Python rounding).
+    The unrounded values are staged as columns so the rounding reads attributes."""
     per_sq = float(fixed.MATRIX_COPIES * fixed.BASIS_PER_ATOM ** 2 * fixed.BYTES_PER_DOUBLE)
-    nd = n.cast("double")
-    return py_round(F.lit(fixed.DFT_BASE_GB) + F.lit(per_sq) * (nd * nd) / F.lit(float(fixed.GIB)), 3)
+    nd = F.col("n_atoms").cast("double")
+    return (
+        df.withColumn("n_atoms", memory_atoms(F.col(raw)))
+        .withColumn("__mace", F.lit(fixed.MACE_BASE_GB) + nd * F.lit(fixed.MACE_PER_ATOM_GB))
+        .withColumn("__dft", F.lit(fixed.DFT_BASE_GB) + F.lit(per_sq) * (nd * nd) / F.lit(float(fixed.GIB)))
+        .withColumn("mace_gb", py_round("__mace", 3))
+        .withColumn("dft_gb", py_round("__dft", 3))
+        .drop("__mace", "__dft")
+    )
 
 
 def estimate_memory(requests: DataFrame) -> DataFrame:
     """estimated GB for the request's method, plus both model estimates."""
-    n = memory_atoms(F.col("num_atoms"))
     is_mace = F.upper(F.coalesce(F.col("method_type"), F.lit(""))).contains("MACE")
-    return requests.select(
-        "request_id",
-        n.alias("n_atoms"),
-        mace_gb(n).alias("mace_gb"),
-        dft_gb(n).alias("dft_gb"),
-        F.when(is_mace, mace_gb(n)).otherwise(dft_gb(n)).alias("vram_gb"),
+    return with_memory(requests).select(
+        "request_id", "n_atoms", "mace_gb", "dft_gb",
+        F.when(is_mace, F.col("mace_gb")).otherwise(F.col("dft_gb")).alias("vram_gb"),
     )
 
 

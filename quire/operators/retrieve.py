@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.columns import half_up, score_interval
+from quire.functions.columns import half_up, with_interval
 from quire.operators import kernels
 from quire.operators.audit import audit_struct
 from quire.session import cut_lineage
@@ -266,8 +266,7 @@ def topk_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, metric
 
 def score_intervals(hits: DataFrame, distance: str = "distance", level: float = 0.95) -> DataFrame:
     """Interval struct plus the confidence text per hit."""
-    iv = score_interval(distance, level)
-    out = hits.withColumn("interval", iv)
+    out = with_interval(hits, distance, "interval", level)
     return out.withColumn("confidence", confidence_text(F.col("interval")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.columns import py_int, score_interval
+from quire.functions.columns import py_int, with_interval
 from quire.operators.audit import audit_struct
 
 ROUTE_COLUMNS = [
@@ -122,6 +122,8 @@ def route_requests(requests: DataFrame, level: float = 0.95) -> DataFrame:
     cls, track, tier, tag = (F.col("decided_class"), F.col("decided_track"),
                              F.col("decided_tier"), F.col("decided_provenance"))
     answer = answer_text(tier, cls, track, tag, F.col("vdw"))
+    d = with_interval(d.withColumn("_distance", request_distance()), "_distance",
+                      "conformal_interval", level)
     return d.select(
         "request_id",
         F.coalesce(F.col("query"), F.lit(fixed.DEFAULT_QUERY)).alias("query"),
@@ -130,7 +132,7 @@ def route_requests(requests: DataFrame, level: float = 0.95) -> DataFrame:
         track.alias("track"),
         tag.alias("provenance_tag"),
         answer.alias("answer"),
-        score_interval(request_distance(), level).alias("conformal_interval"),
+        "conformal_interval",
         F.array(*[F.lit(s) for s in fixed.SPEND_PRIORITY_SEQUENCE]).alias("spend_priority_sequence"),
     ).withColumn("section_12_5_compliant", audit_struct("answer")["compliant"]).select(*ROUTE_COLUMNS)
 
