@@ -137,8 +137,3 @@ def with_interval(df: DataFrame, distance: str | Column, out: str = "interval",
         F.lit(float(level)).alias("confidence_level"),
         F.col(p).alias("point_estimate"),
     )).drop(*tmp)
-
-
-def fmt_double(c: str | Column) -> Column:
-    """Text of a DOUBLE the way Python prints a float rounded to one decimal."""
-    return col_(c).cast("string")

@@ -101,12 +101,6 @@ def contract_rules() -> list[tuple[str, Column]]:
     return checks
 
 
-def contract_failures(df: DataFrame) -> Column:
-    """Names of the response-contract rules one row fails, as an array."""
-    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in contract_rules()]),
-                    lambda x: x.isNotNull())
-
-
 def contract_check(responses: DataFrame) -> DataFrame:
     """Rows failing each contract rule (every rule listed, zero included).
     One aggregate over all rules (combined before the shuffle), then

@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from quire.functions import fixed
 from quire.functions.columns import col_
 
-PATTERNS = ("geometry", "coords", "matrix", "smiles")
-
-
 def _smiles_pattern() -> str:
     a, p, w = fixed.SMILES_ATOM, fixed.SMILES_PUNCT, fixed.WORD_CHAR
     run = f"{a}++(?!{w})"                     # maximal atom run ending at a non-word char

@@ -32,8 +32,6 @@ from quire.operators import kernels
 from quire.operators.audit import audit_struct
 from quire.session import cut_lineage
 
-HIT_COLUMNS = ["query_id", "rank", "id", "distance"]
-
 # Bounds for what is collected and broadcast per query batch. Beyond them the
 # query set is split into hash batches (one more corpus pass each), so the
 # result stays exact whatever the number of queries.
