@@ -358,6 +358,61 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
 
 
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
+                bucket_length: float = 2.0, num_hash_tables: int = 4, seed: int = 7,
+                metric: str = "l2sq", query_key: str = "query_id", query_vec: str = "vector",
+                id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Approximate nearest neighbours, IVF style over random-projection cells.
+
+    Spark ML's ``BucketedRandomProjectionLSH`` assigns every vector one cell
+    per hash table. Each query is searched only among the corpus vectors
+    sharing one of its cells: the filtered kernel scores a row only against
+    the queries probing its cell and keeps local top k, the per-cell results
+    are merged per query (a vector found in several cells counted once).
+    No query x vector pairs are formed, and a crowded cell costs one kernel
+    block per query group, not a pair per member. Recall is checked against
+    ``dense_topk``.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                      numHashTables=num_hash_tables, seed=seed)
+    c = corpus.select(F.col(id_col), F.col(vec_col), array_to_vector(F.col(vec_col)).alias("_v"))
+    model = lsh.fit(c)
+
+    def cells(df: DataFrame, keep: list[str]) -> DataFrame:
+        h = model.transform(df).select(*keep, F.posexplode("_h").alias("_t", "_hv"))
+        return h.select(*keep, F.concat(F.col("_t").cast("string"), F.lit(":"),
+                                        vector_to_array("_hv")[0].cast("long").cast("string")).alias("_cell"))
+
+    c_cells = cells(c, [id_col, vec_col])
+    q = queries.select(F.col(query_key).alias("_qid"), F.col(query_vec).alias("_qvec"),
+                       array_to_vector(F.col(query_vec)).alias("_v"))
+    q_cells = cells(q, ["_qid", "_qvec"]).withColumn(
+        "_qc", F.concat(F.col("_qid").cast("string"), F.lit("|"), F.col("_cell")))
+    per_cell = filtered_topk(q_cells, c_cells, k, metric, filter_key="_cell", query_key="_qc",
+                             query_vec="_qvec", id_col=id_col, vec_col=vec_col)
+    merged = (per_cell.join(F.broadcast(q_cells.select("_qc", "_qid")), F.col("query_id") == F.col("_qc"))
+              .groupBy(F.col("_qid").alias("query_id"), F.col(id_col))
+              .agg(F.min("distance").alias("distance")))
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return (merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("query_id", "rank", id_col, "distance"))
+
+
+def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "embedding") -> DataFrame:
+    """Mean vector per label: (label, vector array<double>).
+
+    Exploding to (label, position, value) lets the mean be combined per
+    partition before the shuffle, so a label holding most rows is cheap.
+    """
+    per_dim = (vectors.select(label, F.posexplode(vec_col).alias("pos", "x"))
+               .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    return per_dim.groupBy(label).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
+
+
 def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float = 8.0,
                 bucket_length: float = 2.0, num_hash_tables: int = 4, seed: int = 7,
                 query_key: str = "query_id", query_vec: str = "vector",
