@@ -24,13 +24,15 @@ from quire.sources.files import kb_scan_stream
 # ------------------------------------------------------------------ S1 corpus sync
 def sync_stream(spark: SparkSession, source_path: str, collection_path: str,
                 checkpoint: str | None = None, available_now: bool = True,
-                processing_time: str = "60 minutes") -> StreamingQuery:
+                processing_time: str = "60 minutes",
+                max_files_per_trigger: int | None = None) -> StreamingQuery:
     """New knowledge files -> chunks -> insert-if-absent into the collection.
 
     Each micro-batch runs the batch pipeline; the insert is keyed on the
     content-addressed id, so replaying a batch after a failure appends nothing.
     """
-    files = kb_scan_stream(spark, source_path)
+    # bounded micro-batches when a large backlog of files arrives at once
+    files = kb_scan_stream(spark, source_path, max_files_per_trigger)
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
 
     def upsert(batch: DataFrame, _epoch: int) -> None:
