@@ -164,7 +164,7 @@ def _payload(batch, rows, payload_schema):
     return t.take(pa.array(rows, pa.int64()))
 
 
-def lexical_kernel(bc, k, block_pairs=4_000_000, payload_schema=None):
+def lexical_kernel(bc, k, block_pairs=4_000_000, payload_schema=None, block_tokens=4_000_000):
     """Kernel over batches of ``(id long, tokens array<string>, *payload)``.
 
     Broadcast value: ``(vocab pa.Array, ptr int64 [V+1], post_q int32,
@@ -176,66 +176,83 @@ def lexical_kernel(bc, k, block_pairs=4_000_000, payload_schema=None):
     ``block_pairs`` term-posting expansions.
     """
 
+    def score(b, vocab, ptr, post_q, post_tf, qnorm, n_v, n_q, plen, top):
+        n = b.num_rows
+        if n == 0:
+            return
+        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tok = b.column(1)
+        lens = np.diff(tok.offsets.to_numpy())
+        flat = tok.flatten()
+        if len(flat) == 0:
+            return
+        row_of = np.repeat(np.arange(n, dtype=np.int64), lens)
+        # squared term counts per row (the row's norm)
+        enc = pc.dictionary_encode(flat)
+        codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n_codes = max(1, len(enc.dictionary))
+        keys, counts = np.unique(row_of * n_codes + codes, return_counts=True)
+        cnorm = np.zeros(n, dtype=np.int64)
+        np.add.at(cnorm, keys // n_codes, counts.astype(np.int64) ** 2)
+        # (row, query-vocabulary term, count)
+        vidx = pc.index_in(flat, value_set=vocab)
+        mask = vidx.is_valid().to_numpy(zero_copy_only=False)
+        if not mask.any():
+            return
+        v = vidx.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[mask]
+        keys, counts = np.unique(row_of[mask] * n_v + v, return_counts=True)
+        rr, vv = keys // n_v, keys % n_v
+        fan = plen[vv]                        # postings per (row, term)
+        # split into row blocks whose posting expansion stays bounded
+        row_starts = np.r_[0, np.flatnonzero(np.diff(rr)) + 1, len(rr)]
+        cum = np.r_[0, np.cumsum(fan)]
+        lo = 0
+        while lo < len(row_starts) - 1:
+            hi = lo + 1
+            while hi < len(row_starts) - 1 and cum[row_starts[hi + 1]] - cum[row_starts[lo]] <= block_pairs:
+                hi += 1
+            a, z = row_starts[lo], row_starts[hi]
+            f = fan[a:z]
+            total = int(f.sum())
+            if total:
+                first = np.repeat(ptr[vv[a:z]], f)
+                step = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
+                post = first + step
+                pr = np.repeat(rr[a:z], f)
+                pc_ = np.repeat(counts[a:z], f).astype(np.int64) * post_tf[post]
+                pq = post_q[post].astype(np.int64)
+                pair, inv = np.unique(pr * n_q + pq, return_inverse=True)
+                dots = np.bincount(inv, weights=pc_.astype(np.float64))
+                prow, pqq = pair // n_q, (pair % n_q).astype(np.int32)
+                denom = np.sqrt((qnorm[pqq] * cnorm[prow]).astype(np.float64))
+                dist = 1.0 - dots / denom
+                keep = _local_topk_index(pqq, ids[prow], dist, k)
+                top.add(pqq[keep], ids[prow][keep], dist[keep],
+                        _payload(b, prow[keep], payload_schema))
+            lo = hi
+
+    def slices(b):
+        """Row slices of a batch holding at most ``block_tokens`` tokens each
+        (a single longer text is one slice of its own, never cut)."""
+        lens = np.diff(b.column(1).offsets.to_numpy())
+        start, acc = 0, 0
+        for i, n in enumerate(lens):
+            if acc and acc + n > block_tokens:
+                yield b.slice(start, i - start)
+                start, acc = i, 0
+            acc += int(n)
+        if b.num_rows > start:
+            yield b.slice(start, b.num_rows - start)
+
     def run(batches):
         vocab, ptr, post_q, post_tf, qnorm = bc.value
         n_v = len(vocab)
         n_q = len(qnorm)
         plen = np.diff(ptr)
         top = _TopK(k, payload_schema)
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tok = b.column(1)
-            lens = np.diff(tok.offsets.to_numpy())
-            flat = tok.flatten()
-            if len(flat) == 0:
-                continue
-            row_of = np.repeat(np.arange(n, dtype=np.int64), lens)
-            # squared term counts per row (the row's norm)
-            enc = pc.dictionary_encode(flat)
-            codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            n_codes = max(1, len(enc.dictionary))
-            keys, counts = np.unique(row_of * n_codes + codes, return_counts=True)
-            cnorm = np.zeros(n, dtype=np.int64)
-            np.add.at(cnorm, keys // n_codes, counts.astype(np.int64) ** 2)
-            # (row, query-vocabulary term, count)
-            vidx = pc.index_in(flat, value_set=vocab)
-            mask = vidx.is_valid().to_numpy(zero_copy_only=False)
-            if not mask.any():
-                continue
-            v = vidx.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[mask]
-            keys, counts = np.unique(row_of[mask] * n_v + v, return_counts=True)
-            rr, vv = keys // n_v, keys % n_v
-            fan = plen[vv]                        # postings per (row, term)
-            # split into row blocks whose posting expansion stays bounded
-            row_starts = np.r_[0, np.flatnonzero(np.diff(rr)) + 1, len(rr)]
-            cum = np.r_[0, np.cumsum(fan)]
-            lo = 0
-            while lo < len(row_starts) - 1:
-                hi = lo + 1
-                while hi < len(row_starts) - 1 and cum[row_starts[hi + 1]] - cum[row_starts[lo]] <= block_pairs:
-                    hi += 1
-                a, z = row_starts[lo], row_starts[hi]
-                f = fan[a:z]
-                total = int(f.sum())
-                if total:
-                    first = np.repeat(ptr[vv[a:z]], f)
-                    step = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
-                    post = first + step
-                    pr = np.repeat(rr[a:z], f)
-                    pc_ = np.repeat(counts[a:z], f).astype(np.int64) * post_tf[post]
-                    pq = post_q[post].astype(np.int64)
-                    pair, inv = np.unique(pr * n_q + pq, return_inverse=True)
-                    dots = np.bincount(inv, weights=pc_.astype(np.float64))
-                    prow, pqq = pair // n_q, (pair % n_q).astype(np.int32)
-                    denom = np.sqrt((qnorm[pqq] * cnorm[prow]).astype(np.float64))
-                    dist = 1.0 - dots / denom
-                    keep = _local_topk_index(pqq, ids[prow], dist, k)
-                    top.add(pqq[keep], ids[prow][keep], dist[keep],
-                            _payload(b, prow[keep], payload_schema))
-                lo = hi
+        for whole in batches:
+            for b in slices(whole):
+                score(b, vocab, ptr, post_q, post_tf, qnorm, n_v, n_q, plen, top)
         yield top.batch(out_schema(payload_schema))
 
     return run

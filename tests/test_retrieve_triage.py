@@ -204,3 +204,18 @@ def test_prompts_and_summaries(spark):
     d = {r.log_id: r for r in triage.diagnose_errors(logs, chunks).collect()}
     assert d[1].n_hits == 1 and d[1].sources == "doc_1.md" and not d[1].used_fallback
     assert d[2].n_hits == 0
+
+
+def test_lexical_kernel_slices_do_not_change_results(spark, monkeypatch):
+    from quire.operators import kernels
+    rnd = random.Random(21)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30))))
+                                  for i in range(150)], "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(j, " ".join(rnd.choice(words) for _ in range(4))) for j in range(7)],
+                              "query_id long, text string")
+    whole = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=5).collect())
+    block_pairs, payload_schema, _ = kernels.lexical_kernel.__defaults__
+    monkeypatch.setattr(kernels.lexical_kernel, "__defaults__", (7, payload_schema, 5))
+    sliced = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=5).collect())
+    assert sliced == whole
