@@ -186,8 +186,11 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = read_table(spark, sf_dir, table, balance=False)
     if where:
         df = df.where(where)
-    df = df.selectExpr(*exprs)
-    return spread(df) if name in TEXT_INPUTS else df
+    if name in TEXT_INPUTS:
+        # spread the (pruned, filtered) scan before building the texts, so the
+        # text expressions run on every slot
+        df = spread(df)
+    return df.selectExpr(*exprs)
 
 
 def derived_sql(name: str) -> str:
