@@ -128,11 +128,17 @@ def dense_kernel(bc, k, metric, block_cells=8_000_000, payload_schema=None, filt
             n = b.num_rows
             if n == 0:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vec_col = b.column(1)
             lens = np.diff(vec_col.offsets.to_numpy())
-            if not (lens == dim).all():
-                raise ValueError(f"vector length differs from query dimension {dim}")
+            ok = (lens == dim) & vec_col.is_valid().to_numpy(zero_copy_only=False)
+            if not ok.all():
+                # a NULL or wrong-length vector has no distance: not a candidate
+                b = b.filter(pa.array(ok))
+                n = b.num_rows
+                if n == 0:
+                    continue
+                vec_col = b.column(1)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             vecs = vec_col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
             if groups is None:
                 blocks = [(np.arange(n), np.arange(n_q))]

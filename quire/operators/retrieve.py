@@ -89,7 +89,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
     Output ``query_id, rank, <id_col>, distance``; ties broken by id.
     """
     spark = corpus.sparkSession
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"))
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector")) \
+        .where(F.col("vector").isNotNull())
     key_type = q.schema["query_id"].dataType.simpleString()
     ddl, pschema = _payload_spec(corpus, payload)
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *payload)
@@ -220,7 +221,7 @@ def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str
     """
     spark = corpus.sparkSession
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"),
-                       F.col(filter_key).alias("_fk"))
+                       F.col(filter_key).alias("_fk")).where(F.col("vector").isNotNull())
     key_type = q.schema["query_id"].dataType.simpleString()
     ddl, pschema = _payload_spec(corpus, payload)
     scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),

@@ -219,3 +219,13 @@ def test_lexical_kernel_slices_do_not_change_results(spark, monkeypatch):
     monkeypatch.setattr(kernels.lexical_kernel, "__defaults__", (7, payload_schema, 5))
     sliced = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=5).collect())
     assert sliced == whole
+
+
+def test_null_vectors_are_not_candidates(spark):
+    rows = [(1, [0.0, 0.0], 0), (2, None, 0), (3, [1.0, 1.0], 0), (4, [5.0, 5.0, 5.0], 0)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    q = spark.createDataFrame([(7, [0.1, 0.1], 0), (8, None, 0)], "query_id long, vector array<double>, label int")
+    got = [(r.query_id, r.vec_id) for r in retrieve.dense_topk(q, corpus, k=5).orderBy("rank").collect()]
+    assert got == [(7, 1), (7, 3)]
+    got_f = [(r.query_id, r.vec_id) for r in retrieve.filtered_topk(q, corpus, k=5).orderBy("rank").collect()]
+    assert got_f == [(7, 1), (7, 3)]
