@@ -90,8 +90,8 @@ ORACLE = {
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
 ), w AS (
-  SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), x -> x <> '') AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+  SELECT *, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), win AS (
   SELECT r, i, list_slice(ws, i, i + 7) AS x
   FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)
@@ -122,10 +122,10 @@ FROM b""",
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'),
-           x -> x <> '') AS ws FROM documents
+           lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> list_slice(ws, i, i + 3))) END AS items FROM d
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: list_slice(ws, i, i + 3))) END AS items FROM d
 ), e AS (
   SELECT doc_id, unnest(items) AS x FROM s
 ), both_have AS (
