@@ -16,9 +16,11 @@ that could agree with it in empty blocks alone. No link is lost.
 Within a bucket of equal keys the first document is compared with every other
 one. Verified links are joined to components, and only buckets that still hold
 several components are looked at again: all pairs of different components in
-small ones; large ones are split by a second key first, since linked sets agree
-in two blocks at least. So copies of a text, or of nearly one, cost a pair
-each and not a pair for every two.
+small ones. Large ones hold documents that share a passage and little else, or
+several groups of near copies; their members are dealt anew by their rarest
+shingles, of which linked sets share one, so that a common passage brings
+nobody together. Copies of a text, or of nearly one, cost a pair each and not
+a pair for every two.
 
 A pair's parity sketches (one bit per element, XOR-ed) are compared first:
 their Hamming distance is a lower bound of the symmetric difference. What is
@@ -52,6 +54,7 @@ PERCENT = 85        # least similarity
 GROWTH = 1.6        # of band limits
 SMALL = 24          # nodes of a bucket whose pairs are compared at once
 SEEDS = 8           # times a set with many empty blocks is hashed again
+CELLS = 1 << 20     # counters of frequent shingles
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                     0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
@@ -94,7 +97,7 @@ def block_keys(items: np.ndarray, band: int, differ: int) -> np.ndarray:
     """Join keys of a set in a band; none where linked sets are equal."""
     if not differ or not len(items):
         return np.empty(0, np.uint64)
-    spare = 2 + differ // 8
+    spare = 1 + differ // 8
     blocks, out = differ + spare, []
     for seed in range(SEEDS):
         x = np.sort(_mix(items, band * SEEDS + seed + 1))
@@ -103,8 +106,7 @@ def block_keys(items: np.ndarray, band: int, differ: int) -> np.ndarray:
         xor = np.bitwise_xor.reduceat(x, starts)
         with np.errstate(over="ignore"):
             out.append(_mix(xor * _ODD[2] + block[starts] * _ODD[3], band * SEEDS + seed + 1))
-        # Two blocks are asked for: a bucket may be split by a second one
-        if blocks - len(starts) <= spare - 2:
+        if blocks - len(starts) < spare:  # agreement in empty blocks alone is not enough to be linked
             return np.concatenate(out)
     out.append(_mix(np.array([band], np.uint64), 1 << 20))
     return np.concatenate(out)
@@ -175,7 +177,18 @@ def describe(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Dat
         kernel, "doc_id long, row long, n long, node long, sketch binary, keys array<long>"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, percent: int, width: int) -> DataFrame:
+def _known(table: DataFrame) -> DataFrame:
+    """``node, s, n, row``: sketch, size and one row of each distinct set."""
+    return table.where("sketch is not null").groupBy("node") \
+        .agg(F.first("sketch").alias("s"), F.first("n").alias("n"), F.min("row").alias("row"))
+
+
+def _texts(docs: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = known.join(nodes, "node").select("node", "row")
+    return docs.select(_row_key().alias("row"), "text").join(rows, "row").dropDuplicates(["node"]).select("node", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int, width: int) -> DataFrame:
     """The linked ones of the pairs ``a, b``."""
     most = 100 - percent, 100 + percent
 
@@ -187,8 +200,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, percent: int,
 
     def verify(batches):
         for b in slices(slices(batches, "ta", 8 << 20), "tb", 8 << 20):
-            sets = {}
-            ok = []
+            sets, ok = {}, []
             for x, y, ta, tb in zip(*(b.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
                 for k, t in ((x, ta), (y, tb)):
                     if k not in sets:
@@ -196,58 +208,83 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, percent: int,
                 ok.append(linked(sets[x], sets[y], percent))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    known = table.where("sketch is not null").groupBy("node") \
-        .agg(F.first("sketch").alias("s"), F.first("n").alias("n"), F.min("row").alias("row"))
     side = lambda x: known.select(F.col("node").alias(x), F.col("s").alias("s" + x), F.col("n").alias("n" + x))
-    close = pairs.join(side("b"), "b").where("nb is not null").join(side("a"), "a") \
-        .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    close = pairs.join(side("b"), "b").join(side("a"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     close = cut_lineage(close.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(near, "a long, b long"))
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    rows = known.join(wanted, "node").select("node", "row")
-    texts = docs.select(_row_key().alias("row"), "text").join(rows, "row").dropDuplicates(["node"]).select("node", "text")
+    texts = _texts(docs, known, close.select(F.col("a").alias("node")).union(close.select("b")).distinct())
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias("t" + x))
     # the pair's other document first: only the first one of a bucket can be in very many pairs
     return cut_lineage(close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ta", "tb")
                        .mapInArrow(verify, "a long, b long"))
 
 
+def _rare_keys(docs: DataFrame, known: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
+    """``node, key``: the rarest shingles of each of the ``nodes``, one more
+    than a linked set may lack. In any order that is the same for all sets,
+    linked sets share one of these. Shingles are ordered by whether their cell
+    of ``CELLS`` is met often, then by hash: what a task has met thrice is
+    counted over all tasks, and a fixed number of cells comes to the driver."""
+    texts = cut_lineage(_texts(docs, known, nodes))
+
+    def count(batches):
+        cells = np.zeros(CELLS, np.int32)
+        for b in slices(batches):
+            for t in b.column("text").to_pylist():
+                cells[(shingle_set(t, width) >> np.uint64(20)) % np.uint64(CELLS)] += 1
+        often = np.flatnonzero(cells >= 3)
+        yield pa.RecordBatch.from_arrays([pa.array(often, pa.int64()), pa.array(cells[often], pa.int64())], names=["cell", "n"])
+
+    common = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    weight = np.zeros(CELLS, np.uint32)
+    for cell, n in common:
+        weight[cell] = min(n, 1 << 30)
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def prefixes(batches):
+        for b in slices(batches):
+            keys = []
+            for t in b.column("text").to_pylist():
+                items = shingle_set(t, width)
+                order = np.lexsort((items, shared.value[(items >> np.uint64(20)) % np.uint64(CELLS)]))
+                most = len(items) - (-(-percent * len(items) // 100)) + 1
+                keys.append(_mix(items[order[:most]], 1 << 21).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return texts.mapInArrow(prefixes, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+
+
+def _buckets(occurs: DataFrame) -> DataFrame:
+    """``key, head, node``: members of the keys of several nodes."""
+    crowded = occurs.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")) \
+        .where("head <> tail").select("key", "head")
+    return cut_lineage(occurs.join(crowded, "key").select("key", "head", "node").distinct())
+
+
 def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest doc_id
     that links lead to, its own included."""
     table = describe(docs, percent, width)
-    occurs = table.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    crowded = occurs.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")) \
-        .where("head <> tail").select("key", "head")
-    buckets = cut_lineage(occurs.join(crowded, "key").select("key", "head", "node").distinct())
-    links = None
-    found = None
-    level = 0
-    while True:
+    known = cut_lineage(_known(table))
+    buckets = _buckets(table.where("keys is not null").select("node", F.explode("keys").alias("key")))
+    links, found = None, None
+    for last in (False, True):
         stars = buckets.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        if found is not None:
-            stars = _between(stars, found)
-        new = _verified(stars.distinct(), docs, table, percent, width)
+        new = _verified(_between(stars.distinct(), found), docs, known, percent, width)
         links = new if links is None else links.union(new)
         found = components(links)
         open_ = _open(buckets, found)
-        if open_.isEmpty():
-            break
-        small = open_.where(f"n <= {SMALL}" if level == 0 else "true")
-        left, right = (small.select("key", F.col("node").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
+        part = open_ if last else open_.where(f"n <= {SMALL}")
+        left, right = (part.select("key", F.col("node").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
         pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        links = links.union(_verified(pairs, docs, table, percent, width))
-        found = components(links)
-        large = open_.where(f"n > {SMALL}")
-        if level or large.isEmpty():
+        new = _verified(pairs, docs, known, percent, width)
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
+        large = open_.where(f"n > {SMALL}").select("node").distinct()
+        if last or large.isEmpty():
             break
-        # two blocks at least are shared: split the large buckets by a second one
-        level = 1
-        own = table.where("keys is not null").select("node", F.explode("keys").alias("other"))
-        split = large.select("key", "node").join(own, "node").where("key <> other") \
-            .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-        heads = split.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")) \
-            .where("head <> tail").select("key", "head")
-        buckets = cut_lineage(split.join(heads, "key").select("key", "head", "node"))
+        # the heads of large buckets have been compared with all members
+        buckets = _buckets(_rare_keys(docs, known, large, percent, width))
     return _named(table, found)
 
 
