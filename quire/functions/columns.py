@@ -96,11 +96,6 @@ def py_int(raw: str | Column) -> Column:
     return F.when(ok, F.trim(s).try_cast("bigint"))
 
 
-def py_float(raw: str | Column) -> Column:
-    """Python ``float(str)``; NULL when unparsable."""
-    return F.trim(col_(raw)).try_cast("double")
-
-
 def clean_distance(d: str | Column) -> Column:
     """Distance cleaned as the interval rule wants: bad, NaN, inf, negative -> 0."""
     x = col_(d).try_cast("double")

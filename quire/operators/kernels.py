@@ -33,7 +33,8 @@ def _per_query_candidates(dist_matrix, valid, ids, k):
     n_q = dist_matrix.shape[1]
     for j in range(n_q):
         col = dist_matrix[:, j]
-        cand = np.flatnonzero(valid[:, j]) if valid is not None else np.arange(len(col))
+        # a vector with a NaN, or without a length under cosine, has no distance: no candidate
+        cand = np.flatnonzero(~np.isnan(col) if valid is None else valid[:, j] & ~np.isnan(col))
         if len(cand) > k:
             kth = np.partition(col[cand], k - 1)[k - 1]
             cand = cand[col[cand] <= kth]
@@ -101,7 +102,8 @@ def _distances(e, queries, q_norm, metric):
         return np.einsum("nqd,nqd->nq", diff, diff)
     if metric == "cosine":
         en = np.sqrt((e * e).sum(axis=1))
-        return 1.0 - (e @ queries.T) / (en[:, None] * q_norm[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return 1.0 - (e @ queries.T) / (en[:, None] * q_norm[None, :])
     raise ValueError(f"unknown metric {metric!r}")
 
 
@@ -230,7 +232,7 @@ def lexical_kernel(bc, k, block_pairs=4_000_000, payload_schema=None, block_toke
                 pair, inv = np.unique(pr * n_q + pq, return_inverse=True)
                 dots = np.bincount(inv, weights=pc_.astype(np.float64))
                 prow, pqq = pair // n_q, (pair % n_q).astype(np.int32)
-                denom = np.sqrt((qnorm[pqq] * cnorm[prow]).astype(np.float64))
+                denom = np.sqrt(qnorm[pqq].astype(np.float64) * cnorm[prow].astype(np.float64))
                 dist = 1.0 - dots / denom
                 keep = _local_topk_index(pqq, ids[prow], dist, k)
                 top.add(pqq[keep], ids[prow][keep], dist[keep],

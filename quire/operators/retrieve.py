@@ -360,7 +360,7 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
 
 
 def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
-                bucket_length: float = 2.0, num_hash_tables: int = 4, seed: int = 7,
+                cell_width: float = 4.0, num_hash_tables: int = 4, seed: int = 7,
                 metric: str = "l2sq", query_key: str = "query_id", query_vec: str = "vector",
                 id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Approximate nearest neighbours, IVF style over random-projection cells.
@@ -371,13 +371,18 @@ def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     the queries probing its cell and keeps local top k, the per-cell results
     are merged per query (a vector found in several cells counted once).
     No query x vector pairs are formed, and a crowded cell costs one kernel
-    block per query group, not a pair per member. Recall is checked against
-    ``dense_topk``.
+    block per query group, not a pair per member. Cells are ``cell_width``
+    times the corpus's root mean square coordinate wide, so that ranks do not
+    depend on the scale of the vectors. A query whose cells hold fewer than k
+    vectors is searched exactly. Recall is checked against ``dense_topk``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+    square = F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    mean = corpus.where(~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x))) \
+        .agg((F.sum(square) / F.sum(F.size(vec_col))).alias("m")).first()["m"]
+    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=cell_width * math.sqrt(mean or 1.0),
                                       numHashTables=num_hash_tables, seed=seed)
     c = corpus.select(F.col(id_col), F.col(vec_col), array_to_vector(F.col(vec_col)).alias("_v"))
     model = lsh.fit(c)
@@ -394,47 +399,13 @@ def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
         "_qc", F.concat(F.col("_qid").cast("string"), F.lit("|"), F.col("_cell")))
     per_cell = filtered_topk(q_cells, c_cells, k, metric, filter_key="_cell", query_key="_qc",
                              query_vec="_qvec", id_col=id_col, vec_col=vec_col)
-    merged = (per_cell.join(F.broadcast(q_cells.select("_qc", "_qid")), F.col("query_id") == F.col("_qc"))
+    merged = (per_cell.join(q_cells.select("_qc", "_qid"), F.col("query_id") == F.col("_qc"))
               .groupBy(F.col("_qid").alias("query_id"), F.col(id_col))
               .agg(F.min("distance").alias("distance")))
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return (merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", id_col, "distance"))
-
-
-def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """Mean vector per label: (label, vector array<double>).
-
-    Exploding to (label, position, value) lets the mean be combined per
-    partition before the shuffle, so a label holding most rows is cheap.
-    """
-    per_dim = (vectors.select(label, F.posexplode(vec_col).alias("pos", "x"))
-               .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    return per_dim.groupBy(label).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
-
-
-def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, threshold: float = 8.0,
-                bucket_length: float = 2.0, num_hash_tables: int = 4, seed: int = 7,
-                query_key: str = "query_id", query_vec: str = "vector",
-                id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Approximate nearest neighbours with random-projection LSH.
-
-    Candidates are corpus vectors sharing a hash bucket with the query (an
-    equi-join on bucket ids) within Euclidean ``threshold``; then the top k
-    per query by squared distance. Recall is checked against ``dense_topk``.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    c = corpus.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col)).alias("v"))
-    q = queries.select(F.col(query_key).alias("query_id"), array_to_vector(F.col(query_vec)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed)
-    model = lsh.fit(c)
-    pairs = model.approxSimilarityJoin(q, c, threshold, distCol="l2")
-    scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-                          (F.col("l2") * F.col("l2")).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "distance"))
+    probed = cut_lineage(merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                         .select("query_id", "rank", id_col, "distance"))
+    full = probed.where(F.col("rank") == k).select(F.col("query_id").alias(query_key))
+    short = queries.join(full, query_key, "left_anti")
+    exact = dense_topk(short, corpus, k, metric, query_key, query_vec, id_col, vec_col)
+    return probed.join(full.withColumnRenamed(query_key, "query_id"), "query_id", "left_semi").unionByName(exact)

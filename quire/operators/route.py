@@ -91,7 +91,8 @@ def provenance(cls: Column) -> Column:
 def request_distance() -> Column:
     raw = F.col("chroma_distance")
     return F.when(raw.isNull(), F.lit(fixed.DEFAULT_DISTANCE)).otherwise(
-        F.coalesce(F.trim(raw).try_cast("double"), F.lit(fixed.DEFAULT_DISTANCE)))
+        F.coalesce(F.when(~raw.rlike(r"[0-9.][dDfF]\s*$"), F.trim(raw)).try_cast("double"),
+                   F.lit(fixed.DEFAULT_DISTANCE)))  # a type suffix is no Python number
 
 
 def answer_text(tier: Column, cls: Column, track: Column, tag: Column, vdw: Column) -> Column:

@@ -1,5 +1,5 @@
 """Sinks: the chunk collection (Parquet, insert-if-absent) and the scrubbed
-conversation export (compressed JSON, one nested object per conversation)."""
+conversation export (compressed JSON, one line per message)."""
 
 from __future__ import annotations
 
@@ -18,10 +18,15 @@ COLLECTION_SCHEMA = ("chunk_id string, file string, pos int, text string, "
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The collection; empty only where nothing has been written yet. A folder
+    that cannot be read as a collection is an error."""
     try:
-        return spark.read.parquet(path).select(*ingest.CHUNK_COLUMNS)
-    except AnalysisException:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], COLLECTION_SCHEMA)
+    return found.select(*ingest.CHUNK_COLUMNS)
 
 
 def write_corpus(chunks: DataFrame, path: str) -> int:
@@ -53,6 +58,7 @@ def export_scrubbed(messages: DataFrame, path: str, export_timestamp: str,
     conversation and turn order. The time is a parameter so an export is
     repeatable; no conversation is gathered into one task.
     """
+    # ranges are dealt on the raw messages: sampling them must not run the redaction
     scrubbed = redact.scrub_conversations(messages)
     manifest = scrubbed.agg(F.countDistinct("conv_id").alias("n_conversations"),
                             F.count(F.lit(1)).alias("n_messages")).select(

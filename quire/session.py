@@ -27,6 +27,9 @@ _DEFAULT_CONF = {
 }
 
 
+_CUT_TABLES: list[str] = []
+
+
 def get_session(
     master: str | None = None,
     app_name: str = "quire",
@@ -83,10 +86,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     (the RDD checkpoint recomputes them to write the files).
     """
     path = os.path.join(checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    _CUT_TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+def drop_cut_tables(spark: SparkSession) -> None:
+    """Remove the tables ``cut_lineage`` has written in this process, once no
+    DataFrame that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _CUT_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_CUT_TABLES.pop())
+        path.getFileSystem(conf).delete(path, True)

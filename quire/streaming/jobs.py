@@ -7,6 +7,7 @@ the oracle compare against. Checkpoints go to the shared checkpoint folder.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -21,6 +22,13 @@ from quire.session import checkpoint_dir
 from quire.sources.files import kb_scan_stream
 
 
+def _own_checkpoint(spark: SparkSession, job: str, *names: str) -> str:
+    """A checkpoint folder per job, source and target: another source or target
+    must not continue from these offsets."""
+    key = hashlib.sha256("\0".join(names).encode()).hexdigest()[:16]
+    return os.path.join(checkpoint_dir(spark), f"{job}-{key}")
+
+
 # ------------------------------------------------------------------ S1 corpus sync
 def sync_stream(spark: SparkSession, source_path: str, collection_path: str,
                 checkpoint: str | None = None, available_now: bool = True,
@@ -33,7 +41,7 @@ def sync_stream(spark: SparkSession, source_path: str, collection_path: str,
     """
     # bounded micro-batches when a large backlog of files arrives at once
     files = kb_scan_stream(spark, source_path, max_files_per_trigger)
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "sync_stream")
+    ckpt = checkpoint or _own_checkpoint(spark, "sync_stream", source_path, collection_path)
 
     def upsert(batch: DataFrame, _epoch: int) -> None:
         sinks.write_corpus(ingest.build_chunks(batch), collection_path)
@@ -48,7 +56,7 @@ def scrub_stream(messages: DataFrame, out_path: str, checkpoint: str | None = No
                  fmt: str = "parquet") -> StreamingQuery:
     """Stateless redaction of a message stream, appended to ``out_path``."""
     spark = messages.sparkSession
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "scrub_stream")
+    ckpt = checkpoint or _own_checkpoint(spark, "scrub_stream", out_path)
     return (redact.scrub_conversations(messages).writeStream.format(fmt)
             .option("path", out_path).option("checkpointLocation", ckpt)
             .outputMode("append").trigger(availableNow=True).start())
@@ -58,6 +66,8 @@ def _event_time(df: DataFrame, watermark: str | None, col: str = "ts") -> tuple[
     """Event time ready for windowing. A watermark needs TIMESTAMP, so a
     TIMESTAMP_NTZ column is converted for streams (and window bounds are
     given back in the input's type); batch twins window the column as is."""
+    if df.isStreaming and not watermark:
+        raise ValueError("a stream needs a watermark, or its state grows without bound")
     kind = df.schema[col].dataType.simpleString()
     if watermark and kind == "timestamp_ntz":
         df = df.withColumn(col, F.col(col).cast("timestamp"))

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from quire.plans.oracle import ORACLE
 from quire.sources.tables import TABLES, table_path
 
 
@@ -24,7 +25,7 @@ def _rows(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_oracle(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = _rows(df.columns, df.collect())

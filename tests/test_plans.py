@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import __spark_entry__ as E
+from quire.plans.catalog import QUERIES
 
 from conftest import SF_SMALL
 
@@ -16,7 +17,7 @@ def plan_text(df, mode="formatted"):
 
 
 def test_no_query_plans_a_cross_product(spark):
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         plan = plan_text(fn(spark, SF_SMALL), "simple")
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name

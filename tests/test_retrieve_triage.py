@@ -141,7 +141,7 @@ def test_approx_topk_recall(spark):
     rows, corpus = vectors(spark, n=500, d=6, labels=4)
     cents = retrieve.label_centroids(corpus).withColumnRenamed("label", "query_id")
     exact = {(r.query_id, r.vec_id) for r in retrieve.dense_topk(cents, corpus, k=5).collect()}
-    approx = retrieve.approx_topk(cents, corpus, k=5, bucket_length=4.0, num_hash_tables=6).collect()
+    approx = retrieve.approx_topk(cents, corpus, k=5, num_hash_tables=6).collect()
     got = {(r.query_id, r.vec_id) for r in approx}
     assert len(got) == len(approx)                      # a vector counted once per query
     assert len(exact & got) / len(exact) >= 0.8
@@ -229,3 +229,33 @@ def test_null_vectors_are_not_candidates(spark):
     assert got == [(7, 1), (7, 3)]
     got_f = [(r.query_id, r.vec_id) for r in retrieve.filtered_topk(q, corpus, k=5).orderBy("rank").collect()]
     assert got_f == [(7, 1), (7, 3)]
+
+
+def test_approx_topk_does_not_depend_on_scale_and_fills_k(spark):
+    rnd = np.random.default_rng(3)
+    vecs = rnd.normal(size=(300, 8))
+    for scale in (1.0, 20.0):
+        corpus = spark.createDataFrame([(i, [float(x) * scale for x in v]) for i, v in enumerate(vecs)],
+                                       "vec_id long, embedding array<double>")
+        queries = corpus.where("vec_id < 12").selectExpr("vec_id as query_id", "embedding as vector")
+        rows = retrieve.approx_topk(queries, corpus, k=4).collect()
+        got = sorted((r.query_id, r["rank"], r.vec_id) for r in rows)
+        assert len(got) == 48
+        if scale == 1.0:
+            first = got
+    assert got == first
+
+
+def test_vectors_without_a_distance_are_no_candidates(spark):
+    nan = float("nan")
+    corpus = spark.createDataFrame([(i, [nan, 1.0]) for i in range(4)] + [(8, [0.0, 0.0]), (9, [1.0, 1.0])],
+                                   "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, vector array<double>")
+    assert [r.vec_id for r in retrieve.dense_topk(queries, corpus, 3).orderBy("rank").collect()] == [9, 8]
+    assert [r.vec_id for r in retrieve.dense_topk(queries, corpus, 3, "cosine").collect()] == [9]
+
+
+def test_chunk_keys_of_any_file_name(spark):
+    df = spark.createDataFrame([("guide.md", 1), ("doc_12.md", 2), ("9" * 20 + ".md", 3)], "file string, pos int")
+    keys = [r[0] for r in df.select(triage.chunk_key(F.col("file"), F.col("pos"))).collect()]
+    assert keys[1] == 12_000_002 and all(k is not None for k in keys)
