@@ -68,20 +68,38 @@ class Encoder:
         pre = conf.get("pre_tokenizer") or {}
         self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not conf.get("normalizer")
         self.added = [t["content"] for t in conf.get("added_tokens", [])]
+        marks = [t["content"] for t in conf.get("added_tokens", []) if t["special"] and not t["normalized"]
+                 and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
+        self.mark = marks[0] if marks and self.cut else None
+        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
         self.cache = WordCache(None, 400_000)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype = "<u4" if self.wide else "<u2"
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        if self.mark is None:
+            return [np.array(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
+        # many short pieces in one call, a special token between them: the library
+        # encodes what stands between special tokens by itself
         out = []
-        for a in range(0, len(texts), 4096):
-            out += [np.array(e.ids, self.dtype).tobytes() for e in encode(texts[a:a + 4096], add_special_tokens=False)]
+        for a in range(0, len(texts), 8192):
+            ids = np.array(encode([self.mark.join(texts[a:a + 8192])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+            raw, at, width = ids.astype(self.dtype).tobytes(), 0, int(self.dtype[-1])
+            for end in ends.tolist():
+                out.append(raw[at * width:end * width])
+                at = end + 1
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.cut and not any(s in t for s in self.added) for t in texts]
-        split = [pieces(t) if p else [t] for t, p in zip(texts, plain)]
+        if not all(plain):  # special tokens inside a text: the library takes these texts whole
+            whole = iter([np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(
+                [t for t, p in zip(texts, plain) if not p], add_special_tokens=False)])
+            rest = iter(self.encode([t for t, p in zip(texts, plain) if p])) if any(plain) else iter(())
+            return [next(rest) if p else next(whole) for p in plain]
+        split = [pieces(t) for t in texts]
         cache, young, old = {}, self.cache, self.cache.old
         distinct = set().union(*split)
         for p in distinct:
