@@ -35,7 +35,7 @@ from quire.session import cut_lineage
 
 MIN_BLOCK = 8_192      # characters
 MAX_BLOCKS = 50_000
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 LARGEST_SHARE = 0.25   # of one source, with the default weights
 SCALE = 10_000
 
