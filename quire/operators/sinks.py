@@ -58,7 +58,6 @@ def export_scrubbed(messages: DataFrame, path: str, export_timestamp: str,
     conversation and turn order. The time is a parameter so an export is
     repeatable; no conversation is gathered into one task.
     """
-    # ranges are dealt on the raw messages: sampling them must not run the redaction
     scrubbed = redact.scrub_conversations(messages)
     manifest = scrubbed.agg(F.countDistinct("conv_id").alias("n_conversations"),
                             F.count(F.lit(1)).alias("n_messages")).select(
