@@ -300,6 +300,21 @@ def test_fuzzy_lines(spark):
     assert fuzzy_lines.dedupe(df.limit(0)).count() == 0
 
 
+def test_long_lines_are_compared_word_by_word(spark):
+    words = [f"word{i}" for i in range(3000)]
+    few, many = list(words), list(words)
+    few[7] = few[1500] = "other"
+    many[::5] = ["else"] * 600
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, few, many))] + [(3, "")]
+    coded = spark.createDataFrame(rows, "i int, t string").select("i", fuzzy_lines._coded(F.col("t")).alias("w"))
+    got = {r.i: r.w for r in coded.collect()}
+    assert [len(got[i]) for i in range(4)] == [3000, 3000, 3000, 1]
+    assert sum(x != y for x, y in zip(got[0], got[1])) == 2
+    assert sum(x != y for x, y in zip(got[0], got[2])) >= 599
+    left = {r.doc_id: r.text for r in fuzzy_lines.dedupe(spark.createDataFrame(rows[:3], "doc_id long, text string")).collect()}
+    assert left == {0: rows[0][1], 1: "", 2: rows[2][1]}
+
+
 def test_exactly_repeated_lines_go(spark, docs):
     got = {r.doc_id: r.text for r in fuzzy_lines.dedupe(docs).collect()}
     first = {}
