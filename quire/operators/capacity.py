@@ -55,9 +55,13 @@ def hardware_tier(mace: Column, dft: Column, vram: Column, registered: Column) -
 
 
 def route_jobs(jobs: DataFrame, requests: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Per job: the hardware tier on its host. A job whose host is unknown runs on CPU."""
+    """Per job: the hardware tier on its host. A job whose host is unknown runs
+    on CPU; one whose request is unknown is estimated as one atom."""
     est = estimate_memory(requests).select("request_id", "mace_gb", "dft_gb")
-    j = jobs.join(est, "request_id", "inner").join(hosts, "host_id", "left")
+    mace = round(fixed.MACE_BASE_GB + fixed.MACE_PER_ATOM_GB, 3)
+    dft = round(fixed.DFT_BASE_GB + fixed.MATRIX_COPIES * fixed.BASIS_PER_ATOM ** 2 * fixed.BYTES_PER_DOUBLE / fixed.GIB, 3)
+    j = jobs.join(est, "request_id", "left").fillna({"mace_gb": mace, "dft_gb": dft}) \
+        .join(hosts, "host_id", "left")
     return j.withColumn("hw_tier", hardware_tier(F.col("mace_gb"), F.col("dft_gb"),
                                                  F.coalesce(F.col("vram_gb"), F.lit(0.0)),
                                                  F.col("mace_registered")))

@@ -350,10 +350,10 @@ jobs AS ({derived_sql('jobs')}),
 hosts AS ({derived_sql('hosts')}),
 routed AS (
   SELECT j.host_id,
-    CASE WHEN coalesce(h.mace_registered, false) AND m.mace_gb < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_MACE'
-         WHEN m.dft_gb < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_DFT'
+    CASE WHEN coalesce(h.mace_registered, false) AND coalesce(m.mace_gb, 0.505::DOUBLE) < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_MACE'
+         WHEN coalesce(m.dft_gb, 1.0::DOUBLE) < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_DFT'
          ELSE 'CPU_ORCA' END AS hw_tier
-  FROM jobs j JOIN mem m ON j.request_id = m.request_id LEFT JOIN hosts h ON j.host_id = h.host_id
+  FROM jobs j LEFT JOIN mem m ON j.request_id = m.request_id LEFT JOIN hosts h ON j.host_id = h.host_id
 )
 SELECT host_id, hw_tier, count(*) AS n_jobs FROM routed GROUP BY host_id, hw_tier"""
 
