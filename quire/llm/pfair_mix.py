@@ -18,7 +18,8 @@ small hash bucket of its source plus the sizes of the buckets before.
 Contract: a NULL source is the source ``''``; a NULL text has size 0; rows with
 equal hash and doc_id are laid by size; rows with a NULL doc_id are placed too;
 an empty table gives an empty result; ``select_mix`` returns the rows of the
-mix with all their columns as they are, ``place`` ignores other columns. A
+mix in slot order with all their columns as they are, ``place`` ignores other
+columns. A
 source named in the weights that has no documents is left out, and one that
 the weights do not name gets no slots and lies outside the mix.
 """
@@ -36,7 +37,7 @@ from quire.session import cut_lineage
 MIN_BLOCK = 8_192      # characters
 MAX_BLOCKS = 50_000
 BUCKET_ROWS = 4_000
-LARGEST_SHARE = 0.25   # of one source, with the default weights
+LARGEST_SHARE = 0.25   # of one source, with capped weights
 SCALE = 10_000
 
 
@@ -82,26 +83,25 @@ def mix_length(blocks: dict[str, int], weights: dict[str, int]) -> int:
     return min((blocks[s] * total // weights[s] for s in blocks if blocks[s] and weights[s]), default=0)
 
 
-def _sized(docs: DataFrame) -> DataFrame:
+def _sized(docs: DataFrame, *held: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"))
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"), *held)
 
 
-def place(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """``doc_id, source, block, slot, in_mix`` of every row; ``slot`` is NULL
-    for a source without weight. ``weights``: relative, by source."""
+def _placed(docs: DataFrame, weights: dict[str, int] | None, *held: str) -> DataFrame:
+    """The rows of ``place`` with the columns ``held`` of ``docs`` besides."""
     spark = docs.sparkSession
     rows = cut_lineage(_sized(docs))
     bits = max(0, (max(1, rows.count()) // BUCKET_ROWS).bit_length())
     bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
     # unsigned order of the hashes is the order of buckets and within them
-    rows = rows.withColumn("bucket", bucket).withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
-    sums = cut_lineage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("total")))
+    dealt = lambda x: x.withColumn("bucket", bucket).withColumn("u", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))
+    sums = cut_lineage(dealt(rows).groupBy("source", "bucket").agg(F.sum("size").alias("total")))
     sizes = {r["source"]: r["total"] for r in sums.groupBy("source").agg(F.sum("total").alias("total")).collect()}
     block = max(MIN_BLOCK, -(-sum(sizes.values()) // MAX_BLOCKS))
     blocks = {s: max(1, -(-n // block)) for s, n in sizes.items()}
-    target = capped_weights(sizes) if weights is None else weights
+    target = blocks if weights is None else weights
     blocks_due = {s: n for s, n in blocks.items() if target.get(s)}
     length = mix_length(blocks_due, target)
     plan = spark.createDataFrame([(s, i, t, t < length) for s, i, t in edf(blocks_due, target)],
@@ -110,26 +110,27 @@ def place(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     bases = sums.select("source", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))) \
+    # columns that are held are read again: only the sizes are written
+    laid = dealt(_sized(docs, *held) if held else rows)
+    placed = laid.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))) \
         .join(bases, ["source", "bucket"]) \
         .withColumn("block", F.floor((F.col("base") + F.col("inside")) / F.lit(block)).cast("long"))
     # a document of size 0 at the very end starts where the last block ends
     last = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "source string, last long")
     return placed.join(F.broadcast(last), "source").withColumn("block", F.least("block", "last")) \
-        .join(plan, ["source", "block"], "left") \
-        .select("doc_id", "source", "block", "slot", F.coalesce("in_mix", F.lit(False)).alias("in_mix"), "u")
+        .join(F.broadcast(plan), ["source", "block"], "left") \
+        .select("doc_id", "source", "block", "slot", F.coalesce("in_mix", F.lit(False)).alias("in_mix"), "u", *held)
+
+
+def place(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """``doc_id, source, block, slot, in_mix`` of every row; ``slot`` is NULL
+    for a source without weight. ``weights``: relative, by source; by default
+    the sources' own numbers of blocks, with which every row is in the mix."""
+    return _placed(docs, weights)
 
 
 def select_mix(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """The rows of the mix. Blocks follow the hash order of a source, so the mix
-    takes the documents up to one hash of each source: the texts are filtered
-    where they are, against one row per source."""
-    ends = cut_lineage(place(docs, weights).where("in_mix").groupBy("source")
-                       .agg(F.max(F.struct("u", "doc_id")).alias("end")))
-    end = ends.select(F.col("source").alias("__mix_source"), F.col("end.u").alias("__mix_u"),
-                      F.col("end.doc_id").alias("__mix_doc"))
-    u = F.xxhash64("doc_id").bitwiseXOR(F.lit(-(1 << 63)))
-    return docs.join(end, F.coalesce(docs["source"], F.lit("")) == F.col("__mix_source")) \
-        .where((u < F.col("__mix_u")) | ((u == F.col("__mix_u")) & (F.col("doc_id").isNull() | F.col("__mix_doc").isNull()
-                                                                    | (F.col("doc_id") <= F.col("__mix_doc"))))) \
-        .select(*(docs[c] for c in docs.columns))
+    """The rows of the mix, in the order of their slots."""
+    row = docs.select("*", F.struct(*(docs[c] for c in docs.columns)).alias("__mix_row"))
+    return _placed(row, weights, "__mix_row").where("in_mix").orderBy("slot", "u", "doc_id") \
+        .select(*(F.col("__mix_row")[c].alias(c) for c in docs.columns))

@@ -363,6 +363,36 @@ def test_mix_places_every_document(spark, docs):
     assert pfair_mix.place(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shares", [(40, 30, 29, 1), (90, 4, 3, 2, 1), (33, *[4] * 16, 3), (300, 1), (50, 25, 0)])
+def test_default_mix_drops_nothing(spark, monkeypatch, shares):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(pfair_mix, "MIN_BLOCK", 64)
+    rows = [(s * 1000 + i, "x" * 40, f"s{s}" if s else None) for s, n in enumerate(shares) for i in range(n)]
+    rows += [(90_000 + i, "", "only empty texts") for i in range(5)] + [(None, None, "s1"), (7, "twice", None), (7, "twice", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = {(r.doc_id, r.source): r for r in pfair_mix.place(df).collect()}
+    assert pfair_mix.place(df).where("not in_mix or slot is null").count() == 0
+    got = [tuple(r) for r in P.mix_sources(spark, df, SF_SMALL).collect()]
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
+    slots = [placed[d, s or ""].slot for d, _, s in got if d not in (None, 7)]
+    assert slots == sorted(slots)
+    # a source's share holds all along the order, within a block
+    chars = Counter()
+    for _, text, s in rows:
+        chars[s or ""] += len(text or "")
+    blocks = {s: max(1, -(-n // 64)) for s, n in chars.items()}
+    for s, n in blocks.items():
+        at = sorted({p.slot for p in placed.values() if p.source == s})
+        assert all(abs(k - n * t / sum(blocks.values())) < 1 for k, t in enumerate(at))
+
+
+def test_stated_weights_hold(spark):
+    df = spark.createDataFrame([(i, "x" * 9000, "ab"[i % 3 == 0]) for i in range(60)], "doc_id long, text string, source string")
+    got = Counter(r.source for r in pfair_mix.select_mix(df, {"a": 1, "b": 1}).collect())
+    assert abs(got["a"] - got["b"]) <= 1
+
+
 # 9 ------------------------------------------------------------------------
 
 def test_spotsigs_neighbours(spark, docs):
