@@ -333,6 +333,45 @@ def test_exactly_repeated_lines_go(spark, docs):
     assert max(kept.values()) == 1
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def groups_of(lines, linked):
+    comp = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if comp[i] != comp[j] and linked(lines[i], lines[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return sorted(Counter(comp).values())
+
+
+def test_large_buckets_of_lines_are_compared_whole(spark, monkeypatch):
+    # all in the same buckets, singletons first: pairs in the rest are no heads
+    monkeypatch.setattr(fuzzy_lines, "_block_keys", lambda sim: [F.lit(1).cast("long")])
+    monkeypatch.setattr(fuzzy_lines, "MAX_DISTANCE", 64)
+    monkeypatch.setattr(fuzzy_lines, "CELL", 64, raising=False)
+    rnd = random.Random(3)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    lines = [letters(40) for _ in range(250)]
+    lines += [x[:20] + "xyz"[:k] + x[20 + k:] for x in lines[:25] for k in (1, 3)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = [r.text for r in fuzzy_lines.dedupe(df).collect() if r.text]
+    want = len(groups_of(lines, lambda a, b: distance(a, b) * 10 <= max(len(a), len(b))))
+    assert want == 250 and len(kept) == want
+
+
+def test_line_ids_do_not_depend_on_outer_separators(spark):
+    rows = [(1, "one two three four five six"), (2, "  *One two-three, four five six.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fuzzy_lines.occurrences(df).select("line").distinct().count() == 1
+
+
 # 7 ------------------------------------------------------------------------
 
 def test_edf_keeps_within_one_block():
