@@ -366,6 +366,55 @@ def test_large_buckets_of_lines_are_compared_whole(spark, monkeypatch):
     assert want == 250 and len(kept) == want
 
 
+def changed_lines(n_words, pairs, edit, seed=5):
+    """Lines of ``n_words`` and a copy of each within a tenth in characters."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.choice((2, 3, 4, 5, 5, 6, 7, 8)))) for _ in range(5000)]
+    out = []
+    while len(out) < pairs:
+        words = rnd.choices(vocabulary, k=n_words)
+        a, b = " ".join(words), " ".join(edit(rnd, list(words), vocabulary))
+        if a != b and distance(a, b) * 10 <= max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+def one_word(rnd, words, vocabulary):
+    words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+    return words
+
+
+def typing_errors(rnd, words, vocabulary):
+    for i in rnd.sample(range(len(words)), max(1, len(words) // 5)):
+        k = rnd.randrange(len(words[i]))
+        words[i] = words[i][:k] + "z" + words[i][k + 1:]
+    return words
+
+
+def recall(spark, pairs):
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    left = {r.doc_id for r in fuzzy_lines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.text}
+    assert all(2 * i in left for i in range(len(pairs)))
+    return 1 - sum(d % 2 for d in left) / len(pairs)
+
+
+@pytest.mark.parametrize("n_words,edit,least", [(10, one_word, 0.9), (20, one_word, 0.95), (40, one_word, 0.97),
+                                                (15, typing_errors, 0.85), (40, typing_errors, 0.85)])
+def test_recall_of_near_lines_against_brute_force(spark, n_words, edit, least):
+    got = recall(spark, changed_lines(n_words, 250, edit))
+    print("recall", n_words, edit.__name__, got)
+    assert got >= least
+
+
+def test_long_lines_are_compared_in_characters(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(200)]
+    typing = [w[:4] + "z" + w[5:] if i % 8 == 0 else w for i, w in enumerate(words)]  # an eighth of the words, 1.3 % of the characters
+    rows = [(0, " ".join(words)), (1, " ".join(typing)), (2, " ".join(["quite"] + words[3:]))]
+    left = {r.doc_id: r.text for r in fuzzy_lines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {0: rows[0][1], 1: "", 2: ""}
+
+
 def test_line_ids_do_not_depend_on_outer_separators(spark):
     rows = [(1, "one two three four five six"), (2, "  *One two-three, four five six.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
