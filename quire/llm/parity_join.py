@@ -263,6 +263,27 @@ def _buckets(occurs: DataFrame) -> DataFrame:
 def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: the smallest doc_id
     that links lead to, its own included."""
+    return _named(*_linked(docs, percent, width))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """The rows, all columns as they are, with one of each component only: the
+    one of least doc_id (NULL last), of these the one of least row key, of rows
+    equal in doc_id and text any. Rows without words are linked with nothing
+    and all stay."""
+    table, found = _linked(docs, percent, width)
+    rows = table.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("node").alias("node"), F.count("*").alias("same"))
+    comps = rows.where("node is not null").withColumn("comp", F.col("node")) if found is None else \
+        rows.where("node is not null").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = comps.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "same")).alias("first"))
+    kept = cut_lineage(first.select(F.col("first.row").alias("__row"), F.col("first.same").alias("__same")).union(
+        rows.where("node is null").select("row", F.lit(1).cast("long"))))
+    held = docs.withColumn("__row", _row_key()).join(kept, "__row")
+    return held.where("__same = 1").union(held.where("__same > 1").dropDuplicates(["__row"])).select(*docs.columns)
+
+
+def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame | None]:
+    """The table of ``describe`` and the components of its nodes."""
     table = describe(docs, percent, width)
     known = cut_lineage(_known(table))
     buckets = _buckets(table.where("keys is not null").select("node", F.explode("keys").alias("key")))
@@ -285,7 +306,7 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
             break
         # the heads of large buckets have been compared with all members
         buckets = _buckets(_rare_keys(docs, known, large, percent, width))
-    return _named(table, found)
+    return table, found
 
 
 def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:

@@ -562,6 +562,23 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, odd.limit(0), SF_SMALL).count() == 0, name
 
 
+def test_near_duplicates_are_decided_by_row(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a, 0), (1, a, 0), (1, a + " more", 0),        # copies under one id
+            (2, a, 0), (2, b, 1),                             # a copy and a clean row under one id
+            (None, c, 0), (None, c, 0), (None, c + " end", 0),  # copies without an id
+            (None, b, 0), (3, d, 1), (4, "", 1), (4, "", 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = sorted((tuple(r) for r in P.drop_near_duplicates(spark, df, SF_SMALL).collect()), key=repr)
+    clean = sorted((r for r in rows if r[2]), key=repr)
+    assert [r for r in got if r[2]] == clean
+    rest = [r for r in got if not r[2]]
+    assert len(rest) == 2 and {r[0] for r in rest} == {1, None}
+    assert [r[1][:2] for r in rest if r[0] is None] == ["c0"]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_oracle(spark, name):
     import duckdb
