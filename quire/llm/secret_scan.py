@@ -6,7 +6,9 @@ only if their structure holds: a signed token's header and payload must be
 JSON objects and the header must name an algorithm (``jwt``); a key encoding
 must be nested lengths that fill each other exactly, as tag-length-value
 (``der``, and ``pem`` when armoured) or as length-prefixed fields that start
-with a known key type (``ssh``).
+with a known key type (``ssh``). Header lines of an armoured key are skipped and an
+escaped line end counts as one; a key that its headers call encrypted has no
+structure left but whole cipher blocks, as long as the initial vector.
 
 Contract: spans are code points, end exclusive; a NULL or empty text has none;
 texts are scanned whole, in time linear in their length; repeated rows and
@@ -41,9 +43,10 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([^-]*+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_HEX_ANY = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{40,}(?![0-9A-Za-z])")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----))*+)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:[\x20\t]*[A-Z0-9-]+,[\x20\t]*((?:[0-9A-Fa-f]{16}){1,2})\s*", re.ASCII)
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_HEX_ANY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))[0-9A-Fa-f]{40,}(?![0-9A-Za-z])")
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 _OPENSSH = b"openssh-key-v1\x00"
 _DEPTH = 16
@@ -140,6 +143,15 @@ def _key_kind(raw: bytes | None) -> str | None:
     return "der" if raw[0] == 0x30 and is_der(raw) else "ssh" if is_ssh(raw) else None
 
 
+def is_armoured(body: str) -> bool:
+    lines = body.replace("\\r", "\n").replace("\\n", "\n").split("\n")
+    raw = unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
+    cipher = next(filter(None, (_CIPHER.fullmatch(x.strip()) for x in lines)), None)
+    if cipher:
+        return bool(raw) and len(raw) >= 16 and len(raw) % (len(cipher[1]) // 2) == 0
+    return bool(_key_kind(raw))
+
+
 def base_spans(text: str, long_word: bool = True) -> list[tuple[int, int, str]]:
     out = []
     low = text.lower()
@@ -158,8 +170,7 @@ def confirmed_spans(text: str, long_word: bool = True) -> list[tuple[int, int, s
     out = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            raw = unbase64("".join(m[2].split()))
-            if _key_kind(raw):
+            if is_armoured(m[2]):
                 out.append((m.start(), m.end(), "pem"))
     if not long_word:
         return out

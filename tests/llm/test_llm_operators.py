@@ -523,6 +523,29 @@ def test_secret_structures():
     assert kinds("sha " + "ab" * 32) == {"hex"}
 
 
+def test_secret_forms_of_settings_files():
+    import base64
+    import struct
+
+    inner = b"\x02\x01\x00" + b"\x06\x03\x2a\x03\x04" + b"\x04\x20" + bytes(32)
+    der = b"\x30" + bytes([len(inner)]) + inner
+    field = lambda x: struct.pack(">I", len(x)) + x
+    ssh = base64.b64encode(field(b"ssh-rsa") + field(b"\x01\x00\x01") + field(bytes(64))).decode()
+    b64, sealed = base64.b64encode(der).decode(), base64.b64encode(bytes(range(64))).decode()
+    spans = lambda t: {(t[a:b], k) for a, b, k in secret_scan.scan_text(t)[1]}
+    kinds = lambda t: {k for _, k in spans(t)}
+    assert (b64, "der") in spans(f"KEY={b64}\n") and (ssh, "ssh") in spans(f"ssh_key={ssh}")
+    assert (der.hex(), "der") in spans(f"x = 0x{der.hex()};") and "der" not in kinds(f"a0x{der.hex()}")
+    pem = lambda body: f"-----BEGIN KEY-----\n{body}\n-----END KEY-----"
+    assert "pem" in kinds(pem(f"Comment: made-by-hand\n\n{b64}"))
+    assert "pem" in kinds("k = '" + pem(f"{b64[:40]}\n{b64[40:]}").replace("\n", "\\n") + "'")
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n"
+    assert "pem" in kinds(pem(heads.format("0F" * 16) + sealed))
+    assert "pem" not in kinds(pem(heads.format("0F" * 16) + sealed[:-12])) and "pem" not in kinds(pem(sealed))
+    long = "-----BEGIN KEY-----\na-b " * 50_000
+    assert "pem" not in kinds(long)
+
+
 def test_secret_base_spans(spark, docs):
     def brute(text):
         out = [(m.start(), m.end(), "assign") for m in re.finditer(
