@@ -289,9 +289,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")) \
         .where(F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # at most SAMPLE ids and labels go to the tasks
-    train = cut_lineage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-                        .join(F.broadcast(sample), "doc_id").select("text", "y"))
+    # at most SAMPLE ids and labels go to the tasks, and one row of each id is learned from, that of the
+    # least text hash: a repeated doc_id weighs no more than any other
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id") \
+        .withColumn("h", F.xxhash64("text"))
+    least = cut_lineage(named.groupBy("doc_id").agg(F.min("h").alias("h")))
+    train = cut_lineage(named.join(F.broadcast(least), ["doc_id", "h"]).dropDuplicates(["doc_id"]).select("text", "y"))
 
     sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)

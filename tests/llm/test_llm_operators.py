@@ -285,6 +285,17 @@ def test_toxicity_on_held_out_labels(spark):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_repeated_ids_weigh_once_in_learning(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    often = docs.join(labels.where("toxic = 0").where(~toxicity.held_out()).orderBy("doc_id").limit(1).select("doc_id"), "doc_id")
+    hot = docs.union(often.crossJoin(spark.range(400)).select("doc_id", "text"))
+    scores = [{r.doc_id: r.score for r in toxicity.score(docs, toxicity.learn(x, labels)).collect()} for x in (docs, hot)]
+    assert any(scores[0].values()) and scores[0].keys() == scores[1].keys()
+    assert all(abs(v - scores[1][k]) < 1e-6 for k, v in scores[0].items())
+
+
 # 6 ------------------------------------------------------------------------
 
 def test_fuzzy_lines(spark):
