@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import (bpe_automaton, fuzzy_lines, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
-                       token_shards, toxicity, url_rules)
+                       token_shards, toxicity, url_rules, warc)
 from quire.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,6 +72,13 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return warc.pages_of(spark, folder).select(
+        F.col("page_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_shards, op2_quality_rules, op3_url_rules, op4_parity_join, op5_toxicity, op6_fuzzy_lines,
-    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, pipeline)}
+    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, op11_warc, pipeline)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
@@ -140,4 +147,17 @@ WITH RECURSIVE d AS (
 )
 SELECT s.doc_id, any_value(len(items))::BIGINT AS n_shingles, min(other) AS component_id
 FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id""",
+    "op11_warc": """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS t FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha1(encode(t)) AS payload_digest,
+         row_number() OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS r,
+         max(page_id) OVER (PARTITION BY t) AS top
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND r > 1 THEN top END AS refers_to
+FROM d""",
 }
