@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import (bpe_automaton, fuzzy_lines, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
+from quire.llm import (bpe_automaton, fuzzy_lines, hard_negatives, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
                        token_shards, toxicity, url_rules, warc)
 from quire.llm.common import read
 
@@ -79,6 +79,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0).drop("positive_rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_shards, op2_quality_rules, op3_url_rules, op4_parity_join, op5_toxicity, op6_fuzzy_lines,
-    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, op11_warc, pipeline)}
+    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, op11_warc, op12_hard_negatives, pipeline)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
@@ -160,4 +166,25 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 1000 OR r = 1 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND r > 1 THEN top END AS refers_to
 FROM d""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.c, b.c), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT ar, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER w AS k
+  FROM s WHERE same WINDOW w AS (PARTITION BY ar ORDER BY score DESC, id NULLS LAST, br)
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same
+  WHERE k <= 5 AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
