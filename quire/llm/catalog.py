@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import (bpe_automaton, fuzzy_lines, hard_negatives, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
+from quire.llm import (bpe_automaton, collocations, fuzzy_lines, hard_negatives, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
                        token_shards, toxicity, url_rules, warc)
 from quire.llm.common import read
 
@@ -85,6 +85,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0).drop("positive_rank")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents", "text", "lang"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +97,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_shards, op2_quality_rules, op3_url_rules, op4_parity_join, op5_toxicity, op6_fuzzy_lines,
-    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, op11_warc, op12_hard_negatives, pipeline)}
+    op7_pfair_mix, op8_bpe_automaton, op9_spotsigs, op10_secret_scan, op11_warc, op12_hard_negatives, op13_collocations,
+    pipeline)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
@@ -187,4 +192,42 @@ WITH v AS (
   WHERE k <= 5 AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
 )
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), t AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, s, unnest(list_transform(range(1, len(ws) - s + 2), lambda i: list_slice(ws, i, i + s - 1))) AS x
+  FROM w CROSS JOIN (VALUES (1), (2), (3)) v(s) WHERE len(ws) >= s
+), f AS (
+  SELECT lang, x, count(*)::BIGINT AS a FROM g GROUP BY lang, x HAVING count(*) >= 10
+), c AS (
+  SELECT * FROM f WHERE len(x) > 1
+), inner_parts AS (
+  SELECT lang, y, max(a) AS around FROM (
+    SELECT lang, a, unnest([list_slice(x, 1, 2), list_slice(x, 2, 3)]) AS y FROM c WHERE len(x) = 3) GROUP BY lang, y
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN inner_parts i ON i.lang = c.lang AND i.y = c.x
+  WHERE around IS NULL OR 100 * around < 50 * a
+), cuts AS (
+  SELECT k.lang, k.x, k.a, l.a AS l, r.a AS r, cut,
+         ((k.a::HUGEINT * k.a::HUGEINT * 1000000) // (l.a::HUGEINT * r.a::HUGEINT))::BIGINT AS score
+  FROM kept k CROSS JOIN (VALUES (1), (2)) v(cut)
+  JOIN f l ON l.lang = k.lang AND l.x = list_slice(k.x, 1, cut)
+  JOIN f r ON r.lang = k.lang AND r.x = list_slice(k.x, cut + 1, len(k.x))
+  WHERE cut < len(k.x)
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, x ORDER BY score, cut) AS b FROM cuts
+), ranked AS (
+  SELECT lang, list_aggregate(x, 'string_agg', ' ') AS phrase, a, l, r, score FROM lowest WHERE b = 1
+), top AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM top JOIN t USING (lang) WHERE rank <= 2000""",
 }
