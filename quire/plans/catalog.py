@@ -202,6 +202,11 @@ def q_route_hardware(spark, sf_dir):
                                    D.hosts(spark, sf_dir))
 
 
+@register("route_all_hosts")
+def q_route_all_hosts(spark, sf_dir):
+    return capacity.route_all_hosts(D.jobs(spark, sf_dir), D.requests(spark, sf_dir), D.hosts(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- retrieval
 def centroid_queries(spark, sf_dir):
     emb = read_table(spark, sf_dir, "embeddings")
@@ -365,6 +370,11 @@ def q_transcripts(spark, sf_dir):
     return files.transcript_stats(read_table(spark, sf_dir, "conversations"))
 
 
+@register("transcript_positions")
+def q_transcript_positions(spark, sf_dir):
+    return files.transcript_positions(read_table(spark, sf_dir, "conversations", balance=False))
+
+
 @register("pulse_status")
 def q_pulse_status(spark, sf_dir):
     p = jobs.pulse_status(D.metrics(spark, sf_dir), window="1 hour")

@@ -357,6 +357,18 @@ routed AS (
 )
 SELECT host_id, hw_tier, count(*) AS n_jobs FROM routed GROUP BY host_id, hw_tier"""
 
+ORACLE["route_all_hosts"] = "WITH " + MEM_CTE + f""",
+jobs AS ({derived_sql('jobs')}),
+hosts AS ({derived_sql('hosts')}),
+pairs AS (
+  SELECT h.host_id,
+    CASE WHEN coalesce(h.mace_registered, false) AND coalesce(m.mace_gb, 0.505::DOUBLE) < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_MACE'
+         WHEN coalesce(m.dft_gb, 1.0::DOUBLE) < coalesce(h.vram_gb, 0.0::DOUBLE) THEN 'GPU_DFT'
+         ELSE 'CPU_ORCA' END AS hw_tier
+  FROM jobs j LEFT JOIN mem m ON j.request_id = m.request_id CROSS JOIN hosts h
+)
+SELECT host_id, hw_tier, count(*) AS n_jobs FROM pairs GROUP BY host_id, hw_tier"""
+
 
 # ---------------------------------------------------------------- retrieval
 VEC_CTE = """
@@ -641,6 +653,11 @@ FROM long GROUP BY role, pattern"""
 
 
 # ---------------------------------------------------------------- streams (batch twins), sources
+ORACLE["transcript_positions"] = """
+SELECT conv_id, turn, role, row_number() OVER w - 1 AS position,
+       CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars_before
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)"""
+
 ORACLE["transcripts"] = """
 SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars,
        arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role,

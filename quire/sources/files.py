@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.ordered import running_sums
+
 FILE_GLOB = "*.{md,txt}"
 
 
@@ -43,11 +45,25 @@ def transcripts(messages: DataFrame, partitions: int | None = None) -> DataFrame
     Range partitioning on (conv_id, turn) keeps each conversation's messages
     together and in order while still letting a conversation that holds a
     large share of all messages span several partitions; nothing is
-    collected into one value.
+    collected into one value. Without a number of partitions Spark's shuffle
+    settings and AQE size them by bytes.
     """
-    n = partitions or messages.sparkSession.sparkContext.defaultParallelism
-    return (messages.repartitionByRange(n, "conv_id", "turn")
-            .sortWithinPartitions("conv_id", "turn"))
+    by = ("conv_id", "turn")
+    ranged = messages.repartitionByRange(partitions, *by) if partitions else messages.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by)
+
+
+def transcript_positions(messages: DataFrame) -> DataFrame:
+    """A3 as rows: ``conv_id, turn, role, position, chars_before`` -- each message's
+    place in its conversation from 0 and the characters of the ones before it.
+
+    Sums run along range partitions and are carried over their boundaries
+    (``ordered.running_sums``), so a conversation with a third of all messages
+    is summed by several tasks. Ties of a turn are ordered by role and text."""
+    narrow = messages.select("conv_id", "turn", "role", F.xxhash64("text").alias("__tie"),
+                             F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("__n"))
+    return running_sums(narrow, "conv_id", ["turn", "role", "__tie"],
+                        {"position": F.lit(1).cast("long"), "chars_before": F.col("__n")}).drop("__tie", "__n")
 
 
 def transcript_stats(messages: DataFrame) -> DataFrame:
