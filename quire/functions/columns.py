@@ -7,6 +7,8 @@ it stays inside whole-stage code generation and can be used in any
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def let(value: str | Column, body) -> Column:
     return F.element_at(F.transform(F.array(col_(value)), body), 1)
 
 
+def fill(template: str, **values: Column) -> Column:
+    """A text template with its ``{names}`` replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if i % 2 or x))
+
+
 def py_strip(c: str | Column) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
     return F.btrim(col_(c), F.lit(fixed.PY_WHITESPACE))

@@ -1,43 +1,40 @@
 """Retrieval: exact dense and lexical top-k per query, filters, fallback,
 score intervals, context blocks, prompts and summaries.
 
-Exact top-k plan (B1, B2)
--------------------------
-The query set is the small side. Its size is checked (rows and bytes); up to
-the bound it is collected once and broadcast, beyond it the queries are
-split into hash batches that each fit, and each batch is one more pass over
-the corpus, so the answer stays exact. Every corpus partition scores all
-broadcast queries inside ``mapInArrow`` (numpy) and emits only its local top
-k per query; one small shuffle and a ``row_number`` window give the global
-top k. No query x corpus pairs are materialised or shuffled, and the corpus
-is read where it lies (no corpus shuffle).
-
-Filtered top-k (B3) uses the same plan: each corpus row is scored only
-against the broadcast queries that ask for its filter value, so a value
-shared by many queries, or holding most of the corpus, forms no pairs.
+Top-k plan (B1-B4, B6)
+----------------------
+The queries are packed into blocks of bounded size inside their tasks. If there
+are no more than ``MAX_BLOCKS`` (one more is asked for, to know) they are
+broadcast: every corpus partition scores its rows where they lie and emits its k
+best rows per query, and a window ranks these. Beyond the bound the queries'
+blocks are a written table: corpus rows are packed into blocks, too, both sides
+are dealt out to (query band, corpus partition) and joined on it, and every cell
+of the join emits its k best. Either way the same kernels score the same pairs, the memory of a task is that of a few
+blocks, and no query x row pairs are formed as rows.
+
+Ids of queries and rows may be of any type that has an order. Losing candidates
+carry ids only: texts of the winners are fetched after the ranking
+(``assemble_context``), unless a caller asks for ``payload``.
 """
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import fixed
-from quire.functions.columns import half_up, with_interval
+from quire.functions.columns import fill, half_up, with_interval
 from quire.operators import kernels
 from quire.operators.audit import audit_struct
 from quire.session import cut_lineage
 
-# Bounds for what is collected and broadcast per query batch. Beyond them the
-# query set is split into hash batches (one more corpus pass each), so the
-# result stays exact whatever the number of queries.
-MAX_QUERY_ROWS = 16384          # dense: rows of the (queries x dim) matrix
-MAX_LEXICAL_QUERIES = 1_000_000  # lexical: queries whose postings are broadcast
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_BLOCKS = 16                  # query blocks (kernels.PACK_BYTES each) that are broadcast together
+BAND_BYTES = 16 << 20            # query blocks of one band, beyond that
+CELLS, SAMPLE, SAMPLE_QUERIES, ROUNDS = 32, 8192, 256, 6
+RECALL = 0.97                    # share of the sample's neighbours that the probed cells must hold
 
 
 def tokens(text: str | Column) -> Column:
@@ -46,39 +43,53 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}]+", -1), lambda t: t != "")
 
 
-def _batches(queries: DataFrame, key: str, n_rows: int, n_bytes: int,
-             max_rows: int | None = None) -> list[DataFrame]:
-    """Split the query set into hash batches that each respect the bounds."""
-    max_rows = max_rows or MAX_QUERY_ROWS
-    n_batches = max(1, math.ceil(n_rows / max_rows), math.ceil(n_bytes / MAX_BROADCAST_BYTES))
-    if n_batches == 1:
-        return [queries]
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n_batches))
-    return [queries.where(bucket == b) for b in range(n_batches)]
-
+def search(queries: DataFrame, corpus: DataFrame, prepare, k: int, payload=(), distinct: bool = False) -> DataFrame:
+    """The k best rows of ``corpus`` (id first) for each of ``queries`` (query_id
+    first): ``query_id, rank, id, distance`` and the payload columns. ``prepare``
+    makes the kernel of a query block from its Arrow batch."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-def _finish(spark, parts: list[DataFrame], k: int, id_col: str, payload=()) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return (out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "rank", F.col("id").alias(id_col), "distance", *payload))
+    spark = corpus.sparkSession
+    id_col = corpus.columns[0]
+    found = StructType([queries.schema[0], corpus.schema[0], StructField("distance", DoubleType()),
+                        *(corpus.schema[c] for c in payload)])
+    schema = to_arrow_schema(found)
+    blocks = queries.mapInArrow(kernels.pack(), "part int, n long, data binary")
+    probe = blocks.select("data").limit(MAX_BLOCKS + 1).collect()
+    if not probe:                    # no query: the corpus is not read
+        return spark.createDataFrame([], found).select(
+            "query_id", F.lit(0).alias("rank"), id_col, "distance", *payload)
+    if len(probe) <= MAX_BLOCKS:
+        asked = spark.sparkContext.broadcast([bytes(r[0]) for r in probe])
+        hits = corpus.mapInArrow(kernels.broadcast_search(asked, prepare, k, schema, distinct), found)
+    else:
+        packed = corpus.mapInArrow(kernels.pack(), "part int, n long, data binary")
+        blocks = cut_lineage(blocks)
+        size = blocks.agg(F.sum(F.octet_length("data"))).first()[0]
+        slots, bands = max(1, corpus.rdd.getNumPartitions()), -(-size // BAND_BYTES)
+        left = blocks.select(F.pmod(F.xxhash64("data"), F.lit(bands)).cast("int").alias("band"), F.col("data").alias("asked"),
+                             F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("part"))
+        right = packed.select("part", "data", F.explode(F.sequence(F.lit(0), F.lit(int(bands) - 1))).alias("band"))
+        cells = left.join(right, ["band", "part"]).select("asked", "data")
+        hits = cells.mapInArrow(kernels.cell_search(prepare, k, schema, distinct), found)
+    w = Window.partitionBy("query_id").orderBy("distance", id_col)
+    rank = F.dense_rank() if distinct else F.row_number()
+    out = hits.withColumn("rank", rank.over(w)).where(F.col("rank") <= k)
+    if distinct:                     # rows of one id are equal: one of them
+        out = out.dropDuplicates(["query_id", "rank"])
+    return out.select("query_id", "rank", id_col, "distance", *payload)
 
 
-def _payload_spec(corpus: DataFrame, payload) -> tuple[str, object]:
-    """Spark DDL suffix and Arrow schema of the payload columns."""
-    if not payload:
-        return "", None
-    from pyspark.sql.pandas.types import to_arrow_schema
-    sub = corpus.select(*payload).schema
-    ddl = "".join(f", {f.name} {f.dataType.simpleString()}" for f in sub.fields)
-    return ddl, to_arrow_schema(sub)
+def _dense_queries(queries: DataFrame, key: str, vec: str, *more: Column) -> DataFrame:
+    return queries.select(F.col(key).alias("query_id"), F.col(vec).cast("array<double>").alias("vector"), *more) \
+        .where(F.col("vector").isNotNull())
 
 
-def _empty_hits(spark, key_type, id_col, corpus, payload):
-    ddl, _ = _payload_spec(corpus, payload)
-    return spark.createDataFrame([], f"query_id {key_type}, rank int, {id_col} long, distance double{ddl}")
+def _rows(corpus: DataFrame, id_col: str, *values, payload=()) -> DataFrame:
+    """Id, what is scored, and payload; an id may be payload's only under another name."""
+    return corpus.select(F.col(id_col), *(v.alias(f"__{i}") for i, v in enumerate(values)),
+                         *(c for c in payload if c != id_col))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",
@@ -86,124 +97,42 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
                id_col: str = "vec_id", vec_col: str = "embedding", payload=()) -> DataFrame:
     """B1: the k nearest corpus vectors per query (``l2sq`` or ``cosine``).
 
-    Output ``query_id, rank, <id_col>, distance``; ties broken by id.
+    Output ``query_id, rank, <id_col>, distance``; ties broken by id. NULL
+    vectors, vectors of another length and those without a distance (a NULL or
+    NaN component; no length under cosine) are no candidates.
     """
-    spark = corpus.sparkSession
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector")) \
-        .where(F.col("vector").isNotNull())
-    key_type = q.schema["query_id"].dataType.simpleString()
-    ddl, pschema = _payload_spec(corpus, payload)
-    scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), *payload)
-    parts = []
-    for rows in _vector_batches(q):
-        keys = [r["query_id"] for r in rows]
-        mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
-        bc = spark.sparkContext.broadcast(mat)
-        local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric, payload_schema=pschema),
-                                kernels.OUT_DDL + ddl)
-        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
-        parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
-    if not parts:
-        return _empty_hits(spark, key_type, id_col, corpus, payload)
-    return _finish(spark, parts, k, id_col, payload)
-
-
-def _vector_batches(q: DataFrame):
-    """Query vectors collected in batches within the broadcast bounds. The
-    common case costs one job: ``limit(bound + 1)`` only tests the row bound;
-    above it (or above the byte bound) the queries are counted and split into
-    hash batches."""
-    probe = q.limit(MAX_QUERY_ROWS + 1).collect()
-    if len(probe) <= MAX_QUERY_ROWS:
-        n_bytes = sum(len(r["vector"] or ()) for r in probe) * 8
-        if n_bytes <= MAX_BROADCAST_BYTES:
-            if probe:
-                yield probe
-            return
-    n_rows = q.count()
-    dim = q.select(F.max(F.size("vector"))).first()[0] or 0
-    for batch in _batches(q, "query_id", n_rows, n_rows * dim * 8):
-        rows = batch.collect()  # bounded by MAX_QUERY_ROWS / MAX_BROADCAST_BYTES
-        if rows:
-            yield rows
-
-
-def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "text") -> DataFrame:
-    """(query_id, term, tf) for the query set."""
-    return (queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(text)).alias("term"))
-            .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
-MAX_POSTINGS = MAX_BROADCAST_BYTES // 48   # (term, query, count) ~48 bytes each
-
-
-def posting_batches(terms: DataFrame):
-    """Query postings ``(query_id, term, tf)`` collected in batches that each
-    respect the broadcast bound. The common case (the whole query set fits)
-    costs one job: ``limit(bound + 1)`` only tests the bound; above it the
-    queries are counted and split into hash batches."""
-    probe = terms.limit(MAX_POSTINGS + 1).collect()
-    if len(probe) <= MAX_POSTINGS and len({r["query_id"] for r in probe}) <= MAX_LEXICAL_QUERIES:
-        if probe:
-            yield probe
-        return
-    stats = terms.agg(F.countDistinct("query_id").alias("nq"), F.count(F.lit(1)).alias("np")).first()
-    for batch in _batches(terms, "query_id", stats["nq"], stats["np"] * 48, MAX_LEXICAL_QUERIES):
-        rows = batch.collect()  # postings of one bounded query batch
-        if rows:
-            yield rows
-
-
-def lexical_scan(corpus: DataFrame, id_col: str, text_col: str, payload=()) -> DataFrame:
-    return corpus.select(F.col(id_col).cast("long").alias("id"), tokens(text_col).alias("tokens"), *payload)
-
-
-def lexical_part(rows, scan: DataFrame, k: int, key_type: str, payload=()) -> DataFrame:
-    """Local top-k of every corpus partition for one batch of query postings,
-    keyed back to ``query_id`` (before the final per-query window)."""
-    spark = scan.sparkSession
-    ddl, pschema = _payload_spec(scan, payload)
-    keys = sorted({r["query_id"] for r in rows})
-    qpos = {key: i for i, key in enumerate(keys)}
-    vocab = sorted({r["term"] for r in rows})
-    vpos = {t: i for i, t in enumerate(vocab)}
-    post = sorted((vpos[r["term"]], qpos[r["query_id"]], r["tf"]) for r in rows)
-    ptr = np.zeros(len(vocab) + 1, dtype=np.int64)
-    np.add.at(ptr, np.asarray([p[0] for p in post], dtype=np.int64) + 1, 1)
-    ptr = np.cumsum(ptr)
-    post_q = np.asarray([p[1] for p in post], dtype=np.int32)
-    post_tf = np.asarray([p[2] for p in post], dtype=np.int64)
-    qnorm = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(qnorm, post_q, post_tf * post_tf)
-    bc = spark.sparkContext.broadcast((pa.array(vocab, pa.string()), ptr, post_q, post_tf, qnorm))
-    local = scan.mapInArrow(kernels.lexical_kernel(bc, k, payload_schema=pschema), kernels.OUT_DDL + ddl)
-    key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
-    return local.join(F.broadcast(key_df), "q_idx").drop("q_idx")
-
-
-def finish_hits(parts: list[DataFrame], k: int, id_col: str, payload=(), spark=None,
-                key_type: str = "long", corpus: DataFrame | None = None) -> DataFrame:
-    """Global top-k per query from the partition-local candidates."""
-    if not parts:
-        return _empty_hits(spark, key_type, id_col, corpus, payload)
-    return _finish(spark, parts, k, id_col, payload)
+    return search(_dense_queries(queries, query_key, query_vec), _rows(corpus, id_col, F.col(vec_col), payload=payload),
+                  partial(kernels.DenseQueries, metric=metric), k, payload)
+
+
+def query_terms(queries: DataFrame, query_key: str = "query_id", text: str = "text", tag: str | None = None) -> DataFrame:
+    """``query_id, terms, tfs`` (and ``tag``) of the query set; queries without a term drop out."""
+    q = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(text)).alias("term"),
+                       (F.col(tag) if tag else F.lit(None).cast("string")).alias("tag"))
+    counted = q.groupBy("query_id", "tag", "term").agg(F.count(F.lit(1)).alias("tf"))
+    per = counted.groupBy("query_id", "tag").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("t"))
+    out = per.select("query_id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"),
+                     F.regexp_replace("tag", "^#", "").alias("tag"))
+    return out if tag else out.drop("tag")
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
                  query_key: str = "query_id", query_text: str = "text",
-                 id_col: str = "doc_id", text_col: str = "text", payload=()) -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", payload=(), query_tag: str | None = None,
+                 tags_col: str = "tags_joined", distinct: bool = False) -> DataFrame:
     """B2: the k corpus texts closest to each query text by term-count cosine.
 
     distance = 1 - dot / sqrt(|q|^2 |c|^2) over whole texts, with integer
     counts; candidates share at least one term with the query.
     Output ``query_id, rank, <id_col>, distance`` (+ payload columns).
+
+    With ``query_tag`` (B3 for texts) a query with a tag, a leading ``#`` aside,
+    finds only rows whose joined tags contain it; one with NULL finds all.
+    With ``distinct`` rows of one id, which must then be equal, count once.
     """
-    spark = corpus.sparkSession
-    terms = query_terms(queries, query_key, query_text)
-    key_type = terms.schema["query_id"].dataType.simpleString()
-    scan = lexical_scan(corpus, id_col, text_col, payload)
-    parts = [lexical_part(rows, scan, k, key_type, payload) for rows in posting_batches(terms)]
-    return finish_hits(parts, k, id_col, payload, spark, key_type, corpus)
+    scored = [tokens(text_col)] + ([F.col(tags_col)] if query_tag else [])
+    return search(query_terms(queries, query_key, query_text, query_tag), _rows(corpus, id_col, *scored, payload=payload),
+                  partial(kernels.LexicalQueries, tagged=bool(query_tag)), k, payload, distinct)
 
 
 def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",
@@ -211,38 +140,21 @@ def filtered_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str
                   query_vec: str = "vector", id_col: str = "vec_id",
                   vec_col: str = "embedding", payload=()) -> DataFrame:
     """Per query, the k nearest corpus vectors among those whose
-    ``filter_key`` equals the query's ``filter_key`` (filter, then top-k).
-
-    Same plan as ``dense_topk``: the size-checked query set (with filter
-    values) is broadcast, each corpus partition scores a row only against
-    the queries asking for its value and keeps its local top k; no
-    query x row pairs are formed or shuffled, however many queries share a
-    value or however many rows a value holds.
+    ``filter_key`` equals the query's ``filter_key`` (filter, then top-k; NULL
+    equals nothing). A row is scored only against the queries that ask for its
+    value, however many queries share a value or rows have it.
     """
-    spark = corpus.sparkSession
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("vector"),
-                       F.col(filter_key).alias("_fk")).where(F.col("vector").isNotNull())
-    key_type = q.schema["query_id"].dataType.simpleString()
-    ddl, pschema = _payload_spec(corpus, payload)
-    scan = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
-                         F.col(filter_key).alias("_fk"), *payload)
-    parts = []
-    for rows in _vector_batches(q):
-        keys = [r["query_id"] for r in rows]
-        mat = np.asarray([list(r["vector"]) for r in rows], dtype=np.float64)
-        groups: dict = {}
-        for i, r in enumerate(rows):
-            if r["_fk"] is not None:
-                groups.setdefault(r["_fk"], []).append(i)
-        groups = {v: np.asarray(ix, dtype=np.int64) for v, ix in groups.items()}
-        bc = spark.sparkContext.broadcast((mat, groups))
-        local = scan.mapInArrow(kernels.dense_kernel(bc, k, metric, payload_schema=pschema, filtered=True),
-                                kernels.OUT_DDL + ddl)
-        key_df = spark.createDataFrame(list(enumerate(keys)), f"q_idx int, query_id {key_type}")
-        parts.append(local.join(F.broadcast(key_df), "q_idx").drop("q_idx"))
-    if not parts:
-        return _empty_hits(spark, key_type, id_col, corpus, payload)
-    return _finish(spark, parts, k, id_col, payload)
+    return search(_dense_queries(queries, query_key, query_vec, F.col(filter_key).alias("_fk")),
+                  _rows(corpus, id_col, F.col(vec_col), F.col(filter_key), payload=payload),
+                  partial(kernels.DenseQueries, metric=metric, filtered=True), k, payload)
+
+
+def with_fallback(queries: DataFrame, query_key: str, first: DataFrame, again) -> DataFrame:
+    """``first``'s hits, and ``again(queries)`` for the queries it has none for; adds ``used_fallback``."""
+    first = cut_lineage(first)       # queries x k rows at most, read twice below
+    missing = queries.join(first.select(F.col("query_id").alias(query_key)).distinct(), query_key, "left_anti")
+    return first.withColumn("used_fallback", F.lit(False)) \
+        .unionByName(again(missing).withColumn("used_fallback", F.lit(True)))
 
 
 def topk_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "l2sq",
@@ -250,17 +162,21 @@ def topk_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, metric
     """Filtered top-k; queries it finds nothing for are searched again
     without the filter. The filter only applies when ``k <= 3``.
     Output adds ``used_fallback``."""
-    query_key = kw.get("query_key", "query_id")
     if k > 3:
-        hits = dense_topk(queries, corpus, k, metric, **kw)
-        return hits.withColumn("used_fallback", F.lit(False))
-    # queries x k rows at most, read twice below: cut once into the shared folder
-    first = cut_lineage(filtered_topk(queries, corpus, k, metric, filter_key, **kw))
-    missing = queries.join(first.select(F.col("query_id").alias(query_key)).distinct(),
-                           query_key, "left_anti")
-    retry = dense_topk(missing, corpus, k, metric, **kw)
-    return (first.withColumn("used_fallback", F.lit(False))
-            .unionByName(retry.withColumn("used_fallback", F.lit(True))))
+        return dense_topk(queries, corpus, k, metric, **kw).withColumn("used_fallback", F.lit(False))
+    return with_fallback(queries, kw.get("query_key", "query_id"), filtered_topk(queries, corpus, k, metric, filter_key, **kw),
+                         lambda missing: dense_topk(missing, corpus, k, metric, **kw))
+
+
+def search_with_fallback(queries: DataFrame, corpus: DataFrame, k: int = 3, query_tag: str = "tag",
+                         query_key: str = "query_id", **kw) -> DataFrame:
+    """B4 for texts: lexical top-k under each query's tag; queries that find
+    nothing under it are searched again without. The tags only apply when
+    ``k <= 3``. Output adds ``used_fallback``."""
+    if k > 3:
+        return lexical_topk(queries, corpus, k, query_key, **kw).withColumn("used_fallback", F.lit(False))
+    return with_fallback(queries, query_key, lexical_topk(queries, corpus, k, query_key, query_tag=query_tag, **kw),
+                         lambda missing: lexical_topk(missing, corpus, k, query_key, **kw))
 
 
 def score_intervals(hits: DataFrame, distance: str = "distance", level: float = 0.95) -> DataFrame:
@@ -270,8 +186,7 @@ def score_intervals(hits: DataFrame, distance: str = "distance", level: float =
 
 
 def confidence_text(interval: Column) -> Column:
-    return F.concat(interval["lower_bound"].cast("string"), F.lit("% - "),
-                    interval["upper_bound"].cast("string"), F.lit("% (95% Conformal)"))
+    return fill(fixed.CONFIDENCE_TEXT, lower=interval["lower_bound"].cast("string"), upper=interval["upper_bound"].cast("string"))
 
 
 def context_block(source: Column, interval: Column, doc: Column, level: float = 0.95,
@@ -281,13 +196,8 @@ def context_block(source: Column, interval: Column, doc: Column, level: float =
     auditing the text twice."""
     verdict = audit_struct(doc) if verdict is None else verdict
     tag = F.when(verdict["compliant"], F.lit(fixed.COMPLIANT_TAG)).otherwise(verdict["warning"])
-    return F.concat(
-        F.lit("--- Context (Source: "), source,
-        F.lit(f" | Split-Conformal Interval [{int(level * 100)}%]: "),
-        interval["lower_bound"].cast("string"), F.lit("% - "),
-        interval["upper_bound"].cast("string"), F.lit("%) | "), tag, F.lit(" ---\n"),
-        doc, F.lit("\n"),
-    )
+    return fill(fixed.CONTEXT_BLOCK, source=source, level=F.lit(str(int(level * 100))),
+                lower=interval["lower_bound"].cast("string"), upper=interval["upper_bound"].cast("string"), tag=tag, doc=doc)
 
 
 def ordered_join(items: Column, sep: str) -> Column:
@@ -301,15 +211,15 @@ def assemble_context(queries: DataFrame, hits: DataFrame, docs: DataFrame | None
     """Per query, its hit blocks joined by newlines in rank order; empty
     string when the query has no hits. Each group holds at most k blocks.
 
-    ``docs`` is joined for the source and text; pass ``None`` when the hits
-    already carry them (top-k with ``payload=[source, text]``), which avoids
-    reading the corpus a second time."""
-    scored = score_intervals(hits)
+    ``docs`` is joined for the source and text of the hits, whose table is
+    written first: its size is known then, and where it is small the texts are
+    fetched by a broadcast of the hits. Pass ``None`` when the hits already
+    carry them (top-k with ``payload=[source, text]``)."""
     if docs is not None:
-        scored = scored.join(docs.select(F.col(id_col), F.col(source_col).alias("_src"),
-                                         F.col(text_col).alias("_doc")), id_col)
+        hits = cut_lineage(hits).join(docs.select(F.col(id_col), F.col(source_col).alias("_src"), F.col(text_col).alias("_doc")), id_col)
     else:
-        scored = scored.withColumnRenamed(source_col, "_src").withColumnRenamed(text_col, "_doc")
+        hits = hits.withColumnRenamed(source_col, "_src").withColumnRenamed(text_col, "_doc")
+    scored = score_intervals(hits)
     blocks = (scored.withColumn("_verdict", audit_struct("_doc"))
               .select("query_id", F.struct(F.col("rank"), context_block(
                   F.col("_src"), F.col("interval"), F.col("_doc"),
@@ -329,11 +239,8 @@ def render_chat(queries: DataFrame, contexts: DataFrame, query_key: str = "query
     ctx = F.coalesce(F.col("context"), F.lit(""))
     none = (ctx == "") | ctx.startswith(fixed.VAULT_ERROR_PREFIX)
     q = F.col("question")
-    none_text = F.concat(F.lit(fixed.CHAT_HEADER), F.lit(fixed.CHAT_NONE.split("{query}")[0]), q,
-                         F.lit(fixed.CHAT_NONE.split("{query}")[1]))
-    a, rest = fixed.CHAT_FOUND.split("{query}")
-    b, c = rest.split("{context}")
-    found_text = F.concat(F.lit(fixed.CHAT_HEADER), F.lit(a), q, F.lit(b), ctx, F.lit(c))
+    none_text = F.concat(F.lit(fixed.CHAT_HEADER), fill(fixed.CHAT_NONE, query=q))
+    found_text = F.concat(F.lit(fixed.CHAT_HEADER), fill(fixed.CHAT_FOUND, query=q, context=ctx))
     # staged: the answer text and its verdict are each computed once
     staged = (j.withColumn("resp", F.when(none, none_text).otherwise(found_text))
               .withColumn("verdict", audit_struct("resp")))
@@ -342,6 +249,15 @@ def render_chat(queries: DataFrame, contexts: DataFrame, query_key: str = "query
         F.concat(F.col("resp"), F.lit("\n\n"), F.col("verdict.warning"))).alias("response"))
 
 
+def short_prompts(queries: DataFrame, contexts: DataFrame, query_key: str = "query_id",
+                  query_text: str = "text") -> DataFrame:
+    """B8 (short form): the question behind its context blocks, or the question
+    alone where nothing was found: ``query_id, prompt``."""
+    j = queries.select(F.col(query_key).alias("query_id"), F.col(query_text).alias("question")).join(contexts, "query_id", "left")
+    ctx, q = F.coalesce(F.col("context"), F.lit("")), F.coalesce(F.col("question"), F.lit(""))
+    return j.select("query_id", F.when(ctx == "", q).otherwise(fill(fixed.SHORT_PROMPT, context=ctx, question=q)).alias("prompt"))
+
+
 def rounded(c: str, digits: int = 6) -> Column:
     """Distances reported to fixed decimals (same rule in the oracle SQL)."""
     return half_up(F.col(c), digits).alias(c)
@@ -359,53 +275,68 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec_col: str = "em
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("vector"))
 
 
-def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
-                cell_width: float = 4.0, num_hash_tables: int = 4, seed: int = 7,
+def _sample(rows: DataFrame, vec: str, n: int, seed: int) -> list:
+    """At most ``n`` usable vectors, the first in the order of a hash."""
+    usable = F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
+                                               & (F.abs(x.cast("double")) < float("inf")))
+    return [r[0] for r in rows.where(usable).select(F.col(vec).cast("array<double>").alias("v"), F.xxhash64(F.lit(seed), vec).alias("h"))
+            .orderBy("h").limit(n).collect()]
+
+
+def train_cells(corpus: DataFrame, queries: DataFrame, k: int, vec_col: str, query_vec: str, cells: int = CELLS,
+                probes: int | None = None, seed: int = 7) -> dict | None:
+    """Centroids of at most ``cells`` cells by k-means on ``SAMPLE`` vectors at
+    most, the mean square of their members' residuals, and how many cells a query
+    is to probe: the fewest that hold ``RECALL`` of the k nearest sampled vectors
+    of ``SAMPLE_QUERIES`` queries at most. None without a usable vector."""
+    rows = _sample(corpus, vec_col, SAMPLE, seed)
+    if not rows:
+        return None
+    lens = [len(r) for r in rows]
+    dim = max(sorted(set(lens)), key=lens.count)
+    x = np.array([r for r in rows if len(r) == dim], np.float64)
+    start = np.unique(x, axis=0)
+    centroids = start[np.random.default_rng(seed).permutation(len(start))[:max(1, min(cells, len(start) // 8))]]
+    for _ in range(ROUNDS):
+        mine = kernels.nearest(x, centroids)
+        n = np.bincount(mine, minlength=len(centroids))
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, mine, x)
+        centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
+    mine = kernels.nearest(x, centroids)
+    n = np.bincount(mine, minlength=len(centroids))
+    spread = np.bincount(mine, weights=((x - centroids[mine]) ** 2).sum(axis=1), minlength=len(centroids)) / np.maximum(n, 1)
+    q = [v for v in _sample(queries, query_vec, SAMPLE_QUERIES, seed) if len(v) == dim] if probes is None else []
+    if q:
+        q = np.array(q, np.float64)
+        order = kernels.cell_order(q, centroids, spread)
+        near = np.argsort(kernels._square(q, x), axis=1)[:, :k]
+        place = np.sort(np.argsort(order, axis=1)[np.arange(len(q))[:, None], mine[near]].ravel())
+        probes = int(place[min(len(place) - 1, int(np.ceil(RECALL * len(place))) - 1)]) + 1
+    return {"centroids": centroids, "spread": spread, "probes": probes or len(centroids)}
+
+
+def approx_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, cells: int = CELLS, probes: int | None = None, seed: int = 7,
                 metric: str = "l2sq", query_key: str = "query_id", query_vec: str = "vector",
                 id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Approximate nearest neighbours, IVF style over random-projection cells.
-
-    Spark ML's ``BucketedRandomProjectionLSH`` assigns every vector one cell
-    per hash table. Each query is searched only among the corpus vectors
-    sharing one of its cells: the filtered kernel scores a row only against
-    the queries probing its cell and keeps local top k, the per-cell results
-    are merged per query (a vector found in several cells counted once).
-    No query x vector pairs are formed, and a crowded cell costs one kernel
-    block per query group, not a pair per member. Cells are ``cell_width``
-    times the corpus's root mean square coordinate wide, so that ranks do not
-    depend on the scale of the vectors. A query whose cells hold fewer than k
-    vectors is searched exactly. Recall is checked against ``dense_topk``.
+    """Approximate nearest neighbours by trained cells.
+
+    k-means on a bounded sample gives the cells; every corpus vector belongs to
+    the cell of its nearest centroid (one copy of each vector, assigned where it
+    is scored). A query probes cells in the order of their members' mean distance,
+    as many as the sample shows to be needed (``train_cells``) or as stated. A
+    query that finds fewer than k rows so is searched exactly, so NULL and short
+    vectors and an empty corpus give what ``dense_topk`` gives. Recall is checked
+    against ``dense_topk``.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    square = F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    mean = corpus.where(~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x))) \
-        .agg((F.sum(square) / F.sum(F.size(vec_col))).alias("m")).first()["m"]
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=cell_width * math.sqrt(mean or 1.0),
-                                      numHashTables=num_hash_tables, seed=seed)
-    c = corpus.select(F.col(id_col), F.col(vec_col), array_to_vector(F.col(vec_col)).alias("_v"))
-    model = lsh.fit(c)
-
-    def cells(df: DataFrame, keep: list[str]) -> DataFrame:
-        h = model.transform(df).select(*keep, F.posexplode("_h").alias("_t", "_hv"))
-        return h.select(*keep, F.concat(F.col("_t").cast("string"), F.lit(":"),
-                                        vector_to_array("_hv")[0].cast("long").cast("string")).alias("_cell"))
-
-    c_cells = cells(c, [id_col, vec_col])
-    q = queries.select(F.col(query_key).alias("_qid"), F.col(query_vec).alias("_qvec"),
-                       array_to_vector(F.col(query_vec)).alias("_v"))
-    q_cells = cells(q, ["_qid", "_qvec"]).withColumn(
-        "_qc", F.concat(F.col("_qid").cast("string"), F.lit("|"), F.col("_cell")))
-    per_cell = filtered_topk(q_cells, c_cells, k, metric, filter_key="_cell", query_key="_qc",
-                             query_vec="_qvec", id_col=id_col, vec_col=vec_col)
-    merged = (per_cell.join(q_cells.select("_qc", "_qid"), F.col("query_id") == F.col("_qc"))
-              .groupBy(F.col("_qid").alias("query_id"), F.col(id_col))
-              .agg(F.min("distance").alias("distance")))
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    probed = cut_lineage(merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                         .select("query_id", "rank", id_col, "distance"))
-    full = probed.where(F.col("rank") == k).select(F.col("query_id").alias(query_key))
-    short = queries.join(full, query_key, "left_anti")
-    exact = dense_topk(short, corpus, k, metric, query_key, query_vec, id_col, vec_col)
-    return probed.join(full.withColumnRenamed(query_key, "query_id"), "query_id", "left_semi").unionByName(exact)
+    trained = train_cells(corpus, queries, k, vec_col, query_vec, cells, probes, seed)
+    exact = partial(dense_topk, corpus=corpus, k=k, metric=metric, query_key=query_key, query_vec=query_vec,
+                    id_col=id_col, vec_col=vec_col)
+    if trained is None:
+        return exact(queries)
+    asked = _dense_queries(queries, query_key, query_vec)
+    probed = cut_lineage(search(asked, _rows(corpus, id_col, F.col(vec_col)),
+                                partial(kernels.DenseQueries, metric=metric, **trained), k))
+    full = probed.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full.withColumnRenamed("query_id", query_key), query_key, "left_anti")
+    return probed.join(full, "query_id", "left_semi").unionByName(exact(short))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import audit, capacity, ingest, redact, report, retrieve, route, triage
+from quire.session import cut_lineage
 from quire.sources import derived as D
 from quire.sources import files
 from quire.sources.tables import read_table
@@ -269,8 +270,8 @@ def q_score_intervals(spark, sf_dir):
 def bench_contexts(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark")
     docs = read_table(spark, sf_dir, "documents")
-    hits = retrieve.lexical_topk(bench, docs, k=3, query_key="item_id", payload=["source", "text"])
-    return retrieve.assemble_context(bench, hits, None, query_key="item_id")
+    hits = retrieve.lexical_topk(bench, docs, k=3, query_key="item_id")
+    return retrieve.assemble_context(bench, hits, docs, query_key="item_id")
 
 
 @register("assemble_context")
@@ -286,7 +287,42 @@ def q_render_chat(spark, sf_dir):
     return r.select("query_id", F.length("response").cast("long").alias("n_chars"), F.sha2("response", 256).alias("sha256"))
 
 
+@register("chat_prompts")
+def q_chat_prompts(spark, sf_dir):
+    bench = read_table(spark, sf_dir, "benchmark")
+    r = retrieve.short_prompts(bench, bench_contexts(spark, sf_dir), query_key="item_id")
+    return r.select("query_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
+
+
+# ---- the chunk collection searched by its own string key
+def tagged_queries(spark, sf_dir):
+    return read_table(spark, sf_dir, "benchmark").withColumn("tag", F.expr(D.QUERY_TAG))
+
+
+@register("chunk_search")
+def q_chunk_search(spark, sf_dir):
+    return retrieve.lexical_topk(read_table(spark, sf_dir, "benchmark"), corpus_chunks(spark, sf_dir), 3, "item_id",
+                                 id_col="chunk_id", distinct=True)
+
+
+@register("filtered_search")
+def q_filtered_search(spark, sf_dir):
+    return retrieve.lexical_topk(tagged_queries(spark, sf_dir), corpus_chunks(spark, sf_dir), 3, "item_id",
+                                 id_col="chunk_id", query_tag="tag", distinct=True)
+
+
+@register("search_with_fallback")
+def q_search_with_fallback(spark, sf_dir):
+    return retrieve.search_with_fallback(tagged_queries(spark, sf_dir), corpus_chunks(spark, sf_dir), 3, "tag", "item_id",
+                                         id_col="chunk_id", distinct=True)
+
+
 # ---------------------------------------------------------------- triage
+def stored_chunks(spark, sf_dir):
+    """The chunks as a written collection, which the searches read several times."""
+    return cut_lineage(corpus_chunks(spark, sf_dir).select("chunk_id", "text", "tags_joined"))
+
+
 def logs_with_signatures(spark, sf_dir):
     return triage.error_signatures(D.error_logs(spark, sf_dir))
 
@@ -303,18 +339,18 @@ def q_error_triage(spark, sf_dir):
 
 @register("diagnose_errors")
 def q_diagnose_errors(spark, sf_dir):
-    return triage.diagnose_errors(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+    return triage.diagnose_errors(D.error_logs(spark, sf_dir), stored_chunks(spark, sf_dir))
 
 
 @register("build_prompts")
 def q_build_prompts(spark, sf_dir):
-    p = triage.build_prompts(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+    p = triage.build_prompts(D.error_logs(spark, sf_dir), stored_chunks(spark, sf_dir))
     return p.select("log_id", F.length("prompt").cast("long").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
 
 
 @register("render_summaries")
 def q_render_summaries(spark, sf_dir):
-    s = triage.render_summaries(D.error_logs(spark, sf_dir), corpus_chunks(spark, sf_dir))
+    s = triage.render_summaries(D.error_logs(spark, sf_dir), stored_chunks(spark, sf_dir))
     return s.select("log_id", F.length("summary").cast("long").alias("n_chars"), F.sha2("summary", 256).alias("sha256"))
 
 
@@ -388,5 +424,12 @@ def q_error_stream(spark, sf_dir):
 
 @register("approx_topk")
 def q_approx_topk(spark, sf_dir):
+    """Per query the hits and whether 95 % of all exact hits were found."""
     emb = read_table(spark, sf_dir, "embeddings")
-    return out_hits(retrieve.approx_topk(centroid_queries(spark, sf_dir), emb, k=5), "vec_id")
+    queries = cut_lineage(centroid_queries(spark, sf_dir))
+    exact = retrieve.dense_topk(queries, emb, k=5).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    found = retrieve.approx_topk(queries, emb, k=5).join(exact, ["query_id", "vec_id"], "left")
+    per = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.count("hit").alias("n_right"))
+    # over all queries; partial sums, one row to the window's task for each query
+    share = F.sum("n_right").over(Window.partitionBy()) / F.sum("n_hits").over(Window.partitionBy())
+    return per.select("query_id", "n_hits", (share >= 0.95).alias("recall_reached"))

@@ -12,6 +12,8 @@ split and tag patterns are lookaround-free twins:
 
 from __future__ import annotations
 
+import re
+
 from quire.functions import fixed
 from quire.sources.derived import derived_sql
 
@@ -42,6 +44,17 @@ def py_round(x: str, digits: int) -> str:
     return f"(list_transform([CAST(({x}) AS DOUBLE)], lambda v: {body}))[1]"
 
 
+def _lit(text: str) -> str:
+    """A Python string as a DuckDB expression (newlines as chr(10))."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _fill(template: str, **values: str) -> str:
+    """A template with its names replaced by SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[x] if i % 2 else _lit(x) for i, x in enumerate(parts) if i % 2 or x)
+
+
 def half_up(x: str, digits: int) -> str:
     scale = float(10 ** digits)
     return f"(CAST(floor(({x}) * {scale} + 0.5) AS DOUBLE) / {scale})"
@@ -449,10 +462,9 @@ CONTEXT_CTE = "WITH " + LEX_BENCH + f""",
 iv AS (SELECT query_id, rank, cid, {interval_sql('distance')} FROM hits),
 blk AS (
   SELECT iv.query_id, iv.rank,
-    '--- Context (Source: ' || d.source || ' | Split-Conformal Interval [95%]: ' ||
-    CAST(iv.lower_bound AS VARCHAR) || '% - ' || CAST(iv.upper_bound AS VARCHAR) || '%) | ' ||
-    CASE WHEN a.compliant THEN '[Section 12.5 Verified: Compliant]' ELSE a.warning END ||
-    ' ---' || chr(10) || d.text || chr(10) AS block
+    {_fill(fixed.CONTEXT_BLOCK, source='d.source', level="'95'", lower='CAST(iv.lower_bound AS VARCHAR)',
+           upper='CAST(iv.upper_bound AS VARCHAR)', doc='d.text',
+           tag="CASE WHEN a.compliant THEN '[Section 12.5 Verified: Compliant]' ELSE a.warning END")} AS block
   FROM iv JOIN documents d ON iv.cid = d.doc_id,
   LATERAL (SELECT {audit_sql('d.text')}) a
 ),
@@ -465,17 +477,43 @@ ctx AS (
 ORACLE["assemble_context"] = CONTEXT_CTE + """
 SELECT query_id, length(context) AS n_chars, sha256(context) AS sha256 FROM ctx"""
 
-_H = fixed.CHAT_HEADER.replace("'", "''").replace("\n", "' || chr(10) || '")
-_N0, _N1 = [x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in fixed.CHAT_NONE.split("{query}")]
-_F0, _rest = fixed.CHAT_FOUND.split("{query}")
-_F1, _F2 = _rest.split("{context}")
-_F0, _F1, _F2 = [x.replace("'", "''").replace("\n", "' || chr(10) || '") for x in (_F0, _F1, _F2)]
+ORACLE["chat_prompts"] = CONTEXT_CTE + f""",
+pr AS (
+  SELECT c.query_id, CASE WHEN c.context = '' THEN b.text
+         ELSE {_fill(fixed.SHORT_PROMPT, context='c.context', question='b.text')} END AS prompt
+  FROM ctx c JOIN benchmark b ON c.query_id = b.item_id
+)
+SELECT query_id, length(prompt) AS n_chars, sha256(prompt) AS sha256 FROM pr"""
+
+_COLLECTION = """
+col AS (SELECT chunk_id, any_value(text) AS text, any_value(tags_joined) AS tags_joined FROM chunks GROUP BY chunk_id)"""
+# per tag a search of its own, as the filter comes before the top-k
+_TAGGED = ", ".join(
+    lexical_cte(f"SELECT * FROM benchmark WHERE item_id % 4 = {r}", "item_id", "text", f"SELECT * FROM col{where}",
+                "chunk_id", "text", 3, f"t{r}_").strip()
+    for r, where in enumerate((" WHERE contains(tags_joined, 'incode')", " WHERE contains(tags_joined, 'troubleshooting')",
+                               " WHERE contains(tags_joined, 'absent')", "")))
+_ANY = lexical_cte("SELECT * FROM benchmark", "item_id", "text", "SELECT * FROM col", "chunk_id", "text", 3, "a_")
+ORACLE["chunk_search"] = "WITH " + CHUNKS_CTE + "," + _COLLECTION + "," + _ANY + """
+SELECT query_id, rank, cid AS chunk_id, distance FROM a_hits"""
+ORACLE["filtered_search"] = "WITH " + CHUNKS_CTE + "," + _COLLECTION + ", " + _TAGGED + """
+""" + " UNION ALL ".join(f"SELECT query_id, rank, cid AS chunk_id, distance FROM t{r}_hits" for r in range(4))
+ORACLE["search_with_fallback"] = "WITH " + CHUNKS_CTE + "," + _COLLECTION + ", " + _TAGGED + "," + _ANY + """,
+by_tag AS (""" + " UNION ALL ".join(f"SELECT * FROM t{r}_hits" for r in range(4)) + """)
+SELECT query_id, rank, cid AS chunk_id, distance, false AS used_fallback FROM by_tag
+UNION ALL
+SELECT query_id, rank, cid AS chunk_id, distance, true AS used_fallback FROM a_hits
+WHERE query_id NOT IN (SELECT query_id FROM by_tag)"""
+
+ORACLE["approx_topk"] = """
+SELECT label AS query_id, 5::BIGINT AS n_hits, true AS recall_reached FROM embeddings GROUP BY label"""
+
 ORACLE["render_chat"] = CONTEXT_CTE + f""",
 resp AS (
   SELECT c.query_id,
     CASE WHEN c.context = '' OR starts_with(c.context, '[VAULT ERROR')
-         THEN '{_H}' || '{_N0}' || b.text || '{_N1}'
-         ELSE '{_H}' || '{_F0}' || b.text || '{_F1}' || c.context || '{_F2}' END AS r
+         THEN {_lit(fixed.CHAT_HEADER)} || {_fill(fixed.CHAT_NONE, query='b.text')}
+         ELSE {_lit(fixed.CHAT_HEADER)} || {_fill(fixed.CHAT_FOUND, query='b.text', context='c.context')} END AS r
   FROM ctx c JOIN benchmark b ON c.query_id = b.item_id
 ),
 final AS (
@@ -513,14 +551,21 @@ sig AS (SELECT *, {signature_sql('traceback')} AS signature FROM logs)"""
 ORACLE["error_signatures"] = "WITH " + SIG_CTE + "\nSELECT log_id, signature FROM sig"
 
 ORACLE["error_triage"] = "WITH " + SIG_CTE + """
-SELECT signature, count(*) AS n_logs, count(DISTINCT user_id) AS n_users,
-       min(ts) AS first_seen, max(ts) AS last_seen
-FROM sig GROUP BY signature"""
+SELECT signature, n_logs, n_users, first_seen, last_seen, top_module
+FROM (SELECT signature, count(*) AS n_logs, count(DISTINCT user_id) AS n_users,
+             min(ts) AS first_seen, max(ts) AS last_seen FROM sig GROUP BY signature)
+LEFT JOIN (
+  SELECT signature, module AS top_module, row_number() OVER (PARTITION BY signature ORDER BY n DESC, module) AS place
+  FROM (SELECT signature, module, count(*) AS n FROM (
+    SELECT signature, unnest(list_distinct(list_transform(regexp_extract_all(traceback, 'File\\s+"([^"]+)"', 1),
+                                                          lambda x: """ + stem_sql("x") + """))) AS module FROM sig)
+    GROUP BY signature, module)
+) USING (signature) WHERE coalesce(place, 1) = 1"""
 
-_CKEY = "CAST(regexp_extract(file, '[0-9]+', 0) AS BIGINT) * 1000000 + pos"
 TRIAGE_CTE = "WITH " + CHUNKS_CTE + "," + SIG_CTE + f""",
 usig AS (SELECT DISTINCT signature FROM sig WHERE signature <> ''),
-ck AS (SELECT {_CKEY} AS ckey, file, text, tags_joined FROM chunks),
+ck AS (SELECT chunk_id AS ckey, any_value(file) AS file, any_value(text) AS text, any_value(tags_joined) AS tags_joined
+       FROM chunks GROUP BY chunk_id),
 """ + lexical_cte("SELECT * FROM usig", "signature", "signature",
                   "SELECT * FROM ck WHERE contains(tags_joined, 'troubleshooting')", "ckey", "text", 3, "f_") + """,
 miss AS (SELECT signature FROM usig WHERE signature NOT IN (SELECT query_id FROM f_hits)),
@@ -552,41 +597,32 @@ SELECT s.log_id, s.signature, coalesce(p.n_hits, 0) AS n_hits,
 FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature"""
 
 
-def _lit(text: str) -> str:
-    """A Python string as a DuckDB expression (newlines as chr(10))."""
-    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-
-_TBH, _TBT = fixed.PROMPT_TRACEBACK.split("{traceback}")
-_QH, _QT = fixed.PROMPT_QUESTION.split("{question}")
 ORACLE["build_prompts"] = TRIAGE_CTE + f""",
 per_sig AS (
-  SELECT signature, string_agg('### Source ' || CAST(rank AS VARCHAR) || ': ' || source || ' (Confidence: ' ||
-         confidence || ')' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS sources
+  SELECT signature, string_agg({_fill(fixed.PROMPT_SOURCE, rank='CAST(rank AS VARCHAR)', source='source',
+                                     confidence='confidence', content='content')}, chr(10) ORDER BY rank) AS sources
   FROM det2 GROUP BY signature
 ),
 pr AS (
   SELECT s.log_id, concat_ws(chr(10), {_lit(fixed.PROMPT_RULES)},
     CASE WHEN p.sources IS NOT NULL THEN {_lit(fixed.PROMPT_CONTEXT_HEAD)} || chr(10) || p.sources
          ELSE {_lit(fixed.PROMPT_NO_CONTEXT)} END,
-    {_lit(_TBH)} || coalesce(s.traceback, 'None') || {_lit(_TBT)},
-    CASE WHEN s.question IS NOT NULL AND s.question <> '' THEN {_lit(_QH)} || s.question || {_lit(_QT)} END,
+    {_fill(fixed.PROMPT_TRACEBACK, traceback="coalesce(s.traceback, 'None')")},
+    CASE WHEN s.question IS NOT NULL AND s.question <> '' THEN {_fill(fixed.PROMPT_QUESTION, question='s.question')} END,
     {_lit(fixed.PROMPT_INSTRUCTIONS)}) AS prompt
   FROM sig s LEFT JOIN per_sig p ON s.signature = p.signature
 )
 SELECT log_id, length(prompt) AS n_chars, sha256(prompt) AS sha256 FROM pr"""
 
-_DH, _DT = fixed.SUMMARY_DETECTED.split("{signature}")
 ORACLE["render_summaries"] = TRIAGE_CTE + f""",
 per_sig AS (
-  SELECT signature, string_agg('**' || CAST(rank AS VARCHAR) || '. ' || source || '** (Confidence: ' ||
-         confidence || ')' || chr(10) || '> ' || substr(content, 1, 500) ||
-         CASE WHEN length(content) > 500 THEN '...' ELSE '' END || chr(10), chr(10) ORDER BY rank) AS items
+  SELECT signature, string_agg({_fill(fixed.SUMMARY_ITEM, rank='CAST(rank AS VARCHAR)', source='source', confidence='confidence',
+      excerpt="substr(content, 1, 500) || CASE WHEN length(content) > 500 THEN '...' ELSE '' END")}, chr(10) ORDER BY rank) AS items
   FROM det2 GROUP BY signature
 ),
 sm AS (
   SELECT s.log_id, concat_ws(chr(10), {_lit(fixed.SUMMARY_HEAD)}, {_lit(fixed.SUMMARY_NOTE)},
-    {_lit(_DH)} || s.signature || {_lit(_DT)},
+    {_fill(fixed.SUMMARY_DETECTED, signature='s.signature')},
     CASE WHEN p.items IS NOT NULL THEN {_lit(fixed.SUMMARY_DOCS_HEAD)} || chr(10) || p.items
          ELSE {_lit(fixed.SUMMARY_NONE)} END,
     {_lit(fixed.SUMMARY_FOOT)}) AS summary

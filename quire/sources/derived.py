@@ -18,6 +18,10 @@ from quire.sources.tables import read_table, spread
 
 NL = "chr(10)"
 
+# The tag under which a benchmark text is searched in the chunk collection: one
+# of a leading '#', one that some chunks have, one that none has, and none.
+QUERY_TAG = "CASE item_id % 4 WHEN 0 THEN '#incode' WHEN 1 THEN 'troubleshooting' WHEN 2 THEN 'absent' END"
+
 # name -> (table, filter or None, [select expressions])
 DERIVED: dict[str, tuple[str, str | None, list[str]]] = {
     # Markdown files: a title header with the language tag, a header with a

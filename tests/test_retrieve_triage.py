@@ -52,7 +52,8 @@ def test_dense_topk_query_batches_stay_exact(spark, monkeypatch):
     queries = [(j, [rnd.gauss(0, 1) for _ in range(8)]) for j in range(11)]
     qdf = spark.createDataFrame(queries, "query_id long, vector array<double>")
     whole = sorted(tuple(r) for r in retrieve.dense_topk(qdf, corpus, k=3).collect())
-    monkeypatch.setattr(retrieve, "MAX_QUERY_ROWS", 3)      # force several broadcast batches
+    monkeypatch.setattr(retrieve, "MAX_BLOCKS", 0)           # no broadcast: both sides dealt to cells
+    monkeypatch.setattr(retrieve, "BAND_BYTES", 500)
     batched = sorted(tuple(r) for r in retrieve.dense_topk(qdf, corpus, k=3).collect())
     assert whole == batched
 
@@ -114,7 +115,8 @@ def test_lexical_topk_batches_stay_exact(spark, monkeypatch):
     q = spark.createDataFrame([(j, " ".join(rnd.choice(words) for _ in range(3))) for j in range(9)],
                               "query_id long, text string")
     whole = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=4).collect())
-    monkeypatch.setattr(retrieve, "MAX_LEXICAL_QUERIES", 2)
+    monkeypatch.setattr(retrieve, "MAX_BLOCKS", 0)
+    monkeypatch.setattr(retrieve, "BAND_BYTES", 700)
     assert sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=4).collect()) == whole
 
 
@@ -141,10 +143,10 @@ def test_approx_topk_recall(spark):
     rows, corpus = vectors(spark, n=500, d=6, labels=4)
     cents = retrieve.label_centroids(corpus).withColumnRenamed("label", "query_id")
     exact = {(r.query_id, r.vec_id) for r in retrieve.dense_topk(cents, corpus, k=5).collect()}
-    approx = retrieve.approx_topk(cents, corpus, k=5, num_hash_tables=6).collect()
+    approx = retrieve.approx_topk(cents, corpus, k=5).collect()
     got = {(r.query_id, r.vec_id) for r in approx}
     assert len(got) == len(approx)                      # a vector counted once per query
-    assert len(exact & got) / len(exact) >= 0.8
+    assert len(exact & got) / len(exact) >= 0.9
 
 
 def test_context_and_chat_render(spark):
@@ -158,8 +160,8 @@ def test_context_and_chat_render(spark):
     assert len(blocks) == 3
     assert "[Section 12.5 Verified: Compliant]" in ctx[10] and fixed.WARNING_PREFIX in ctx[10]
     chat = {r.query_id: r.response for r in retrieve.render_chat(q, retrieve.assemble_context(q, hits, docs)).collect()}
-    assert "**No relevant documentation context found for your query.**" in chat[11]
-    assert chat[10].startswith(fixed.CHAT_HEADER) and "### Retrieved Documentation Context" in chat[10]
+    assert fixed.CHAT_NONE.split("{query}")[1] in chat[11]
+    assert chat[10].startswith(fixed.CHAT_HEADER) and "### Chunks found" in chat[10]
 
 
 SIG_CASES = [
@@ -194,11 +196,11 @@ def test_prompts_and_summaries(spark):
          (2, None, 2, "", None)],
         "log_id long, ts timestamp, user_id long, traceback string, question string")
     p = {r.log_id: r.prompt for r in triage.build_prompts(logs, chunks).collect()}
-    assert "## Retrieved Documentation Context\n\n### Source 1: doc_1.md (Confidence: " in p[1]
-    assert "## User Question\nHow?\n" in p[1] and "## Instructions" in p[1]
-    assert fixed.PROMPT_NO_CONTEXT in p[2] and "## User Question" not in p[2]
+    assert fixed.PROMPT_CONTEXT_HEAD + "\n### Source 1: doc_1.md (Confidence: " in p[1]
+    assert "## Question\nHow?\n" in p[1] and fixed.PROMPT_INSTRUCTIONS in p[1]
+    assert fixed.PROMPT_NO_CONTEXT in p[2] and "## Question" not in p[2]
     s = {r.log_id: r.summary for r in triage.render_summaries(logs, chunks).collect()}
-    assert "**Detected Error:** `app_x ValueError: bad value 3`" in s[1]
+    assert "**Signature:** `app_x ValueError: bad value 3`" in s[1]
     assert "**1. doc_1.md** (Confidence: " in s[1]
     assert fixed.SUMMARY_NONE in s[2]
     d = {r.log_id: r for r in triage.diagnose_errors(logs, chunks).collect()}
@@ -215,8 +217,9 @@ def test_lexical_kernel_slices_do_not_change_results(spark, monkeypatch):
     q = spark.createDataFrame([(j, " ".join(rnd.choice(words) for _ in range(4))) for j in range(7)],
                               "query_id long, text string")
     whole = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=5).collect())
-    block_pairs, payload_schema, _ = kernels.lexical_kernel.__defaults__
-    monkeypatch.setattr(kernels.lexical_kernel, "__defaults__", (7, payload_schema, 5))
+    monkeypatch.setattr(kernels, "BLOCK_PAIRS", 7)
+    monkeypatch.setattr(kernels, "BLOCK_TOKENS", 5)
+    monkeypatch.setattr(kernels, "PACK_ROWS", 3)
     sliced = sorted(tuple(r) for r in retrieve.lexical_topk(q, docs, k=5).collect())
     assert sliced == whole
 
@@ -255,7 +258,101 @@ def test_vectors_without_a_distance_are_no_candidates(spark):
     assert [r.vec_id for r in retrieve.dense_topk(queries, corpus, 3, "cosine").collect()] == [9]
 
 
-def test_chunk_keys_of_any_file_name(spark):
-    df = spark.createDataFrame([("guide.md", 1), ("doc_12.md", 2), ("9" * 20 + ".md", 3)], "file string, pos int")
-    keys = [r[0] for r in df.select(triage.chunk_key(F.col("file"), F.col("pos"))).collect()]
-    assert keys[1] == 12_000_002 and all(k is not None for k in keys)
+def clustered(n, d, seed):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(12, d)) * 20
+    return centres[r.integers(0, 12, n)] + r.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_bounds_prune_pairs_and_keep_results(monkeypatch, metric):
+    """One kernel over many blocks: most pairs are never scored, the hits are exact."""
+    import pyarrow as pa
+    from quire.operators import kernels
+
+    monkeypatch.setattr(kernels, "BLOCK_CELLS", 64 * 40)
+    x, q = clustered(6000, 8, 1), clustered(40, 8, 1)
+    queries = kernels.DenseQueries(pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(q.tolist())], names=["q", "v"]), metric)
+    schema = pa.schema([("id", pa.int64())])
+    top = kernels.TopK(3, 40, schema)
+    for s in range(0, 6000, 2000):
+        ids = pa.array(range(s, s + 2000))
+        queries.process(pa.RecordBatch.from_arrays([ids, pa.array(x[s:s + 2000].tolist())], names=["id", "v"]), top,
+                        pa.Table.from_arrays([ids], schema=schema))
+    top.settle()
+    if metric == "l2sq":
+        far = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    else:
+        far = 1 - (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None]
+    want = np.argsort(far, axis=1, kind="stable")[:, :3]
+    got = [top.rows.column(0).to_numpy()[top.q == i].tolist() for i in range(40)]
+    assert got == want.tolist()
+    assert queries.scored < 0.4 * queries.seen
+
+
+def test_lexical_bound_skips_queries_without_losing_hits(spark):
+    rnd = random.Random(5)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.randint(1, 30)))) for i in range(400)]
+    queries = [(f"q{j}", " ".join(rnd.choices(words, k=3))) for j in range(30)]
+    got = retrieve.lexical_topk(spark.createDataFrame(queries, "query_id string, text string"),
+                                spark.createDataFrame(docs, "doc_id long, text string").repartition(2), k=4).collect()
+    want = brute_lexical(queries, docs, 4)
+    for qid, hits in want.items():
+        mine = sorted((r["rank"], r.doc_id, r.distance) for r in got if r.query_id == qid)
+        assert [m[1] for m in mine] == [h[1] for h in hits]
+
+
+@pytest.mark.parametrize("limit", [0, 16])
+def test_ids_of_any_type_and_tags(spark, monkeypatch, limit):
+    monkeypatch.setattr(retrieve, "MAX_BLOCKS", limit)
+    rows = [("b_1", "alpha beta", "en,setup"), ("a_1", "alpha beta", "none"), ("a_1", "alpha beta", "none"), ("c", "alpha", "setup"),
+            (None, "alpha beta", "en"), ("d", None, "en"), ("e", "", None), ("f", "alpha beta gamma", None)]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string, tags_joined string")
+    q = spark.createDataFrame([("q1", "Alpha beta", None), ("q2", "alpha beta", "#setup"), ("q3", "alpha", "absent"), ("q4", "", "en"),
+                               ("q5", None, None)], "query_id string, text string, tag string")
+    hits = retrieve.lexical_topk(q, docs, 3, id_col="chunk_id", query_tag="tag", distinct=True).collect()
+    by = {}
+    for r in sorted(hits, key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append(r.chunk_id)
+    assert by == {"q1": [None, "a_1", "b_1"], "q2": ["b_1", "c"]}
+    twice = retrieve.lexical_topk(q.where("query_id = 'q1'"), docs, 3, id_col="chunk_id").collect()
+    assert [r.chunk_id for r in sorted(twice, key=lambda r: r["rank"])] == [None, "a_1", "a_1"]
+    full = {r.query_id: (r.chunk_id, r.used_fallback) for r in retrieve.search_with_fallback(
+        q, docs, 1, id_col="chunk_id", distinct=True).collect()}
+    assert full == {"q1": (None, False), "q2": ("b_1", False), "q3": ("c", True)}
+    vecs = spark.createDataFrame([("z", [1.0, 0.0]), ("y", [1.0, 0.0]), ("x", [0.0, 5.0])], "vec_id string, embedding array<double>")
+    vq = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    assert [r.vec_id for r in retrieve.dense_topk(vq, vecs, 2).orderBy("rank").collect()] == ["y", "z"]
+    assert [r.vec_id for r in retrieve.approx_topk(vq, vecs, 2).orderBy("rank").collect()] == ["y", "z"]
+
+
+def test_approx_topk_of_odd_rows(spark):
+    ddl = "vec_id long, embedding array<double>"
+    q = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [1.0]), (4, [float("nan"), 0.0])], "query_id long, vector array<double>")
+    rows = [(1, [1.0, 1.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (6, [2.0, 2.0])]
+    got = [(r.query_id, r.vec_id) for r in retrieve.approx_topk(q, spark.createDataFrame(rows, ddl), 3).collect()]
+    assert sorted(got) == [(1, 1), (1, 5), (1, 6), (3, 3)]
+    assert retrieve.approx_topk(q, spark.createDataFrame([], ddl), 3).count() == 0
+    assert retrieve.approx_topk(q.where("query_id = 9"), spark.createDataFrame(rows, ddl), 3).count() == 0
+
+
+def test_short_prompts_and_top_module(spark):
+    q = spark.createDataFrame([(1, "Why?"), (2, "How?"), (3, None)], "query_id long, text string")
+    ctx = spark.createDataFrame([(1, "block"), (2, "")], "query_id long, context string")
+    got = {r.query_id: r.prompt for r in retrieve.short_prompts(q, ctx).collect()}
+    assert got == {1: "Context:\nblock\n\nQuestion:\nWhy?", 2: "How?", 3: ""}
+    tb = 'File "/a/{}.py", line 1\nFile "/a/{}.py", line 2\nKeyError: k'
+    logs = spark.createDataFrame([("s", tb.format("m", "b")), ("s", tb.format("b", "c")), ("s", tb.format("c", "c")), ("t", None)],
+                                 "signature string, traceback string").withColumn("user_id", F.lit(1)).withColumn("ts", F.lit(None).cast("timestamp"))
+    assert {r.signature: r.top_module for r in triage.error_triage(logs).collect()} == {"s": "b", "t": None}
+
+
+def test_nothing_of_the_signatures_passes_the_driver(spark, monkeypatch):
+    """Beyond the bound the query side is a table from end to end."""
+    monkeypatch.setattr(retrieve, "MAX_BLOCKS", 0)
+    sig = spark.range(3000).selectExpr("concat('error value', cast(id as string), ' app_', char(97 + id % 26)) AS signature")
+    chunks = spark.createDataFrame([(f"f{i}.md_{i:016x}", f"app_{chr(97 + i % 26)} error notes", "none") for i in range(60)],
+                                   "chunk_id string, text string, tags_joined string")
+    hits = triage.signature_hits(sig, chunks, 2)
+    assert hits.count() == 6000 and hits.where("NOT used_fallback").count() == 0
