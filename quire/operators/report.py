@@ -101,3 +101,43 @@ def corpus_report(chunks: DataFrame) -> DataFrame:
     )
     q = nearest_rank(hist, "n_chars", "n", [0.5, 0.9, 0.99])
     return _long(basic).unionByName(_long(others)).unionByName(_long(q))
+
+
+LENGTH_SKETCH_K = 400      # size of a length sketch: normalised rank error about 0.7 %
+RANK_ERROR = 0.01          # the bound that is promised
+
+
+def length_sketches(chunks: DataFrame, by: str) -> DataFrame:
+    """H4 as mergeable state: per ``by`` its chunks, characters and a quantile
+    sketch of the lengths."""
+    n = F.length("text").cast("long")
+    return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(n).alias("n_chars"),
+                                  F.kll_sketch_agg_bigint(n, LENGTH_SKETCH_K).alias("lengths"))
+
+
+def merge_length_sketches(by: str, *increments: DataFrame) -> DataFrame:
+    """The state of all increments, per ``by``."""
+    both = increments[0]
+    for more in increments[1:]:
+        both = both.unionByName(more)
+    return both.groupBy(by).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"),
+                                F.kll_merge_agg_bigint("lengths").alias("lengths"))
+
+
+def length_quantiles(sketches: DataFrame, by: str, ps: list[float]) -> DataFrame:
+    """``by, n_chunks, n_chars, p, n_at`` with the estimated length at each share ``p``."""
+    return sketches.select(by, "n_chunks", "n_chars", F.explode(F.array(*(
+        F.struct(F.lit(float(p)).alias("p"), F.kll_sketch_get_quantile_bigint("lengths", F.lit(float(p))).alias("n_at"))
+        for p in ps))).alias("q")).select(by, "n_chunks", "n_chars", "q.p", "q.n_at")
+
+
+def rank_errors(quantiles: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
+    """Each estimated quantile with how far its true rank is off ``p``: none
+    where ``p`` lies between the shares of shorter and of not longer chunks."""
+    lengths = chunks.groupBy(by, F.length("text").cast("long").alias("n_at_len")).agg(F.count(F.lit(1)).alias("c"))
+    below = F.sum(F.when(F.col("n_at_len") < F.col("n_at"), F.col("c")).otherwise(0)) / F.first("n_chunks")
+    upto = F.sum(F.when(F.col("n_at_len") <= F.col("n_at"), F.col("c")).otherwise(0)) / F.first("n_chunks")
+    counted = quantiles.join(lengths, by).groupBy(by, "p").agg(
+        F.first("n_chunks").alias("n_chunks"), F.first("n_chars").alias("n_chars"), below.alias("below"), upto.alias("upto"))
+    return counted.select(by, "n_chunks", "n_chars", "p",
+                          F.greatest(F.col("below") - F.col("p"), F.col("p") - F.col("upto"), F.lit(0.0)).alias("rank_error"))

@@ -83,6 +83,42 @@ def q_corpus_report(spark, sf_dir):
     return report.corpus_report(corpus_chunks(spark, sf_dir))
 
 
+@register("corpus_quantiles")
+def q_corpus_quantiles(spark, sf_dir):
+    """Length quantiles per source from the sketches of two increments (English
+    texts, then all others), and whether their true ranks are within the bound."""
+    docs = read_table(spark, sf_dir, "documents", balance=False).select(
+        F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    early = F.col("lang") == "en"
+    merged = report.merge_length_sketches("source", report.length_sketches(docs.where(early), "source"),
+                                          report.length_sketches(docs.where(~early), "source"))
+    errors = report.rank_errors(report.length_quantiles(merged, "source", [0.5, 0.9, 0.99]), docs, "source")
+    return errors.select("source", "n_chunks", "n_chars", "p", (F.col("rank_error") <= report.RANK_ERROR).alias("within_bound"))
+
+
+@register("tag_index_merged")
+def q_tag_index_merged(spark, sf_dir):
+    """The tag index from the sketches of two increments that share files, beside
+    the exact counts: whether the estimate is within 2 %."""
+    c = corpus_chunks(spark, sf_dir)
+    early = F.col("pos") % 2 == 0
+    merged = ingest.merge_tag_sketches(ingest.tag_sketches(c.where(early)), ingest.tag_sketches(c.where(~early)))
+    both = ingest.estimated_tag_index(merged).withColumnRenamed("n_files", "estimate") \
+        .join(ingest.tag_index(c).select("tag", "n_files"), "tag")
+    near = F.abs(F.col("estimate") - F.col("n_files")) <= 0.02 * F.col("n_files")
+    return both.select("tag", "n_chunks", "n_files", near.alias("within_bound"))
+
+
+@register("tag_search")
+def q_tag_search(spark, sf_dir):
+    """Every distinct word of up to six characters in the benchmark texts, with and
+    without '#', as a filter of the chunks' joined tags, and the tags themselves."""
+    c = stored_chunks(spark, sf_dir)
+    found = ingest.tag_search(c, D.tag_filters(spark, sf_dir, c))
+    return found.groupBy("tag").agg(F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
+
+
 # ---------------------------------------------------------------- audit
 def audited_claims(spark, sf_dir):
     return audit.audit_claims(D.claims(spark, sf_dir))
@@ -417,6 +453,19 @@ def q_pulse_status(spark, sf_dir):
     return p.withColumn("cpu_pct", retrieve.rounded("cpu_pct"))
 
 
+@register("pulse_status_silent")
+def q_pulse_status_silent(spark, sf_dir):
+    p = jobs.pulse_status_silent(D.metrics(spark, sf_dir), window="1 hour", expire=3)
+    return p.withColumn("cpu_pct", retrieve.rounded("cpu_pct"))
+
+
+@register("error_stream_replayed")
+def q_error_stream_replayed(spark, sf_dir):
+    """A source that delivers every log twice: each counts once."""
+    logs = D.error_logs(spark, sf_dir)
+    return jobs.error_stream(logs.unionByName(logs), window="1 day", once_by="log_id")
+
+
 @register("error_stream")
 def q_error_stream(spark, sf_dir):
     return jobs.error_stream(D.error_logs(spark, sf_dir), window="1 day")

@@ -122,6 +122,22 @@ incoming_d AS (
   FROM chunks GROUP BY chunk_id
 )"""
 
+ORACLE["corpus_quantiles"] = """
+SELECT coalesce(source, '') AS source, count(*) AS n_chunks, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars, p, true AS within_bound
+FROM documents CROSS JOIN (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) v(p) GROUP BY coalesce(source, ''), p"""
+
+ORACLE["tag_index_merged"] = "WITH " + CHUNKS_CTE + """
+SELECT tag, count(*) AS n_chunks, count(DISTINCT file) AS n_files, true AS within_bound
+FROM (SELECT file, unnest(string_split(tags_joined, ',')) AS tag FROM chunks WHERE tags_joined <> 'none') GROUP BY tag"""
+
+ORACLE["tag_search"] = "WITH " + CHUNKS_CTE + """,
+words AS (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS tag FROM benchmark),
+short AS (SELECT tag FROM words WHERE length(tag) BETWEEN 1 AND 6),
+filters AS (SELECT tag FROM short UNION SELECT '#' || tag FROM short UNION SELECT tags_joined FROM chunks)
+SELECT f.tag, count(*) AS n_chunks, min(c.chunk_id) AS first_chunk
+FROM filters f JOIN chunks c ON contains(c.tags_joined, CASE WHEN f.tag[1] = '#' THEN f.tag[2:] ELSE f.tag END)
+GROUP BY f.tag"""
+
 ORACLE["upsert_chunks"] = "WITH " + CHUNKS_CTE + "," + EXISTING_CTE + """
 SELECT chunk_id, file, pos, tags_joined, 'existing' AS origin FROM existing_d
 UNION ALL
@@ -713,6 +729,16 @@ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, host, n_sampl
        CASE WHEN active = 0 THEN 'green' WHEN cpu_pct < 80.0 THEN 'orange' ELSE 'red' END AS status
 FROM a"""
 
+ORACLE["pulse_status_silent"] = """WITH seen AS (""" + ORACLE["pulse_status"] + """),
+gaps AS (SELECT host, window_start, lead(window_start) OVER (PARTITION BY host ORDER BY window_start) AS next,
+                max(window_start) OVER () AS last FROM seen),
+silent AS (SELECT host, window_start, unnest(range(1, least(3, date_diff('hour', window_start,
+             coalesce(next - INTERVAL 1 HOUR, last))) + 1)) AS i FROM gaps)
+SELECT window_start, window_end, host, n_samples, cpu_pct, is_active, status FROM seen
+UNION ALL
+SELECT window_start + i * INTERVAL 1 HOUR, window_start + (i + 1) * INTERVAL 1 HOUR, host, 0, NULL, false, '""" + fixed.STATUS_IDLE + """'
+FROM silent"""
+
 ORACLE["error_stream"] = "WITH " + SIG_CTE + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
        signature, count(*) AS n_errors
@@ -777,6 +803,8 @@ def smiles_ctes(src: str, keys: list[str], text: str, p: str = "sm_") -> str:
 )"""
 
 
+ORACLE["error_stream_replayed"] = ORACLE["error_stream"]
+
 ORACLE["redact_smiles"] = f"""WITH {CHAT_CTE},
 src AS (SELECT conv_id, turn, text FROM chat),
 {smiles_ctes('src', ['conv_id', 'turn'], 'text')}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,10 +92,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def cut_tables(spark: SparkSession):
+    """``cut_lineage`` for a job that ends inside: its tables go when it does,
+    and only its own."""
+    mine: list[str] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        n = len(_CUT_TABLES)
+        out = cut_lineage(df)
+        mine.extend(_CUT_TABLES[n:])
+        del _CUT_TABLES[n:]
+        return out
+
+    try:
+        yield cut
+    finally:
+        _drop(spark, mine)
+
+
 def drop_cut_tables(spark: SparkSession) -> None:
     """Remove the tables ``cut_lineage`` has written in this process, once no
     DataFrame that reads them is needed any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _CUT_TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_CUT_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _drop(spark, _CUT_TABLES)

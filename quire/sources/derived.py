@@ -206,6 +206,16 @@ def derived_sql(name: str) -> str:
     return sql
 
 
+def tag_filters(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """Filters for the tag search: the distinct words of up to six letters of the
+    benchmark texts, these with a leading '#', and the distinct joined tags."""
+    from pyspark.sql import functions as F
+
+    words = read_table(spark, sf_dir, "benchmark", balance=False) \
+        .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("tag")).where("length(tag) BETWEEN 1 AND 6")
+    return words.union(words.select(F.concat(F.lit("#"), "tag"))).union(chunks.select("tags_joined")).distinct()
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "md_docs")
 

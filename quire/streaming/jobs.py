@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,18 +34,19 @@ def _own_checkpoint(spark: SparkSession, job: str, *names: str) -> str:
 def sync_stream(spark: SparkSession, source_path: str, collection_path: str,
                 checkpoint: str | None = None, available_now: bool = True,
                 processing_time: str = "60 minutes",
-                max_files_per_trigger: int | None = None) -> StreamingQuery:
+                max_files_per_trigger: int | None = None, buckets: int | None = None) -> StreamingQuery:
     """New knowledge files -> chunks -> insert-if-absent into the collection.
 
     Each micro-batch runs the batch pipeline; the insert is keyed on the
     content-addressed id, so replaying a batch after a failure appends nothing.
+    With ``buckets`` the collection is laid out by id (``sinks.write_corpus``).
     """
     # bounded micro-batches when a large backlog of files arrives at once
     files = kb_scan_stream(spark, source_path, max_files_per_trigger)
     ckpt = checkpoint or _own_checkpoint(spark, "sync_stream", source_path, collection_path)
 
     def upsert(batch: DataFrame, _epoch: int) -> None:
-        sinks.write_corpus(ingest.build_chunks(batch), collection_path)
+        sinks.write_corpus(ingest.build_chunks(batch), collection_path, buckets)
 
     w = files.writeStream.foreachBatch(upsert).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
@@ -56,7 +58,9 @@ def scrub_stream(messages: DataFrame, out_path: str, checkpoint: str | None = No
                  fmt: str = "parquet") -> StreamingQuery:
     """Stateless redaction of a message stream, appended to ``out_path``."""
     spark = messages.sparkSession
-    ckpt = checkpoint or _own_checkpoint(spark, "scrub_stream", out_path)
+    # what the stream reads is part of its plan
+    source = messages._jdf.queryExecution().analyzed().toString() if checkpoint is None else ""
+    ckpt = checkpoint or _own_checkpoint(spark, "scrub_stream", re.sub(r"#\d+L?", "", source), out_path)
     return (redact.scrub_conversations(messages).writeStream.format(fmt)
             .option("path", out_path).option("checkpointLocation", ckpt)
             .outputMode("append").trigger(availableNow=True).start())
@@ -92,12 +96,143 @@ def pulse_status(metrics: DataFrame, window: str = "1 minute", watermark: str |
                       status.alias("status"))
 
 
+# ------------------------------------------------------------------ S3 with silent hosts
+STATUS_DDL = ("window_start timestamp, window_end timestamp, host string, n_samples long, cpu_pct double, "
+              "is_active boolean, status string")
+
+
+def pulse_status_silent(metrics: DataFrame, window: str = "1 minute", expire: int = 3) -> DataFrame:
+    """S3, batch twin of ``silent_status_stream``: besides a row for each window
+    with samples, one for each of up to ``expire`` windows after it in which the
+    host stayed silent (no samples, inactive), none beyond the last window of all
+    hosts. One small window per host runs over its windows, not its samples."""
+    seen = pulse_status(metrics, window)
+    kind = seen.schema["window_start"].dataType.simpleString()
+    at, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("window_start", "window_end"))
+    placed = seen.withColumn("__at", at).withColumn("__w", end - at)
+    # the last window of all hosts: one row, beside each host's last window
+    last = placed.agg(F.max("__at").alias("__last"))
+    by_host = Window.partitionBy("host").orderBy("__at")
+    gaps = placed.select("host", "__at", "__w", F.lead("__at").over(by_host).alias("__next")) \
+        .join(F.broadcast(last.withColumn("__one", F.lit(True))), F.col("__next").isNull() == F.col("__one"), "left")
+    free = F.coalesce(F.col("__next") - F.col("__w"), F.col("__last")) - F.col("__at")
+    n = F.least(F.lit(expire).cast("long"), (free / F.col("__w")).cast("long"))
+    silent = gaps.withColumn("__n", n).where("__n > 0") \
+        .select("host", "__w", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("__n")),
+                                                     lambda i: F.col("__at") + i * F.col("__w"))).alias("__at"))
+    return seen.unionByName(silent.select(
+        F.timestamp_micros("__at").cast(kind).alias("window_start"), F.timestamp_micros(F.col("__at") + F.col("__w")).cast(kind).alias("window_end"),
+        "host", F.lit(0).cast("long").alias("n_samples"), F.lit(None).cast("double").alias("cpu_pct"),
+        F.lit(False).alias("is_active"), F.lit(fixed.STATUS_IDLE).alias("status")))
+
+
+def _status_processor(width_ms: int, expire: int):
+    """Keyed state of a host: its open windows, and the next one to be told."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    idle, active, busy, limit = fixed.STATUS_IDLE, fixed.STATUS_ACTIVE, fixed.STATUS_BUSY, fixed.BUSY_CPU_PCT
+
+    class Status(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.open = handle.getMapState("open", "at long", "n long, known long, total double, active int")
+            self.told = handle.getValueState("told", "next long, sampled long")      # sampled: last window with samples that was told
+
+        def handleInputRows(self, key, rows, timerValues):
+            first = None
+            for pdf in rows:
+                at = pdf["ts"].astype("datetime64[ms]").astype("int64") // width_ms * width_ms
+                for w, part in pdf.groupby(at):
+                    w = int(w)
+                    n, known, total, on = self.open.getValue((w,)) if self.open.containsKey((w,)) else (0, 0, 0.0, -1)
+                    cpu, flags = part["cpu_pct"].dropna(), part["is_active"].dropna()
+                    on = max(on, max(map(int, flags), default=-1))      # -1: not known
+                    self.open.updateValue((w,), (n + len(part), known + len(cpu), total + float(cpu.sum()), on))
+                    first = w if first is None else min(first, w)
+            if first is not None:
+                told = self.told.get() if self.told.exists() else None
+                if told is None or first < told[0]:
+                    self.told.update((first, told[1] if told else first - width_ms * (expire + 1)))
+                    self.handle.registerTimer(first + width_ms)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self.told.exists():
+                return
+            at, sampled = self.told.get()
+            now, out = timerValues.getCurrentWatermarkInMs(), []
+            waiting = sorted(k[0] for k in self.open.keys())
+            while at + width_ms <= now:
+                if waiting and waiting[0] == at:
+                    n, known, total, on = self.open.getValue((at,))
+                    self.open.removeKey((at,))
+                    waiting.pop(0)
+                    mean = total / known if known else None
+                    status = idle if on == 0 else active if mean is not None and mean < limit else busy
+                    out.append((at, n, mean, None if on < 0 else on == 1, status))
+                    sampled = at
+                elif at - sampled <= expire * width_ms:
+                    out.append((at, 0, None, False, idle))
+                elif waiting:
+                    at = waiting[0]
+                    continue
+                else:
+                    break
+                at += width_ms
+            if not waiting and at - sampled > expire * width_ms:
+                self.told.clear()                            # silent for too long: the host is forgotten
+            else:
+                self.told.update((at, sampled))
+                self.handle.registerTimer(at + width_ms)
+            if out:
+                yield pd.DataFrame({
+                    "window_start": pd.to_datetime([o[0] for o in out], unit="ms"),
+                    "window_end": pd.to_datetime([o[0] + width_ms for o in out], unit="ms"), "host": key[0],
+                    "n_samples": [o[1] for o in out], "cpu_pct": pd.Series([o[2] for o in out], dtype="object"),
+                    "is_active": pd.Series([o[3] for o in out], dtype="object"), "status": [o[4] for o in out]})
+
+        def close(self):
+            pass
+
+    return Status()
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def silent_status_stream(metrics: DataFrame, name: str, window_seconds: int, watermark: str, expire: int = 3,
+                         checkpoint: str | None = None) -> StreamingQuery:
+    """S3 as a stream that also tells of silent hosts, into the in-memory table
+    ``name``: event-time timers emit every window of a host once the watermark
+    passes it, with samples or without; a host silent for more than ``expire``
+    windows loses its state. Samples later than the watermark are dropped."""
+    spark = metrics.sparkSession
+    src = metrics.select(F.col("ts").cast("timestamp").alias("ts"), F.col("host").cast("string").alias("host"),
+                         F.col("cpu_pct").cast("double").alias("cpu_pct"), "is_active").withWatermark("ts", watermark)
+    told = src.groupBy("host").transformWithStateInPandas(
+        statefulProcessor=_status_processor(window_seconds * 1000, expire), outputStructType=STATUS_DDL,
+        outputMode="Append", timeMode="EventTime")
+    # keyed state with timers needs this store; only this query takes it
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        return start_memory_sink(told, name, "append", checkpoint)
+    finally:
+        spark.conf.set(key, before)
+
+
 # ------------------------------------------------------------------ C4 error counts
 def error_stream(logs: DataFrame, window: str = "1 hour", watermark: str | None = None,
-                 prefix: str = "app_") -> DataFrame:
+                 prefix: str = "app_", once_by: str | None = None) -> DataFrame:
     """C4: error signature counts per tumbling window (late rows up to the
-    watermark are still counted)."""
+    watermark are still counted). With ``once_by`` rows of one log id count once,
+    as when a source replays them: a stream remembers an id until the watermark
+    passes it, so replays within the watermark's delay are dropped."""
     src, kind = _event_time(logs, watermark)
+    if once_by:
+        src = src.dropDuplicatesWithinWatermark([once_by]) if logs.isStreaming else src.dropDuplicates([once_by])
     return (src.withColumn("signature", signature_col("traceback", prefix))
             .groupBy(F.window("ts", window).alias("w"), "signature")
             .agg(F.count(F.lit(1)).alias("n_errors"))
