@@ -92,10 +92,19 @@ def scrub_conversations(messages: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def smiles_count(text: str | Column) -> Column:
+    """How many candidates of a text ``redact_smiles`` would replace."""
+    return F.size(F.filter(F.regexp_extract_all(col_(text), F.lit(SMILES_JAVA), 0), smiles_valid))
+
+
+PATTERNS = ("geometry", "coords", "matrix", "smiles")
+
+
 def redaction_report(messages: DataFrame, text: str = "text", by: str = "role") -> DataFrame:
-    """Per ``by`` value and pattern (geometry, coords, matrix): rows hit,
-    matches and the net change in characters, plus rows where a coordinate
-    or matrix pattern still matches after redaction (leak check)."""
+    """Per ``by`` value and pattern (geometry, coords, matrix, smiles): rows
+    hit, matches and the net change in characters, plus the rows whose final text
+    leaks: a block with another body than its label, or, the labels aside, a
+    coordinate line, a float matrix or a SMILES string."""
     # One projection per stage: each stage's text is computed once and read
     # by the next stage and the counts (no nested re-evaluation). The counts
     # are aggregated per group first (combined before the shuffle) and the
@@ -106,6 +115,8 @@ def redaction_report(messages: DataFrame, text: str = "text", by: str = "role")
         .withColumn("s1", redact_blocks("s0"))
         .withColumn("s2", redact_coords("s1"))
         .withColumn("s3", redact_matrices("s2"))
+        .withColumn("s4", redact_smiles("s3"))
+        .withColumn("rest", F.regexp_replace("s4", F.lit(fixed.ANY_LABEL), F.lit(" ")))
         .select(
             by,
             F.regexp_count("s0", F.lit(fixed.GEOMETRY_BLOCK_JAVA)).alias("n_geometry"),
@@ -114,16 +125,18 @@ def redaction_report(messages: DataFrame, text: str = "text", by: str = "role")
             (F.length("s2") - F.length("s1")).alias("d_coords"),
             F.regexp_count("s2", F.lit(fixed.FLOAT_MATRIX_JAVA)).alias("n_matrix"),
             (F.length("s3") - F.length("s2")).alias("d_matrix"),
-            ((F.regexp_count("s3", F.lit(fixed.COORD_LINE_JAVA))
-              + F.regexp_count("s3", F.lit(fixed.FLOAT_MATRIX_JAVA))) > 0).alias("leak"),
+            smiles_count("s3").alias("n_smiles"),
+            (F.length("s4") - F.length("s3")).alias("d_smiles"),
+            (F.col("rest").rlike(fixed.COORD_LINE_JAVA) | F.col("rest").rlike(fixed.FLOAT_MATRIX_JAVA) | (smiles_count("rest") > 0)
+             | (F.regexp_count("s4", F.lit(fixed.GEOMETRY_BLOCK_JAVA)) != F.regexp_count("s4", F.lit(fixed.REDACTED_BLOCK)))).alias("leak"),
         )
     )
     aggs = [F.sum(F.when(F.col("leak"), 1).otherwise(0)).alias("n_leaks")]
-    for p in ("geometry", "coords", "matrix"):
+    for p in PATTERNS:
         aggs += [F.sum(F.when(F.col(f"n_{p}") > 0, 1).otherwise(0)).alias(f"hit_{p}"),
                  F.sum(f"n_{p}").cast("long").alias(f"cnt_{p}"),
                  F.sum(f"d_{p}").cast("long").alias(f"del_{p}")]
     per_group = counted.groupBy(by).agg(*aggs)
-    rows = ", ".join(f"'{p}', hit_{p}, cnt_{p}, del_{p}, n_leaks" for p in ("geometry", "coords", "matrix"))
+    rows = ", ".join(f"'{p}', hit_{p}, cnt_{p}, del_{p}, n_leaks" for p in PATTERNS)
     return per_group.selectExpr(
-        by, f"stack(3, {rows}) AS (pattern, n_rows_hit, n_matches, chars_delta, n_leaks)")
+        by, f"stack({len(PATTERNS)}, {rows}) AS (pattern, n_rows_hit, n_matches, chars_delta, n_leaks)")

@@ -98,14 +98,16 @@ def export_scrubbed(messages: DataFrame, path: str, export_timestamp: str,
     conversation and turn order. The time is a parameter so an export is
     repeatable; no conversation is gathered into one task.
     """
-    scrubbed = redact.scrub_conversations(messages)
-    manifest = scrubbed.agg(F.countDistinct("conv_id").alias("n_conversations"),
-                            F.count(F.lit(1)).alias("n_messages")).select(
+    # ordered as raw rows, whose sampling and shuffle are sized by bytes, then
+    # redacted once, while they are written; the manifest needs no text
+    kept = messages.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    manifest = kept.agg(F.countDistinct("conv_id").alias("n_conversations"),
+                        F.count(F.lit(1)).alias("n_messages")).select(
         F.lit(export_timestamp).alias("export_timestamp"),
         F.lit(fixed.EXPORT_VERSION).alias("version"),
         F.lit(fixed.PRIVACY_NOTE).alias("privacy_guarantee"),
         "n_conversations", "n_messages")
     manifest.coalesce(1).write.mode("overwrite").option("compression", compression) \
         .json(os.path.join(path, "manifest"))
-    transcripts(scrubbed).write.mode("overwrite").option("compression", compression) \
+    redact.scrub_conversations(transcripts(kept)).write.mode("overwrite").option("compression", compression) \
         .json(os.path.join(path, "chat_data"))

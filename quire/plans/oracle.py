@@ -678,32 +678,6 @@ ORACLE["redact_blocks"] = _chat_digest(geom_sql("text"))
 ORACLE["redact_coords"] = _chat_digest(coord_sql("text"))
 ORACLE["redact_matrices"] = _chat_digest(matrix_sql("text"))
 
-ORACLE["redaction_report"] = f"""WITH {CHAT_CTE},
-s AS (SELECT coalesce(role, 'unknown') AS role, coalesce(text, '') AS s0 FROM chat),
-s1 AS (SELECT *, {geom_sql('s0')} AS s1 FROM s),
-s2 AS (SELECT *, {coord_sql('s1')} AS s2 FROM s1),
-s3 AS (SELECT *, {matrix_sql('s2')} AS s3 FROM s2),
-st AS (
-  SELECT role,
-    len(regexp_extract_all(s3, '{COORD_RE2}')) + len(regexp_extract_all(s3, '{MATRIX_RE2}')) > 0 AS leak,
-    len(regexp_extract_all(s0, '{GEOM_RE2}')) AS n_g, length(s1) - length(s0) AS d_g,
-    len(regexp_extract_all(s1, '{COORD_RE2}')) AS n_c, length(s2) - length(s1) AS d_c,
-    len(regexp_extract_all(s2, '{MATRIX_RE2}')) AS n_m, length(s3) - length(s2) AS d_m
-  FROM s3
-),
-long AS (
-  SELECT role, leak, 'geometry' AS pattern, n_g AS n, d_g AS delta FROM st
-  UNION ALL SELECT role, leak, 'coords', n_c, d_c FROM st
-  UNION ALL SELECT role, leak, 'matrix', n_m, d_m FROM st
-)
-SELECT role, pattern,
-  CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows_hit,
-  CAST(sum(n) AS BIGINT) AS n_matches,
-  CAST(sum(delta) AS BIGINT) AS chars_delta,
-  CAST(sum(CASE WHEN leak THEN 1 ELSE 0 END) AS BIGINT) AS n_leaks
-FROM long GROUP BY role, pattern"""
-
-
 # ---------------------------------------------------------------- streams (batch twins), sources
 ORACLE["transcript_positions"] = """
 SELECT conv_id, turn, role, row_number() OVER w - 1 AS position,
@@ -805,6 +779,40 @@ def smiles_ctes(src: str, keys: list[str], text: str, p: str = "sm_") -> str:
 
 ORACLE["error_stream_replayed"] = ORACLE["error_stream"]
 
+_LABELS = "(len({0}) - len(replace({0}, '[REDACTED_SMILES_STRING]', ''))) // 24"
+ORACLE["redaction_report"] = f"""WITH {CHAT_CTE},
+s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS s0 FROM chat),
+s1 AS (SELECT *, {geom_sql('s0')} AS s1 FROM s),
+s2 AS (SELECT *, {coord_sql('s1')} AS s2 FROM s1),
+s3 AS (SELECT *, {matrix_sql('s2')} AS s3 FROM s2),
+{smiles_ctes('s3', ['conv_id', 'turn'], 's3')},
+s4 AS (SELECT s3.*, r AS s4, regexp_replace(r, '\\[REDACTED_[A-Z_]+\\]', ' ', 'g') AS rest
+       FROM s3 JOIN sm_out USING (conv_id, turn)),
+{smiles_ctes('s4', ['conv_id', 'turn'], 'rest', 'lk_')},
+st AS (
+  SELECT role,
+    len(regexp_extract_all(rest, '{COORD_RE2}')) + len(regexp_extract_all(rest, '{MATRIX_RE2}')) + {_LABELS.format('r')} > 0
+      OR len(regexp_extract_all(s4, '{GEOM_RE2}'))
+         <> len(regexp_extract_all(s4, '(?i)\\*\\s*xyz[^\\n]*\\n\\[REDACTED_GEOMETRY_BLOCK\\]\\n\\*')) AS leak,
+    len(regexp_extract_all(s0, '{GEOM_RE2}')) AS n_g, length(s1) - length(s0) AS d_g,
+    len(regexp_extract_all(s1, '{COORD_RE2}')) AS n_c, length(s2) - length(s1) AS d_c,
+    len(regexp_extract_all(s2, '{MATRIX_RE2}')) AS n_m, length(s3) - length(s2) AS d_m,
+    {_LABELS.format('s4')} - {_LABELS.format('s3')} AS n_s, length(s4) - length(s3) AS d_s
+  FROM s4 JOIN lk_out USING (conv_id, turn)
+),
+long AS (
+  SELECT role, leak, 'geometry' AS pattern, n_g AS n, d_g AS delta FROM st
+  UNION ALL SELECT role, leak, 'coords', n_c, d_c FROM st
+  UNION ALL SELECT role, leak, 'matrix', n_m, d_m FROM st
+  UNION ALL SELECT role, leak, 'smiles', n_s, d_s FROM st
+)
+SELECT role, pattern,
+  CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows_hit,
+  CAST(sum(n) AS BIGINT) AS n_matches,
+  CAST(sum(delta) AS BIGINT) AS chars_delta,
+  CAST(sum(CASE WHEN leak THEN 1 ELSE 0 END) AS BIGINT) AS n_leaks
+FROM long GROUP BY role, pattern"""
+
 ORACLE["redact_smiles"] = f"""WITH {CHAT_CTE},
 src AS (SELECT conv_id, turn, text FROM chat),
 {smiles_ctes('src', ['conv_id', 'turn'], 'text')}

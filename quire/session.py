@@ -9,6 +9,7 @@ resolves the shared checkpoint folder the cluster names in
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -48,6 +49,8 @@ def get_session(
     conf = dict(_DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and (n := re.fullmatch(r"local\[(\d+)\]", master)):
+        conf["quire.minScanSplits"] = n[1]          # one small file: a task for each local thread
     if extra_conf:
         conf.update(extra_conf)
     for key, value in conf.items():

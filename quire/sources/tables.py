@@ -20,15 +20,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+MIN_SCAN_SPLITS = "quire.minScanSplits"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that gives fewer partitions than the cluster has task
-    slots (a file written as one row group is read by one task) round-robin
-    over the slots. A large table scans into many splits and is returned
-    unchanged, so this never adds a shuffle at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    """A file written as one row group is read by one task. Where the session
+    sets ``quire.minScanSplits`` (tests and bench do, a cluster need not), a scan
+    with fewer splits is dealt round-robin to that many; without it the scan is
+    left as it is."""
+    n = int(df.sparkSession.conf.get(MIN_SCAN_SPLITS, "0"))
+    return df.repartition(n) if n and df.rdd.getNumPartitions() < n else df
 
 
 # Tables whose rows carry whole texts: per-row work (regex, tokenising,
