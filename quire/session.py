@@ -50,7 +50,7 @@ def get_session(
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and (n := re.fullmatch(r"local\[(\d+)\]", master)):
-        conf["quire.minScanSplits"] = n[1]          # one small file: a task for each local thread
+        conf["spark.quire.minScanSplits"] = n[1]          # one small file: a task for each local thread
     if extra_conf:
         conf.update(extra_conf)
     for key, value in conf.items():

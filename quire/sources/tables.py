@@ -20,12 +20,12 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-MIN_SCAN_SPLITS = "quire.minScanSplits"
+MIN_SCAN_SPLITS = "spark.quire.minScanSplits"
 
 
 def spread(df: DataFrame) -> DataFrame:
     """A file written as one row group is read by one task. Where the session
-    sets ``quire.minScanSplits`` (tests and bench do, a cluster need not), a scan
+    sets ``spark.quire.minScanSplits`` (tests and bench do, a cluster need not), a scan
     with fewer splits is dealt round-robin to that many; without it the scan is
     left as it is."""
     n = int(df.sparkSession.conf.get(MIN_SCAN_SPLITS, "0"))
