@@ -29,13 +29,26 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def per_process(key, make: Callable):
     """``make()`` once per Python worker process. Functions shipped by value
     get fresh globals in every task; what is dear to build is kept on ``sys``,
-    which outlives the task."""
+    which outlives the task. One thing at a time: another key takes the place of
+    the one before, so a worker holds what its present stage needs."""
     memo = sys.__dict__.setdefault("_quire_llm_memo", {})
     if key not in memo:
+        memo.clear()
         memo[key] = make()
     return memo[key]
 
 
+def forget() -> None:
+    """Let go of what an earlier stage kept with ``per_process``."""
+    sys.__dict__.get("_quire_llm_memo", {}).clear()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class WordCache(dict):
     """word -> ``make(word)``, in two generations of at most ``limit`` entries
     each: when the young one is full it becomes the old one, and words still in

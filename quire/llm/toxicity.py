@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ship, slices
+from quire.llm.common import forget, ship, slices
 from quire.session import cut_lineage
 
 ship(__name__)
@@ -125,95 +125,6 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _prefix_entries(folded: str) -> set[str]:
-    words = set(folded.split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-
-
-def _counted(train: DataFrame, items, least: int) -> DataFrame:
-    """item, n0, n1: documents of each label that hold the item. Counted per
-    batch first, then per item; the shuffle carries items, not texts."""
-
-    def kernel(batches):
-        for b in slices(batches):
-            counts = (Counter(), Counter())
-            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[label].update(items(t))
-            keys = list(counts[0] | counts[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)],
-                names=["item", "n0", "n1"])
-
-    return train.mapInArrow(kernel, "item string, n0 long, n1 long").groupBy("item") \
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= least)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Ridge-regularised Newton steps on at most ``SAMPLE`` rows."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * len(x) * np.eye(len(w)),
-                               x.T @ (p - y) + ridge * len(x) * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Whether a document's label may not be learned from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Lexicon from the documents whose labels may be learned from."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")) \
-        .where(F.col("y").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # at most SAMPLE ids and labels go to the tasks
-    train = cut_lineage(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-                        .join(F.broadcast(sample), "doc_id").select("text", "y"))
-
-    sizes = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n1:
-        return Lexicon({}, {}, None)
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
-    best = _counted(train, lambda t: _prefix_entries(fold(t)), LEAST_DF).withColumn("w", odds) \
-        .where(F.col("w") >= LEAST_ODDS).orderBy(F.desc("w"), "item").limit(ENTRIES).collect()
-    weights = _fitting({r["item"]: (r["w"], r["n1"]) for r in best})
-    draft = Lexicon(weights, {}, None)
-
-    def phrases(text):
-        folded, out = fold(text), set()
-        for start, entry in draft.matches(folded):
-            stop = folded.find(" ", start + 1)
-            before = folded.rfind(" ", 0, start)
-            after = folded.find(" ", stop + 1)
-            if before >= 0:
-                out.add((folded[before:stop + 1], entry))
-            if after >= 0:
-                out.add((folded[start:after + 1], entry))
-        return {f"{p}\t{e}" for p, e in out}
-
-    excused = _counted(train, phrases, 0).where((F.col("n0") >= LEAST_DF) & (odds <= 0.0)) \
-        .orderBy(F.desc("n0"), "item").limit(ENTRIES).collect() if weights else []
-    exceptions = dict(r["item"].split("\t") for r in excused)
-    lexicon = Lexicon(weights, exceptions, None)
-
-    def measure(batches):
-        for b in slices(batches):
-            got = [lexicon.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), b.column(1)],
-                                             names=["a", "b", "y"])
-
-    rows = train.mapInArrow(measure, "a double, b double, y int").collect()  # SAMPLE rows at most
-    fit = _logistic(np.array([[r["a"], r["b"]] for r in rows]), np.array([r["y"] for r in rows], float))
-    return Lexicon(weights, exceptions, tuple(map(float, fit)))
-
-
 def _fitting(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Of entries that extend each other: the longest one that holds nearly all
     toxic documents of a shorter one, and no longer ones that a shorter one
@@ -234,14 +145,6 @@ def _fitting(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     return kept
 
 
-def score(self, text: str | None) -> float:
-        if self.fit is None:
-            return 0.0
-        a, b = self.features(text)
-        z = self.fit[0] + self.fit[1] * a + self.fit[2] * b
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-
-
 def _prefix_entries(folded: str) -> set[str]:
     words = set(folded.split())
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
@@ -334,22 +237,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     return Lexicon(weights, exceptions, tuple(map(float, fit)))
 
 
-def _shortest(weights: dict[str, float]) -> dict[str, float]:
-    """Without entries that a shorter one, about as strong, already covers."""
-    kept: dict[str, float] = {}
-    for entry in sorted(weights, key=len):
-        covers = [kept[entry[:n]] for n in range(2, len(entry)) if entry[:n] in kept]
-        if not covers or weights[entry] > max(covers) + 1.0:
-            kept[entry] = weights[entry]
-    return kept
-
-
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, score`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def kernel(batches):
         lex = shared.value
+        forget()
         for b in slices(batches):
             got = [lex.score(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
@@ -364,7 +258,8 @@ def reject(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
 
     def kernel(batches):
         lex = shared.value
-        for b in batches:
+        forget()
+        for b in slices(batches):
             clean = [lex.score(t) < threshold for t in b.column(column).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 

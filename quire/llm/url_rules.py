@@ -13,6 +13,11 @@ matched, so a repeated URL is matched once. Rule tables are joined without a
 hint: Spark broadcasts them while they are small. Mining reads at most
 ``SAMPLE`` labelled URLs, those of least hash.
 
+FP-growth lists every frequent combination, which doubles with each token that
+always comes with the others, as the segments of a long common path do. Tokens
+in exactly the same labelled URLs are therefore mined as one item, and a rule
+names the longest of them (then the first by name), which says the same.
+
 All of it is DataFrame functions and Spark's own FP-growth.
 
 Contract: a NULL URL, or one without ``://``, has an empty host and path, no
@@ -27,6 +32,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
+
 ALLOW, BLOCK = "allow", "block"
 # The rule list of the registered query: (verdict, host and path).
 RULES = (
@@ -75,10 +82,20 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules ``antecedent, confidence, support, token`` from ``url, blocked``."""
     sample = labelled.where("url is not null and blocked is not null") \
         .orderBy(F.xxhash64("url"), "url", "blocked").limit(SAMPLE)
-    items = tokens_of(F.col("url"))
-    baskets = sample.select(F.when(F.col("blocked"), F.concat(items, F.array(F.lit(_MARK)))).otherwise(items).alias("items")) \
-        .where(F.size("items") > 0)
-    least = min(1.0, max(min_support, MIN_COUNT / max(1, baskets.count())))
+    urls = cut_lineage(sample.select(F.monotonically_increasing_id().alias("u"), "blocked", tokens_of(F.col("url")).alias("items"))
+                       .where("size(items) > 0"))
+    n = max(1, urls.count())
+    held = urls.select("u", F.explode("items").alias("token"))
+    # tokens in the same URLs: as many of them, with the same two hashes over their ids
+    held_by = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u")).alias("h1"),
+                                        F.bit_xor(F.xxhash64(F.lit(1), "u")).alias("h2")) \
+        .where(F.col("n") >= F.lit(max(min_support * n, MIN_COUNT)))
+    items = held_by.groupBy("n", "h1", "h2").agg(F.min(F.struct(-F.length("token"), F.col("token").alias("token")))["token"].alias("token"))
+    kept_items = held.join(items.select("token"), "token").groupBy("u").agg(F.collect_list("token").alias("items"))
+    baskets = urls.select("u", "blocked").join(kept_items, "u", "left") \
+        .withColumn("items", F.coalesce("items", F.array().cast("array<string>"))) \
+        .select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(_MARK)))).otherwise(F.col("items")).alias("items"))
+    least = min(1.0, max(min_support, MIN_COUNT / n))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == _MARK) \
         .select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")

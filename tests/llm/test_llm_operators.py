@@ -163,6 +163,27 @@ def brute_url(url):
     return host, path, max(fits, key=len, default=None)
 
 
+def test_long_common_paths_are_mined_as_one_item(spark):
+    """30 segments that always come together, and one that goes with the label."""
+    import time
+
+    path = "/".join(f"s{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    train = [(f"http://h{i}.org/{path}/p{i}", i % 2 == 0) for i in range(40)] + \
+        [(f"http://k{i}.org/{path}/spam/q{i}", True) for i in range(40)] + [(f"http://m{i}.org/fine/r{i}", False) for i in range(160)]
+    labelled = spark.createDataFrame(train, "url string, blocked boolean")
+    began = time.perf_counter()
+    rules = url_rules.mine(labelled).collect()
+    assert time.perf_counter() - began < 30
+    sure = {tuple(r.antecedent): (round(r.confidence, 6), round(r.support, 6)) for r in rules}
+    assert sure[("path:spam",)] == (1.0, round(40 / 240, 6))
+    # brute force over the items that FP-growth may see: no other single token implies the label
+    tokens = {u: set(r) for u, r in labelled.select("url", url_rules.tokens_of(F.col("url"))).collect()}
+    for token in set().union(*tokens.values()):
+        mine = [b for u, b in train if token in tokens[u]]
+        if len(mine) >= url_rules.MIN_COUNT and sum(mine) / len(mine) >= url_rules.MIN_CONFIDENCE:
+            assert {u for u in tokens if token in tokens[u]} == {u for u in tokens if "path:spam" in tokens[u]}
+
+
 def test_url_rules_and_mined_rules(spark):
     pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(URLS)] + [(None, URLS[0], 0), (0, URLS[0], 0)],
                                   "page_id long, url string, verdict int")
