@@ -110,12 +110,11 @@ def pulse_status_silent(metrics: DataFrame, window: str = "1 minute", expire: in
     kind = seen.schema["window_start"].dataType.simpleString()
     at, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("window_start", "window_end"))
     placed = seen.withColumn("__at", at).withColumn("__w", end - at)
-    # the last window of all hosts: one row, beside each host's last window
-    last = placed.agg(F.max("__at").alias("__last"))
+    # the start of the last window of all hosts: one value
+    last = placed.agg(F.max("__at")).first()[0]
     by_host = Window.partitionBy("host").orderBy("__at")
-    gaps = placed.select("host", "__at", "__w", F.lead("__at").over(by_host).alias("__next")) \
-        .join(F.broadcast(last.withColumn("__one", F.lit(True))), F.col("__next").isNull() == F.col("__one"), "left")
-    free = F.coalesce(F.col("__next") - F.col("__w"), F.col("__last")) - F.col("__at")
+    gaps = placed.select("host", "__at", "__w", F.lead("__at").over(by_host).alias("__next"))
+    free = F.coalesce(F.col("__next") - F.col("__w"), F.lit(last).cast("long")) - F.col("__at")
     n = F.least(F.lit(expire).cast("long"), (free / F.col("__w")).cast("long"))
     silent = gaps.withColumn("__n", n).where("__n > 0") \
         .select("host", "__w", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("__n")),
