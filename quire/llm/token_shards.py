@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordCache, per_process, ship, slices
+from quire.llm.common import per_process, ship, slices
 from quire.llm.pretokens import pieces
 from quire.session import checkpoint_dir, cut_lineage
 
@@ -57,6 +57,9 @@ class Encoder:
     """The tokenizers library over the pieces of texts, which are independent of
     each other (see ``pretokens``); ids of frequent pieces are kept."""
 
+    KEPT = 600_000      # pieces; beyond it those of the present slice stay
+    GLUED = 16_384      # pieces in one call of the library
+
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
@@ -65,53 +68,67 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         conf = json.loads(spec)
-        pre = conf.get("pre_tokenizer") or {}
-        self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not conf.get("normalizer")
+        pre, model = conf.get("pre_tokenizer") or {}, conf.get("model") or {}
         self.added = [t["content"] for t in conf.get("added_tokens", [])]
-        marks = [t["content"] for t in conf.get("added_tokens", []) if t["special"] and not t["normalized"]
-                 and not t["lstrip"] and not t["rstrip"] and not t["single_word"]]
-        self.mark = marks[0] if marks and self.cut else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
-        self.cache = WordCache(None, 400_000)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = "<u4" if self.wide else "<u2"
-
-    def _library(self, texts: list[str]) -> list[bytes]:
+        self.cut = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not conf.get("normalizer")
+                    and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+                    and not any(" " in t for t in self.added))
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        # byte-level tokens are written with one character a byte
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self.known: dict[str, bytes] = {}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        if self.mark is None:
-            return [np.array(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
-        # many short pieces in one call, a special token between them: the library
-        # encodes what stands between special tokens by itself
-        out = []
-        for a in range(0, len(texts), 8192):
-            ids = np.array(encode([self.mark.join(texts[a:a + 8192])], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            raw, at, width = ids.astype(self.dtype).tobytes(), 0, int(self.dtype[-1])
-            for end in ends.tolist():
-                out.append(raw[at * width:end * width])
-                at = end + 1
+        return [np.array(e.ids, self.dtype).tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def _glued(self, texts: list[str]) -> list[bytes]:
+        """Pieces that start with a space and a word, as one text: its ids are cut
+        where the bytes of their tokens reach the end of a piece."""
+        ids = np.array(self.tokenizer.encode("".join(texts), add_special_tokens=False).ids
+                       if not hasattr(self.tokenizer, "encode_batch_fast")
+                       else self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+        ends, reached = np.cumsum([len(t.encode()) for t in texts]), np.cumsum(self.width[ids])
+        cuts = np.searchsorted(reached, ends)
+        if cuts[-1] >= len(ids) or (reached[cuts] != ends).any():
+            return self._each(texts)
+        raw, at, width, out = ids.astype(self.dtype).tobytes(), 0, int(self.dtype[-1]), []
+        for end in ((cuts + 1) * width).tolist():
+            out.append(raw[at:end])
+            at = end
         return out
 
+    def _learn(self, missing: list[str]) -> None:
+        """Ids of pieces not known yet."""
+        glue = [p for p in missing if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        rest = [p for p in missing if not (len(p) > 1 and p[0] == " " and not p[1].isspace())]
+        for a in range(0, len(glue), self.GLUED):
+            part = glue[a:a + self.GLUED]
+            self.known.update(zip(part, self._glued(part)))
+        self.known.update(zip(rest, self._each(rest)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.cut and not any(s in t for s in self.added) for t in texts]
+        if not self.cut:
+            return self._each(texts)
+        plain = [not any(s in t for s in self.added) for t in texts]
         if not all(plain):  # special tokens inside a text: the library takes these texts whole
-            whole = iter([np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(
-                [t for t, p in zip(texts, plain) if not p], add_special_tokens=False)])
+            whole = iter(self._each([t for t, p in zip(texts, plain) if not p]))
             rest = iter(self.encode([t for t, p in zip(texts, plain) if p])) if any(plain) else iter(())
             return [next(rest) if p else next(whole) for p in plain]
         split = [pieces(t) for t in texts]
-        cache, young, old = {}, self.cache, self.cache.old
         distinct = set().union(*split)
-        for p in distinct:
-            got = young.get(p) or old.get(p)
-            if got is not None:
-                cache[p] = got
-        missing = [p for p in distinct if p not in cache]
-        for p, ids in zip(missing, self._library(missing)):
-            cache[p] = ids
-            if ids and len(p) <= 64:
-                young.put(p, ids)
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+        if len(self.known) > self.KEPT:
+            self.known = {p: self.known[p] for p in distinct.intersection(self.known)}
+        missing = list(distinct.difference(self.known))
+        self._learn(missing)
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        for p in missing:
+            if len(p) > 64:
+                del self.known[p]
+        return out
 
 
 # -- minimal perfect hash ---------------------------------------------------
@@ -295,20 +312,23 @@ def _shard_tasks(manifest: DataFrame) -> DataFrame:
 
 
 def scan_shards(manifest: DataFrame) -> DataFrame:
-    """Every document read back from the files, each resolved through its
-    shard's index: ``doc_id, start, n_tokens, ids_crc32``."""
+    """Every document read back from the files: ``doc_id, start, n_tokens,
+    ids_crc32``. Each key is looked up in its shard's hash, which says where its
+    documents are; those without a key are the first ones of the file."""
 
     def kernel(batches):
         for b in batches:
             for task in b.to_pylist():
                 shard = Shard(task["path"], task["id_bytes"])
-                rows = np.arange(len(shard.keys))
-                first, many = shard.find(shard.keys[shard.n_null:])
-                own = rows[shard.n_null:]
-                if not ((first <= own) & (own < first + many)).all():
+                keys = np.unique(shard.keys[shard.n_null:])
+                first, many = shard.find(keys)
+                if not many.all() or many.sum() != len(shard.keys) - shard.n_null:
                     raise ValueError(f"index and keys disagree: {task['path']}")
-                out = [(None if r < shard.n_null else int(shard.keys[r]), task["before"] + int(shard.offsets[r]),
-                        len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for r, ids in shard.runs(rows)]
+                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                rows = np.concatenate([np.arange(shard.n_null), np.repeat(first, many) + step])
+                names = [None] * shard.n_null + np.repeat(keys, many).tolist()
+                out = [(name, task["before"] + int(shard.offsets[r]), len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+                       for name, (r, ids) in zip(names, shard.runs(rows))]
                 for a in range(0, len(out), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[a:a + 50_000])],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])

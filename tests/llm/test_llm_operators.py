@@ -95,6 +95,43 @@ def test_shards_hold_every_document(spark, docs, library):
         assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
 
 
+def test_rows_come_through_the_index(spark, docs, tmp_path):
+    manifest = token_shards.write_shards(docs, catalog.TOKENIZER, f"file://{tmp_path}")
+    whole = sorted(map(tuple, token_shards.scan_shards(manifest).collect()))
+    shard = token_shards.Shard(manifest.first()["path"], 2)
+    n = len(shard.prints)
+    assert n > 2 and len(shard.keys) == n + shard.n_null
+    at = f"{tmp_path}/{manifest.first()['path'].rpartition('/')[2]}.idx"
+    raw = open(at, "rb").read()
+    firsts = raw.index(shard.firsts.tobytes())
+
+    def scanned(place, array):
+        with open(at, "wb") as f:
+            f.write(raw[:place] + array.tobytes() + raw[place + array.nbytes:])
+        return sorted(map(tuple, token_shards.scan_shards(manifest).collect()))
+
+    assert scanned(firsts, shard.firsts) == whole
+    # a key sent to another's place, a wrong fingerprint, a wrong number of documents
+    for place, array in ((firsts, np.roll(shard.firsts, 1)), (raw.index(shard.prints.tobytes()), shard.prints + np.uint32(1)),
+                         (raw.index(shard.numbers.tobytes(), firsts + 8 * n), shard.numbers + np.uint64(1))):
+        with pytest.raises(Exception, match="index and keys disagree"):
+            scanned(place, array)
+
+
+def test_glued_pieces_equal_the_library(library):
+    coder = token_shards.Encoder(open(catalog.TOKENIZER, encoding="utf-8").read())
+    rnd = random.Random(4)
+    marks = ["", " ", "  ", "\n", " \n ", "\t", "\u00a0", "'s", "'ll", ".", "<|endoftext|>", "\x00", "7", "é", "日本", "\u200b", "🙂"]
+    texts = ["".join(rnd.choice(marks) + rnd.choice([" ", "", "a", " the", "Über"]) for _ in range(rnd.randrange(40)))
+             for _ in range(2_000)]
+    for kept in (token_shards.Encoder.KEPT, 10):
+        coder.KEPT = kept
+        for a in range(0, len(texts), 500):
+            part = texts[a:a + 500]
+            want = [np.array(library.encode(t, add_special_tokens=False).ids, coder.dtype).tobytes() for t in part]
+            assert coder.encode(part) == want
+
+
 def test_lookup_by_key(spark, library):
     df = odd_docs(spark)
     manifest = token_shards.write_shards(df, catalog.TOKENIZER)
