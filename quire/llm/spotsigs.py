@@ -8,16 +8,20 @@ an anchor too, and so is the start of the text; both depend on nearby words
 only, so an edit changes the signatures around it and no others. A text without
 words is its own one signature.
 
-Fingerprints are compared by Jaccard similarity. Sets are partitioned by
-length: the ratio of two lengths bounds the similarity, and a pair whose bound
-is under the floor is not intersected.
+Fingerprints are compared by Jaccard similarity. ``similar_pairs`` finds all
+pairs of a table that reach a similarity: sets are partitioned by length, as the
+ratio of two lengths bounds the similarity, so that a set meets its own
+partition and the next one only; inside these an inverted index of each set's
+rarest signatures (as many as a similar pair cannot all differ in) gives the
+pairs that are counted. ``compare_neighbours`` counts given pairs as they are.
 
 Contract: a NULL text is the empty text; equal texts have equal fingerprints;
 texts are read whole, in time linear in their length (but for sorting);
 documents are ordered by doc_id, then a hash of the text, NULL ids first, and
 every row has its own place in that order, equal rows included; the next document after the
-last one is the first (a lone document is its own next); an empty table gives
-an empty result; other columns are ignored.
+last one is the first (a lone document is its own next); rows with equal
+fingerprints are one class, whatever their ids; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import WordCache, per_process, ship, slices
@@ -44,7 +48,6 @@ ANCHORS = (
     "le la les de du des un une et est que qui pour dans en sur avec pas au "
     "el los las del y se por con una para al es lo"
 ).split()
-FLOOR = 0.01
 _PUNCT = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _START = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -98,12 +101,8 @@ def parse(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray, floor: float = FLOOR) -> float:
-    """Jaccard similarity of two fingerprints; 0 where the lengths alone put it
-    under ``floor``."""
-    small, large = sorted((len(a), len(b)))
-    if small < floor * large:
-        return 0.0
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two fingerprints."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
@@ -137,6 +136,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(kernel, "doc_id long, fingerprint string")
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id`` of every row: a digest of its fingerprint, shared by
+    the rows of equal fingerprints."""
+    return fingerprints(docs).select("doc_id", F.md5("fingerprint").alias("class_id"))
+
+
+def length_bounds(percent: int, most: int = 1 << 31) -> list[int]:
+    """Least set lengths of the partitions: of two sets whose lengths are within
+    ``percent`` of each other the larger is in the smaller one's partition or the
+    next. No partition is narrower than for 80, which keeps them few."""
+    bounds, widest = [1], min(percent, 80)
+    while bounds[-1] < most:
+        bounds.append(bounds[-1] * 100 // widest + 1)
+    return bounds
+
+
+def similar_pairs(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``class_a, class_b, n_both, n_either`` of every two different classes (see
+    ``classes``; ``class_a`` < ``class_b``) that share at least ``percent`` of the
+    signatures of both."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is from 1 to 100: {percent}")
+
+    def kernel(batches):
+        for b in slices(batches):
+            sets = [signatures(t or "") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.md5(write(s).encode()).hexdigest() for s in sets], pa.string()),
+                 pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["c", "sigs"])
+
+    known = cut_lineage(docs.select("text").mapInArrow(kernel, "c string, sigs array<long>")
+                        .groupBy("c").agg(F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs").cast("long")))
+    each = known.select("c", "n", F.explode("sigs").alias("sig"))
+    # two sets of at least percent in common share one of these many rarest signatures
+    prefix = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    rarest = Window.partitionBy("c").orderBy("held_by", "sig")
+    part = F.size(F.filter(F.array(*map(F.lit, length_bounds(percent))), lambda b: b <= F.col("n")))
+    index = cut_lineage(each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("held_by")).where("held_by > 1"), "sig")
+                        .withColumn("lonely", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("c")))
+                        .withColumn("at", F.row_number().over(rarest) + F.col("lonely"))
+                        .where(F.col("at") <= prefix).select("c", "n", "sig", part.alias("part")))
+    probes = index.select(F.col("c").alias("small"), F.col("n").alias("m"), "sig",
+                          F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    met = probes.join(index, ["sig", "part"]) \
+        .where(((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("small") < F.col("c"))) & (100 * F.col("m") >= percent * F.col("n"))) \
+        .select(F.least("small", "c").alias("class_a"), F.greatest("small", "c").alias("class_b")).distinct()
+    both = F.size(F.array_intersect("a", "b")).cast("long")
+    counted = met.join(known.select(F.col("c").alias("class_a"), F.col("sigs").alias("a")), "class_a") \
+        .join(known.select(F.col("c").alias("class_b"), F.col("sigs").alias("b")), "class_b") \
+        .select("class_a", "class_b", both.alias("n_both"), (F.size("a") + F.size("b")).cast("long").alias("sum"))
+    return counted.withColumn("n_either", F.col("sum") - F.col("n_both")) \
+        .where(100 * F.col("n_both") >= percent * F.col("n_either")).drop("sum")
+
+
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every document against its edited text and against the next document.
 

@@ -1,6 +1,7 @@
 """Operators of quire.llm against brute force, round trips and held-out
 labels, with null, empty, long, tied, repeated and clashing input rows."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -552,21 +554,89 @@ def test_stated_weights_hold(spark):
 
 # 9 ------------------------------------------------------------------------
 
+def spots_of(text):
+    """The signatures of a text word by word, apart from the operator's arrays."""
+    words = [w for w in ("".join(c for c in text if not ("!" <= c <= "~") or c.isalnum()).encode().lower().split())]
+    if not words:
+        return {xxhash.xxh32_intdigest(text.encode())}
+    anchors = {a.encode() for a in spotsigs.ANCHORS}
+    number = lambda w: xxhash.xxh64_intdigest(w) // 2 * 2 + (w in anchors)
+    content = [number(w) for w in words if w not in anchors] or [number(w) for w in words]
+    spots, seen = {(spotsigs._START, content[0], 0)}, 0
+    if len(content) > 1:
+        spots.add((spotsigs._START, content[0], content[1]))
+    for w in words:
+        if w in anchors:
+            spots.add((number(w), *content[seen:seen + 2]))
+        else:
+            seen += 1
+    spots |= {(c, *content[i + 1:i + 3]) for i, c in enumerate(content) if (c >> 20) % 16 == 0}
+
+    def mixed(anchor, first, second):
+        m = (1 << 64) - 1
+        x = (anchor * 0x9E3779B97F4A7C15 & m) ^ (first * 0xC2B2AE3D27D4EB4F & m)
+        x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & m) ^ (second * 0x165667B19E3779F9 & m)
+        return ((x ^ x >> 32) * 0x94D049BB133111EB & m) >> 32
+
+    return {mixed(*s) for s in spots if len(s) == 3}
+
+
+def share(a, b):
+    return len(a & b) / len(a | b)
+
+
 def test_spotsigs_neighbours(spark, docs):
-    for df in (docs, empty_docs(spark)):
-        rows = sorted(texts_of(df))
-        got = {r.doc_id: r for r in spotsigs.compare_neighbours(df).collect()}
+    for df in (docs, odd_docs(spark), empty_docs(spark)):
+        tie = {r.text or "": r.tie for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()}
+        rows = sorted(texts_of(df), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
+        want = []
         for i, (d, t) in enumerate(rows):
-            nxt = rows[(i + 1) % len(rows)][1]
-            changed = t[:len(t) - len(t) // 4] + nxt[:len(t) // 4]
-            r = got[d]
-            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-            assert (r.fingerprint, r.edited_fingerprint) == tuple(spotsigs.write(spotsigs.signatures(x)) for x in (t, changed))
-            a, b = (set(spotsigs.parse(x).tolist()) for x in (r.fingerprint, r.edited_fingerprint))
-            assert r.near_edited == pytest.approx(len(a & b) / len(a | b)) or r.near_edited == 0.0
-        assert len(got) == len(rows)
-    odd = odd_docs(spark)
-    assert spotsigs.compare_neighbours(odd).count() == odd.count()
+            following = rows[(i + 1) % len(rows)][1]
+            changed = t[:len(t) - len(t) // 4] + following[:len(t) // 4]
+            own, other, after = spots_of(t), spots_of(changed), spots_of(following)
+            want.append((d, len(t), hashlib.sha256(changed.encode()).hexdigest(), sorted(own), sorted(other),
+                         share(own, other), share(own, after)))
+        got = [(r.doc_id, r.n_chars, r.edited_sha256, spotsigs.parse(r.fingerprint).tolist(),
+                spotsigs.parse(r.edited_fingerprint).tolist(), r.near_edited, r.near_next)
+               for r in spotsigs.compare_neighbours(df).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_small_likeness_is_reported():
+    assert spotsigs.likeness(np.arange(1), np.arange(1_000)) == 0.001
+
+
+@pytest.mark.parametrize("percent", [30, 80, 100])
+def test_similar_pairs_equal_brute_force(spark, docs, percent):
+    rnd = random.Random(percent)
+    texts = [t for _, t in texts_of(docs)[:60]]
+    for t in texts[:30]:        # copies, shorter and changed ones; thirty of one text
+        words = t.split(" ")
+        texts += [t, " ".join(words[:rnd.randrange(len(words) // 2, len(words)) + 1]),
+                  " ".join(w if rnd.random() < 0.98 else "changed" for w in words)]
+    words = texts[0].split(" ")
+    texts += [" ".join([*words[:i], "other", *words[i + 1:]]) for i in range(0, len(words), max(1, len(words) // 30))]
+    texts += [None, "", " ", "one", "the", "the the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    of = {r.doc_id: r.class_id for r in spotsigs.classes(df).collect()}
+    assert len(of) == len(texts)
+    sets = {of[i]: spots_of(t or "") for i, t in enumerate(texts)}
+    assert len({frozenset(s) for s in sets.values()}) == len(sets)
+    want = {(a, b, len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items()
+            if a < b and 100 * len(x & y) >= percent * len(x | y)}
+    got = [tuple(r) for r in spotsigs.similar_pairs(df, percent).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert want or percent == 100
+    assert spotsigs.similar_pairs(empty_docs(spark), percent).count() == 0
+
+
+def test_length_partitions_lose_no_pair():
+    for percent in (1, 30, 80, 99, 100):
+        bounds = spotsigs.length_bounds(percent, 5_000)
+        part = [bisect.bisect_right(bounds, n) for n in range(2_000)]
+        for n in range(1, 2_000):
+            most = min(n * 100 // percent, 1_999)
+            assert part[most] - part[n] in (0, 1)
 
 
 # 10 -----------------------------------------------------------------------
