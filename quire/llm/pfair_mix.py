@@ -13,7 +13,9 @@ The schedule needs the number of blocks per source only. There are at most
 about ``MAX_BLOCKS`` of them, since blocks grow with the corpus, so it is made on
 the driver in integers, and joined to the documents as a table. Sources are
 never gathered in one task: a document's place is the running size within a
-small hash bucket of its source plus the sizes of the buckets before.
+small hash bucket of its source plus the sizes of the buckets before, which are
+summed across range partitions. The hash is of the doc_id, and of the text
+where there is none, so that many rows without an id are spread.
 
 Contract: a NULL source is the source ``''``; a NULL text has size 0; rows with
 equal hash and doc_id are laid by size; rows with a NULL doc_id are placed too;
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordered import running_sums
 from quire.session import cut_lineage
 
 MIN_BLOCK = 8_192      # characters
@@ -86,7 +89,8 @@ def mix_length(blocks: dict[str, int], weights: dict[str, int]) -> int:
 def _sized(docs: DataFrame, *held: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"),
-        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id").alias("h"), *held)
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")).alias("h"), *held)
 
 
 def _placed(docs: DataFrame, weights: dict[str, int] | None, *held: str) -> DataFrame:
@@ -106,8 +110,7 @@ def _placed(docs: DataFrame, weights: dict[str, int] | None, *held: str) -> Data
     length = mix_length(blocks_due, target)
     plan = spark.createDataFrame([(s, i, t, t < length) for s, i, t in edf(blocks_due, target)],
                                  "source string, block long, slot long, in_mix boolean")
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("source", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = running_sums(sums, "source", ["bucket"], {"base": F.col("total")}).drop("total")
     inside = Window.partitionBy("source", "bucket").orderBy("u", "doc_id", "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
     # columns that are held are read again: only the sizes are written

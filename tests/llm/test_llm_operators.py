@@ -546,6 +546,22 @@ def test_default_mix_drops_nothing(spark, monkeypatch, shares):
         assert all(abs(k - n * t / sum(blocks.values())) < 1 for k, t in enumerate(at))
 
 
+def test_rows_without_id_are_spread_and_laid_end_to_end(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "MIN_BLOCK", 64)
+    monkeypatch.setattr(pfair_mix, "BUCKET_ROWS", 20)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " + "x" * (i % 50), "hot" if i % 4 else "other")
+            for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of_id = Counter(r.h >> 57 for r in pfair_mix._sized(df).where("doc_id is null").collect())
+    assert len(of_id) > 64 and max(of_id.values()) < 30
+    # each source's rows in hash order, as a plain running sum
+    place, want = Counter(), Counter()
+    for r in sorted(pfair_mix._sized(df).collect(), key=lambda r: (r.source, r.h % (1 << 64), r.size)):
+        want[r.source, place[r.source] // 64] += 1
+        place[r.source] += r.size
+    assert Counter((r.source, r.block) for r in pfair_mix.place(df).collect()) == want
+
+
 def test_stated_weights_hold(spark):
     df = spark.createDataFrame([(i, "x" * 9000, "ab"[i % 3 == 0]) for i in range(60)], "doc_id long, text string, source string")
     got = Counter(r.source for r in pfair_mix.select_mix(df, {"a": 1, "b": 1}).collect())
