@@ -229,8 +229,9 @@ def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(kernel, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded text, per row."""
+def round_trip(docs: DataFrame, tokenizer_file: str, *held: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text, per row, and
+    the columns ``held`` of ``docs`` as they are."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(tokenizer_file))
 
     def kernel(batches):
@@ -241,11 +242,12 @@ def round_trip(docs: DataFrame, tokenizer_file: str) -> DataFrame:
                 ids = coder.encode(t or "")
                 rows.append((d, len(ids) // 4, hashlib.sha256(ids).hexdigest(),
                              hashlib.sha256(coder.decode(ids).encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), ROUND_TRIP)],
-                                             schema=ROUND_TRIP)
+            own = [pa.array(x, f.type) for x, f in zip(zip(*rows), ROUND_TRIP)]
+            yield pa.RecordBatch.from_arrays([*own, *b.columns[2:]], names=[*ROUND_TRIP.names, *held])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*held).schema) if held else ""
+    return docs.select("doc_id", "text", *held).mapInArrow(
+        kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
 
 
 def _spec(tokenizer_file: str) -> str:

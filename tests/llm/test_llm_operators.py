@@ -740,6 +740,24 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, odd.limit(0), SF_SMALL).count() == 0, name
 
 
+def test_mix_order_reaches_the_output(spark, monkeypatch, tmp_dir):
+    import corpus_pipeline as P
+
+    monkeypatch.setattr(pfair_mix, "MIN_BLOCK", 64)
+    rows = [(i, f"text {i} " + "x" * (i * 37 % 300), f"s{i % 3}") for i in range(400)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    mixed = P.mix_sources(spark, df, SF_SMALL)
+    want = [r.doc_id for r in mixed.collect()]
+    mixed.write.parquet(f"{tmp_dir}/mix")
+    for stored in (spark.read.parquet(f"{tmp_dir}/mix"), mixed):
+        got = P.tokenize(spark, stored, SF_SMALL).collect()
+        assert [r.mix_position for r in sorted(got, key=lambda r: r.mix_position)] == list(range(len(rows)))
+        assert [r.doc_id for r in sorted(got, key=lambda r: r.mix_position)] == want
+    slot = {r.doc_id: r.slot for r in pfair_mix.place(df).collect()}
+    slots = [slot[d] for d in want]
+    assert slots == sorted(slots) and len(set(slots)) > 100
+
+
 def test_near_duplicates_are_decided_by_row(spark):
     import corpus_pipeline as P
 
