@@ -142,3 +142,14 @@ def test_tag_search_equals_contains(spark):
     assert sorted(map(tuple, got.collect())) == want
     plan = plan_text(got, "simple")
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tag_search_summary_counts_per_joined_tags(spark):
+    rows = [(f"c{i:04d}", "en,part,troubleshooting" if i % 7 else None if i % 2 else "en") for i in range(2_000)]
+    rows += [("c0001", "en,part,troubleshooting")] * 2 + [(None, "en"), (None, "lonely")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, tags_joined string")
+    filters = [a + b for a in ("", "#") for b in ("en", "part", "t", "r", "oo", "shoot", "absent", "lonely", "")]
+    got = ingest.tag_search(chunks, spark.createDataFrame([(f,) for f in filters + [None]], "tag string"), summary=True).collect()
+    held = {f: [c for c, joined in rows if joined is not None and f.removeprefix("#") in joined] for f in filters}
+    want = [(f, len(c), min((x for x in c if x is not None), default=None)) for f, c in held.items() if c]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
