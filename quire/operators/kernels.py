@@ -26,8 +26,8 @@ from pyspark import TaskContext, cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_CELLS = 4_000_000      # (row, query) cells of one matrix product
-BLOCK_PAIRS = 4_000_000      # term-posting expansions scored at a time
-BLOCK_TOKENS = 4_000_000     # corpus tokens taken at a time
+BLOCK_PAIRS = 500_000        # term-posting expansions scored at a time, about 100 bytes each
+BLOCK_TOKENS = 500_000       # corpus tokens taken at a time, likewise
 PIVOTS = 16
 PACK_ROWS, PACK_BYTES = 4096, 4 << 20
 

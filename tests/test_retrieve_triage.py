@@ -356,3 +356,26 @@ def test_nothing_of_the_signatures_passes_the_driver(spark, monkeypatch):
                                    "chunk_id string, text string, tags_joined string")
     hits = triage.signature_hits(sig, chunks, 2)
     assert hits.count() == 6000 and hits.where("NOT used_fallback").count() == 0
+
+
+def test_lexical_kernel_works_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quire.operators import kernels
+
+    words = [f"w{i}" for i in range(40)]
+    queries = pa.RecordBatch.from_arrays(
+        [pa.array(range(150)), pa.array([words[i % 20:i % 20 + 20] for i in range(150)]), pa.array([[1] * 20] * 150, pa.list_(pa.int64()))],
+        names=["query_id", "terms", "tfs"])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6_000)), pa.array([words] * 6_000)], names=["id", "tokens"])
+    asked = kernels.LexicalQueries(queries)
+    top = kernels.TopK(3, 150, pa.schema([("id", pa.int64())]))
+    tracemalloc.start()
+    asked.process(rows, top, pa.Table.from_batches([rows.select(["id"])]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    top.settle()
+    assert len(top.q) == 450
+    assert peak < 100 << 20
