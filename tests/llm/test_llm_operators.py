@@ -740,6 +740,19 @@ def test_pipeline_stages(spark, docs):
         assert stage(spark, odd.limit(0), SF_SMALL).count() == 0, name
 
 
+def test_line_keys_are_dealt_once(spark, docs, monkeypatch):
+    import re
+
+    from test_plans import plan_text
+
+    plans = []
+    cut = fuzzy_lines.cut_lineage
+    monkeypatch.setattr(fuzzy_lines, "cut_lineage", lambda df: (plans.append(plan_text(df, "simple")), cut(df))[1])
+    fuzzy_lines.dedupe(docs.limit(50))
+    dealt = [p for p in plans if re.search(r"hashpartitioning\(key#\d+L?, \d+\), REPARTITION", p)]
+    assert dealt and not re.search(r"hashpartitioning\(key#\d+L?, \d+\), ENSURE", dealt[0])
+
+
 def test_mix_order_reaches_the_output(spark, monkeypatch, tmp_dir):
     import corpus_pipeline as P
 
