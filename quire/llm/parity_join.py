@@ -19,8 +19,13 @@ several components are looked at again: all pairs of different components in
 small ones. Large ones hold documents that share a passage and little else, or
 several groups of near copies; their members are dealt anew by their rarest
 shingles, of which linked sets share one, so that a common passage brings
-nobody together. Copies of a text, or of nearly one, cost a pair each and not
-a pair for every two.
+nobody together. Buckets that are still large and hold several components, as
+of copies that differ by a little more than a link allows, are cut into cells
+of at most ``CELL`` members a side. A cell's sketches are compared inside a
+task, and only pairs that these allow to be linked are written: first those
+that would join the cell's components, nearest first, then, once these are
+verified, all between components left. Copies of a text, or of nearly one, cost
+a pair each and not a pair for every two.
 
 A pair's parity sketches (one bit per element, XOR-ed) are compared first:
 their Hamming distance is a lower bound of the symmetric difference. What is
@@ -53,6 +58,8 @@ WIDTH = 4           # words per shingle
 PERCENT = 85        # least similarity
 GROWTH = 1.6        # of band limits
 SMALL = 24          # nodes of a bucket whose pairs are compared at once
+CELL = 2048         # nodes on each side of a cell of a larger bucket
+CELL_BYTES = 4 << 20    # of sketches on each side
 SEEDS = 8           # times a set with many empty blocks is hashed again
 CELLS = 1 << 20     # counters of frequent shingles
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -218,6 +225,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, percent: int,
                        .mapInArrow(verify, "a long, b long"))
 
 
+def _sketch_pairs(sketches: list[bytes], sizes: np.ndarray, comps: np.ndarray, one: np.ndarray, other: np.ndarray,
+                  percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``i, j, distance`` of the pairs of an index in ``one`` and one in
+    ``other``, in different components, that sizes and sketches allow to be
+    linked. A pair that lies in both orders is given once, ``i < j``."""
+    widths = np.array([len(x) for x in sketches])
+    found = [], [], []
+    for w in np.unique(widths[one]):
+        left = one[widths[one] == w]
+        for v in np.unique(widths[other]):
+            right, least = other[widths[other] == v], min(w, v)
+
+            def folded(at, width):
+                x = np.frombuffer(b"".join(sketches[k] for k in at), np.uint64).reshape(len(at), width // least, least // 8)
+                return np.bitwise_xor.reduce(x, axis=1)
+
+            b = folded(right, v)
+            for i, a in zip(left, folded(left, w)):
+                m, n = np.minimum(sizes[i], sizes[right]), np.maximum(sizes[i], sizes[right])
+                fit = np.flatnonzero((comps[right] != comps[i]) & (100 * m >= percent * n))
+                d = np.bitwise_count(b[fit] ^ a).sum(axis=1, dtype=np.int64)
+                ok = d * (100 + percent) <= (100 - percent) * (sizes[i] + sizes[right[fit]])
+                j = right[fit[ok]]
+                found[0].append(np.minimum(i, j)), found[1].append(np.maximum(i, j)), found[2].append(d[ok])
+    i, j, d = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in found)
+    _, first = np.unique(i * len(sketches) + j, return_index=True)
+    return i[first], j[first], d[first]
+
+
+def _joining(i: np.ndarray, j: np.ndarray, d: np.ndarray, comps: np.ndarray) -> list[int]:
+    """Positions of the pairs that join components, nearest first: a forest."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out = []
+    for k in np.argsort(d, kind="stable"):
+        x, y = top(int(comps[i[k]])), top(int(comps[j[k]]))
+        if x != y:
+            up[x] = y
+            out.append(int(k))
+    return out
+
+
+def _cell_pairs(members: DataFrame, known: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """``a, b`` of the members ``key, node, comp`` of one bucket each in
+    different components whose sketches allow a link; with ``forest`` only
+    those that would join the components of a cell. A bucket's members are
+    dealt into parts, and each two parts meet in a cell."""
+    sized = cut_lineage(members.select("key", "node", "comp").join(known.select("node", "s", F.col("n").alias("size")), "node"))
+    parts = sized.groupBy("key").agg(F.ceil(F.greatest(
+        F.count("*") / F.lit(CELL), F.sum(F.octet_length("s")) / F.lit(CELL_BYTES))).cast("int").alias("parts"))
+    dealt = sized.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
+        .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+                "part", "node", "comp", "s", "size")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        part, node, comp, size, lo, hi = (cell.column(c).to_numpy() for c in ("part", "node", "comp", "size", "lo", "hi"))
+        i, j, d = _sketch_pairs(cell.column("s").to_pylist(), size, comp, np.flatnonzero(part == lo[0]),
+                                np.flatnonzero(part == hi[0]), percent)
+        if forest:
+            best = _joining(i, j, d, comp)
+            i, j = i[best], j[best]
+        a, b = node[i], node[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _rare_keys(docs: DataFrame, known: DataFrame, nodes: DataFrame, percent: int, width: int) -> DataFrame:
     """``node, key``: the rarest shingles of each of the ``nodes``, one more
     than a linked set may lack. In any order that is the same for all sets,
@@ -294,18 +374,26 @@ def _linked(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataF
         links = new if links is None else links.union(new)
         found = components(links)
         open_ = _open(buckets, found)
-        part = open_ if last else open_.where(f"n <= {SMALL}")
+        part = open_.where(f"n <= {SMALL}")
         left, right = (part.select("key", F.col("node").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
         pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
         new = _verified(pairs, docs, known, percent, width)
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
-        large = open_.where(f"n > {SMALL}").select("node").distinct()
-        if last or large.isEmpty():
+        large = open_.where(f"n > {SMALL}")
+        if large.isEmpty():
             break
-        # the heads of large buckets have been compared with all members
-        buckets = _buckets(_rare_keys(docs, known, large, percent, width))
+        if not last:
+            # the heads of large buckets have been compared with all members
+            buckets = _buckets(_rare_keys(docs, known, large.select("node").distinct(), percent, width))
+            continue
+        for forest in (True, False):
+            large = _open(buckets, found).where(f"n > {SMALL}")
+            new = _verified(_cell_pairs(large, known, percent, forest), docs, known, percent, width)
+            if not new.isEmpty():
+                links = links.union(new)
+                found = components(links)
     return table, found
 
 

@@ -290,6 +290,59 @@ def test_parity_join_equals_brute_force(spark, monkeypatch, small):
     assert sorted((tuple(r) for r in parity_join.link(df).collect()), key=repr) == brute_components(rows)
 
 
+def apart_rows(rnd, copies):
+    """Copies of a text that mostly differ by more than a link allows, some in groups that do not."""
+    base, rows = [f"w{rnd.randrange(500)}" for _ in range(200)], []
+    while len(rows) < copies:
+        t = list(base)
+        for at in rnd.sample(range(len(t)), 5):
+            t[at] = f"x{rnd.randrange(10**6)}"
+        rows.append(" ".join(t))
+        for _ in range(rnd.choice((0, 0, 0, 2))):
+            u = list(t)
+            u[rnd.randrange(len(u))] = f"y{rnd.randrange(10**6)}"
+            rows.append(" ".join(u))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("cell", [2048, 16])
+def test_parity_join_of_copies_a_little_too_far_apart(spark, monkeypatch, cell):
+    monkeypatch.setattr(parity_join, "CELL", cell, raising=False)
+    verified, compared = parity_join._verified, []
+
+    def counting(pairs, *rest):
+        pairs = pairs.localCheckpoint()
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(parity_join, "_verified", counting)
+    rows = apart_rows(random.Random(cell), 240)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in parity_join.link(df).collect()), key=repr) == brute_components(rows)
+    assert len(compared) > 2 and sum(compared[2:]) < 5 * len(rows), compared    # of the last pass: stars, then what the sketches leave
+
+
+def test_sketch_pairs_are_those_hamming_and_sizes_allow():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.random(120) > 0.06], rnd.integers(0, 1 << 63, rnd.integers(0, 30), dtype=np.uint64)]))
+            for _ in range(60)]
+    sketches, sizes, comps = [parity_join.sketch_of(x) for x in sets], np.array([len(x) for x in sets]), rnd.integers(0, 40, 60)
+    assert len({len(x) for x in sketches}) > 1
+    one, other = np.arange(0, 45), np.arange(20, 60)
+    i, j, d = parity_join._sketch_pairs(sketches, sizes, comps, one, other, parity_join.PERCENT)
+    want = {(min(a, b), max(a, b)): parity_join.hamming(sketches[a], sketches[b]) for a in one for b in other if comps[a] != comps[b]
+            and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])
+            and 185 * parity_join.hamming(sketches[a], sketches[b]) <= 15 * (sizes[a] + sizes[b])}
+    assert {(a, b): h for a, b, h in zip(i.tolist(), j.tolist(), d.tolist())} == want and len(i) == len(want)
+    joined = parity_join._joining(i, j, d, comps)
+    near = {k: k for k in set(comps.tolist())}
+    for a, b in want:
+        x, y = near[comps[a]], near[comps[b]]
+        near = {k: x if v == y else v for k, v in near.items()}
+    assert len(joined) == len(near) - len(set(near.values()))   # a forest that spans what the pairs connect
+
+
 def test_parity_join_odd_rows(spark):
     df = odd_docs(spark)
     assert sorted((tuple(r) for r in parity_join.link(df).collect()), key=repr) == brute_components(texts_of(df))
