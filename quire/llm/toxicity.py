@@ -155,6 +155,7 @@ def _counted(train: DataFrame, items, least: int) -> DataFrame:
     batch first, then per item; the shuffle carries items, not texts."""
 
     def kernel(batches):
+        forget()
         for b in slices(batches):
             counts = (Counter(), Counter())
             for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -227,6 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     lexicon = Lexicon(weights, exceptions, None)
 
     def measure(batches):
+        forget()
         for b in slices(batches):
             got = [lexicon.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got]), b.column(1)],

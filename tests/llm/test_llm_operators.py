@@ -3,8 +3,10 @@ labels, with null, empty, long, tied, repeated and clashing input rows."""
 
 import bisect
 import hashlib
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from conftest import SF_SMALL
-from quire.llm import (bpe_automaton, catalog, fuzzy_lines, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
+from quire.llm import (bpe_automaton, catalog, common, fuzzy_lines, parity_join, pfair_mix, quality_rules, secret_scan, spotsigs,
                        token_shards, toxicity, url_rules)
 from quire.llm.graph import components
 
@@ -854,3 +856,15 @@ def test_query_equals_oracle(spark, name):
     cols = [d[0] for d in cur.description]
     got = catalog.QUERIES[name](spark, SF_SMALL).select(*cols).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+def test_learning_lets_go_of_what_an_earlier_stage_kept():
+    class Train:
+        def mapInArrow(self, kernel, schema):
+            list(kernel(iter([])))
+            raise StopIteration
+
+    common.per_process("an earlier stage", lambda: bytes(10))
+    with pytest.raises(StopIteration):
+        toxicity._counted(Train(), toxicity._prefix_entries, 1)
+    assert not sys.__dict__["_quire_llm_memo"]
