@@ -868,3 +868,32 @@ def test_learning_lets_go_of_what_an_earlier_stage_kept():
     with pytest.raises(StopIteration):
         toxicity._counted(Train(), toxicity._prefix_entries, 1)
     assert not sys.__dict__["_quire_llm_memo"]
+
+
+def test_fuzzy_lines_buckets_go_before_later_pairs_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "SMALL", 2)
+    monkeypatch.setattr(fuzzy_lines, "HEADS", 2)
+    cut, verified, buckets, there = fuzzy_lines.cut_lineage, fuzzy_lines._verified, [], []
+
+    def cutting(df):
+        out = cut(df)
+        if {"key", "head", "members"} <= set(out.columns):
+            buckets.extend(f.removeprefix("file://") for f in out.inputFiles())
+        return out
+
+    def verifying(*args):
+        there.append(sum(map(os.path.exists, buckets)))
+        return verified(*args)
+
+    monkeypatch.setattr(fuzzy_lines, "cut_lineage", cutting)
+    monkeypatch.setattr(fuzzy_lines, "_verified", verifying)
+    rnd = random.Random(6)
+    base = [f"word{rnd.randrange(90)}" for _ in range(24)]
+    rows = []
+    for i in range(60):
+        line = list(base)
+        for at in rnd.sample(range(24), 4):
+            line[at] = f"other{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(line)))
+    fuzzy_lines.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert buckets and there[0] and len(there) > 1 and not any(there[1:]), there
