@@ -541,6 +541,48 @@ def test_long_lines_are_compared_in_characters(spark):
     assert left == {0: rows[0][1], 1: "", 2: ""}
 
 
+def test_pairs_meet_their_texts_a_bounded_number_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "ROUND", 40)
+    monkeypatch.setattr(fuzzy_lines, "PER_LINE", 0)
+    judged, sizes = fuzzy_lines._judged, []
+    monkeypatch.setattr(fuzzy_lines, "_judged", lambda pairs, texts: (sizes.append(pairs.count()), judged(pairs, texts))[1])
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 9))) for _ in range(60)]
+    lines = []
+    for n in (8, 30, 60):
+        for _ in range(3):
+            base = rnd.choices(words, k=n)
+            text = " ".join(base)
+            shifted = base[:n // 2] + ["new"] * (n // 20) + base[n // 2:]
+            spelt = "".join("z" if rnd.random() < 0.07 else c for c in text)
+            far = " ".join(rnd.sample(base, n))
+            lines += [text, " ".join(shifted), spelt, far, text[3:] + text[:3], text.replace(" ", "", n // 10)]
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= fuzzy_lines.MIN_CHARS]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = fuzzy_lines._distinct(fuzzy_lines.occurrences(df))
+    at = {r.row: r.line for r in found.collect()}
+    line = [at[r.k] for r in df.orderBy("doc_id").select(fuzzy_lines.row_key().alias("k")).collect()]
+    norm = [" ".join(x.split()) for x in lines]
+    near = lambda a, b: distance(a, b) <= max(len(a), len(b)) // 10
+    pairs = [(i, j) for i in range(len(lines)) for j in range(max(0, i - 4), i)]
+    got = fuzzy_lines._verified(spark.createDataFrame([(line[i], line[j]) for i, j in pairs], "a long, b long"), df, found).collect()
+    want = {frozenset((line[i], line[j])) for i, j in pairs if near(norm[i], norm[j])}
+    assert {frozenset(r) for r in got} <= want and len(want) > 9
+    joined = lambda links: sorted(map(sorted, components_of(line, links)))
+    assert joined(map(tuple, got)) == joined(map(tuple, want))
+    assert len(sizes) > 3 and sum(sizes) == len(pairs) and max(sizes) < 100
+
+
+def components_of(nodes, links):
+    group = {x: {x} for x in nodes}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return {frozenset(g) for g in group.values()}
+
+
 def test_line_ids_do_not_depend_on_outer_separators(spark):
     rows = [(1, "one two three four five six"), (2, "  *One two-three, four five six.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
