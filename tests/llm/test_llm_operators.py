@@ -583,6 +583,37 @@ def components_of(nodes, links):
     return {frozenset(g) for g in group.values()}
 
 
+def test_unlike_lines_of_one_bucket_do_not_meet_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "_block_keys", lambda sim: [F.lit(1).cast("long")])
+    monkeypatch.setattr(fuzzy_lines, "MAX_DISTANCE", 64)
+    verified, sizes = fuzzy_lines._verified, []
+    monkeypatch.setattr(fuzzy_lines, "_verified", lambda pairs, *more: (sizes.append(pairs.count()), verified(pairs, *more))[1])
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    lines = [rnd.choices(words, k=40) for _ in range(60)]
+    lines += [x[:9] + ["others"] + x[10:] for x in lines[:20]]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    left = {r.doc_id for r in fuzzy_lines.dedupe(df).collect() if r.text}
+    assert left == set(range(60))
+    assert 20 <= sum(sizes) < 60, sizes     # of 3,160 pairs in the bucket
+
+
+def test_agreement_of_least_hashes_loses_no_near_lines():
+    def found(pairs, least, alike):
+        chances = Counter({(0, False): 1.0})     # by hashes that agree, and whether two of a pair do
+        for _ in range(pairs):
+            step = Counter()
+            for (n, both), p in chances.items():
+                for k, q in enumerate(((1 - alike) ** 2, 2 * alike * (1 - alike), alike ** 2)):
+                    step[n + k, both or k == 2] += p * q
+            chances = step
+        return sum(p for (n, both), p in chances.items() if both and n >= least)
+
+    assert sorted(k for pair in fuzzy_lines.BANDS for k in pair) == list(range(fuzzy_lines.ORDERS))
+    for alike in (0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9):  # six pairs before, without a least number
+        assert found(len(fuzzy_lines.BANDS), fuzzy_lines.AGREE, alike) >= found(6, 0, alike), alike
+
+
 def test_line_ids_do_not_depend_on_outer_separators(spark):
     rows = [(1, "one two three four five six"), (2, "  *One two-three, four five six.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
